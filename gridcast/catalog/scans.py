@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from gridcast.catalog.views import OBSERVATION_KEYS, Query, Views, oracle, rounded, rounds
+from gridcast.catalog.views import OBSERVATION_KEYS, Query, Views, oracle
 from gridcast.functions import calendar, coerce, grid, rates
 from gridcast.operators import cells, checks, holdout, profiles, weather
 from gridcast.schemas import INSTANT
