@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from gridcast.catalog.tables import boxed, fire_cells
 from gridcast.catalog.views import OBSERVATION_KEYS, Query, Views, oracle, rounded, rounds
 from gridcast.operators import holdout, negatives, sampling
-from gridcast.operators.metrics import evaluate
-from gridcast.operators.stats import repeat_summary
+from gridcast.plans.experiments import seed_sensitivity
 from gridcast.schemas import CELL_HOUR
+from gridcast.session import snapshot
 
 SEED = 42
 KEYS = ", ".join(OBSERVATION_KEYS)
@@ -31,12 +31,10 @@ def _stratified(v: Views):
     return sampling.stratified_sample(_observation_keys(v), 1003, list(OBSERVATION_KEYS), SEED)
 
 
-def _stratified_short(v: Views):
-    """More rows asked for than the last, partial year holds, so other years top the sample up."""
-    n = 7 * 16 * 10**4
+def _stratified_most(v: Views):
+    """Nearly all rows asked for: the last, partial year falls short and the other years top the sample up."""
     o = _observation_keys(v)
-    short = F.least(F.lit(n), (o.agg(F.count(F.lit(1))).scalar() * F.lit(0.97)).cast("bigint"))
-    return o, short
+    return sampling.stratified_sample(o, o.count() * 95 // 100, list(OBSERVATION_KEYS), SEED)
 
 
 def _top_up(v: Views):
@@ -82,14 +80,8 @@ def hour_score(df):
 
 
 def _seeds(v: Views):
-    positives = fire_cells(v).select(*CELL_HOUR, "fire")
-    repeats = None
-    for seed in (41, 42, 43):
-        part = positives.unionByName(negatives.sample_negatives(positives, seed).drop("draw")).withColumn("seed", F.lit(seed))
-        repeats = part if repeats is None else repeats.unionByName(part)
-    per_seed = evaluate(hour_score(repeats), ["seed"], digits=None)
-    long = per_seed.unpivot(["seed"], ["roc_auc", "pr_auc"], "metric", "value")
-    return rounded(repeat_summary(long, ["metric"], "value"), "value_mean", "value_std")
+    positives = snapshot(fire_cells(v).select(*CELL_HOUR, "fire"))
+    return rounded(seed_sensitivity(positives, hour_score), "value_mean", "value_std")
 
 
 def drawn(seed: int, n: str, limit: str) -> str:
@@ -164,6 +156,10 @@ QUERIES = {
         oracle(f"select {KEYS}, year, r as rank from ranked", "observations", ranked=HASH_CUT),
     ),
     "stratified_sample": Query(_stratified, oracle(stratified("1003"), "observations", ranked=HASH_CUT)),
+    "stratified_sample_topped_up": Query(
+        _stratified_most,
+        oracle(stratified("(select count(*) * 95 // 100 from observations)"), "observations", ranked=HASH_CUT),
+    ),
     "top_up_sample": Query(
         _top_up,
         oracle(

@@ -123,9 +123,14 @@ def ablation(
 def seed_sensitivity(
     positives: DataFrame, score, seeds: Sequence[int] = (41, 42, 43), metrics: Sequence[str] = ("roc_auc", "pr_auc")
 ) -> DataFrame:
-    """Repeat the negative draw per seed, evaluate ``score`` (a table function) on each, summarise over seeds."""
+    """Repeat the negative draw per seed, evaluate ``score`` (a table function) on each, summarise over seeds.
+
+    ``positives`` is a stored table.
+    """
     repeats = [
-        positives.unionByName(sample_negatives(positives, seed), allowMissingColumns=True).withColumn("seed", F.lit(seed))
+        positives.unionByName(sample_negatives(positives, seed).drop("draw"), allowMissingColumns=True).withColumn(
+            "seed", F.lit(seed)
+        )
         for seed in seeds
     ]
     table = score(snapshot(reduce(DataFrame.unionByName, repeats)))
