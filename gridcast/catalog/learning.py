@@ -60,7 +60,7 @@ def _parts(v: Views):
 def _fit_one(name: str):
     def build(v: Views):
         parts = _parts(v)
-        return experiments.fit_score(parts["train"], parts["test"], WEATHER_FEATURES, {name: FAMILY[name]})
+        return experiments.fit_score(parts["train"], parts["test"], WEATHER_FEATURES, models.only(FAMILY, name))
 
     return build
 

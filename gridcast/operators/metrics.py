@@ -15,6 +15,10 @@ from gridcast.functions.rates import decide, f_score, ratio
 from gridcast.operators.ranking import running_totals, value_buckets
 
 
+#: Ranges of the score that are ranked independently.
+CURVE_PARTS = 64
+
+
 def per_score(scored: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """One row per group and distinct score: ``n`` rows, ``tp`` of them positive."""
     return scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
@@ -27,7 +31,8 @@ def rank_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score",
 
     Runs one job to find bucket limits; they spread the work and do not affect the values.
     """
-    buckets = value_buckets(scored.select(F.col(score).cast("double").alias("score")), ["score"])
+    values = scored.select(F.col(score).cast("double").alias("score"))
+    buckets, _ = value_buckets(values, ["score"], [i / CURVE_PARTS for i in range(1, CURVE_PARTS)], 1.0 / (4 * CURVE_PARTS))
     table = buckets.transform(per_score(scored, by, score, label))
     return running_totals(table, by, "_bucket_score", "score", ["n", "tp"], descending=True).drop("_bucket_score")
 

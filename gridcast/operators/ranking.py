@@ -112,23 +112,22 @@ def flag_over_quota(
     return clear.unionByName(edge).drop("_bucket", "_cut", "_need", "_total")
 
 
-def value_buckets(df: DataFrame, columns: Sequence[str], parts: int = 64) -> Bucketizer:
-    """Bucket limits at the quantiles of each column, found in one pass over ``df`` (runs a job).
+def value_buckets(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], error: float
+) -> tuple[Bucketizer, dict[str, list[float]]]:
+    """Bucket limits at approximate quantiles of each column, found in one pass over ``df`` (runs a job).
 
     Results never depend on where the limits fall; they only keep the buckets even.
     """
-    probabilities = [i / parts for i in range(1, parts)]
-    found = df.approxQuantile(list(columns), probabilities, 1.0 / (4 * parts))
-    limits = []
-    for inner in found:
-        inner = sorted(set(inner)) or [0.0]
-        limits.append([float("-inf"), *inner, float("inf")])
-    return Bucketizer(
-        splitsArray=limits,
+    found = df.approxQuantile(list(columns), list(probabilities), error)
+    limits = {c: sorted(set(inner)) or [0.0] for c, inner in zip(columns, found)}
+    buckets = Bucketizer(
+        splitsArray=[[float("-inf"), *limits[c], float("inf")] for c in columns],
         inputCols=list(columns),
         outputCols=[f"_bucket_{c}" for c in columns],
         handleInvalid="keep",
     )
+    return buckets, limits
 
 
 def running_totals(

@@ -10,20 +10,32 @@ from pyspark.sql import functions as F
 from gridcast.operators.ranking import running_totals, value_buckets
 
 
+#: Rank error of the bracket around the median, as a share of the rows.
+BRACKET_ERROR = 1e-3
+BRACKET_PARTS = 16
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact median of each column (feature, n, median), missing values skipped.
 
-    Values are counted per distinct value and located by running totals over quantile buckets, so no task holds
-    a whole column (the built-in ``median`` merges one in memory). Runs one job to find the bucket limits.
+    A first pass (a job) brackets every median between approximate quantiles with a guaranteed rank error; the
+    values outside the bracket only need counting, the few inside are counted per distinct value and located by
+    running totals. No task holds a whole column, as the built-in ``median`` does when it merges its counts.
     """
     columns = list(columns)
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wide = value_buckets(numeric, columns).transform(numeric)
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(f"_bucket_{c}").alias("_bucket"))
-        for c in columns
-    ]
-    long = wide.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    reach = 2 * BRACKET_ERROR
+    probabilities = [0.5 - reach + 2 * reach * i / BRACKET_PARTS for i in range(BRACKET_PARTS + 1)]
+    buckets, limits = value_buckets(numeric, columns, probabilities, BRACKET_ERROR)
+    wide = buckets.transform(numeric)
+
+    def clamped(c: str):
+        low, high = limits[c][0], limits[c][-1]
+        inner = F.when(F.col(c) < low, float("-inf")).when(F.col(c) > high, float("inf")).otherwise(F.col(c))
+        return F.struct(F.lit(c).alias("feature"), inner.alias("value"), F.col(f"_bucket_{c}").alias("_bucket"))
+
+    present = F.filter(F.array(*[F.when(F.col(c).isNotNull(), clamped(c)) for c in columns]), lambda e: e.isNotNull())
+    long = wide.select(F.inline(present))
     counted = long.groupBy("feature", "_bucket", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counted, ["feature"], "_bucket", "value", ["n"])
     first = F.col("cum_n") - F.col("n") + 1

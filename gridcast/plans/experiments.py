@@ -15,7 +15,7 @@ from gridcast.operators.metrics import evaluate
 from gridcast.operators.negatives import sample_negatives
 from gridcast.operators.profiles import split_profile
 from gridcast.operators.stats import repeat_summary
-from gridcast.plans.models import Fit, score_with
+from gridcast.plans.models import Family, fit_all, only, score_with, training_stats
 from gridcast.schemas import ABLATION_SETS
 from gridcast.session import snapshot
 
@@ -27,10 +27,6 @@ def _needed(df: DataFrame, features: Sequence[str], label: str, others: Sequence
     return df.select(*others, *[f for f in features if f not in others], F.col(label).cast("int").alias(label))
 
 
-def fit_all(train: DataFrame, features: Sequence[str], family: Mapping[str, Fit]) -> dict[str, PipelineModel]:
-    return {name: fit(train, features) for name, fit in family.items()}
-
-
 def score_all(models: Mapping[str, PipelineModel], test: DataFrame, label: str = "fire") -> DataFrame:
     """model, model_order, label, score: every model on the same rows."""
     scored = [
@@ -46,9 +42,9 @@ def compare(models: Mapping[str, PipelineModel], test: DataFrame, label: str = "
 
 
 def fit_score(
-    train: DataFrame, test: DataFrame, features: Sequence[str], family: Mapping[str, Fit], label: str = "fire"
+    train: DataFrame, test: DataFrame, features: Sequence[str], family: Family, label: str = "fire"
 ) -> DataFrame:
-    return compare(fit_all(train, features, family), test, label)
+    return compare(fit_all(train, features, family, label), test, label)
 
 
 def select_model(scores: DataFrame, metric: str = "pr_auc") -> DataFrame:
@@ -59,7 +55,7 @@ def select_model(scores: DataFrame, metric: str = "pr_auc") -> DataFrame:
 def temporal_experiment(
     df: DataFrame,
     features: Sequence[str],
-    family: Mapping[str, Fit],
+    family: Family,
     years: Years = EXPERIMENT,
     required_years: Sequence[int] = (),
     refit: bool = True,
@@ -74,20 +70,21 @@ def temporal_experiment(
         require_years(table, required_years)
     require_nonempty(table, ["train", "validation", "test"])
     parts = split_parts(table)
-    models = fit_all(parts["train"], features, family)
+    models = fit_all(parts["train"], features, family, label)
     # One row per model: small enough to keep, so the choice and the report read the same numbers.
     validation = snapshot(compare(models, parts["validation"], label))
     best = select_model(validation).first()["model"]
     winner = models[best]
     if refit:
-        winner = family[best](parts["train"].unionByName(parts["validation"]), features)
+        earlier = parts["train"].unionByName(parts["validation"])
+        winner = fit_all(earlier, features, only(family, best), label)[best]
     test = compare({best: winner}, parts["test"], label)
     rows = validation.withColumn("split", F.lit("validation")).unionByName(test.withColumn("split", F.lit("test")))
     return rows.withColumn("selected", F.col("model") == best).drop("model_order")
 
 
 def spatial_experiment(
-    df: DataFrame, features: Sequence[str], family: Mapping[str, Fit], seed: int = 42, label: str = "fire"
+    df: DataFrame, features: Sequence[str], family: Family, seed: int = 42, label: str = "fire"
 ) -> DataFrame:
     """Whole 2-degree blocks held out; metrics per model next to the group profile."""
     table = snapshot(spatial_holdout(_needed(df, features, label, ["cell_y", "cell_x"]), seed=seed))
@@ -103,7 +100,7 @@ def spatial_experiment(
 
 def ablation(
     df: DataFrame,
-    family: Mapping[str, Fit],
+    family: Family,
     sets: Mapping[str, Sequence[str]] = ABLATION_SETS,
     years: Years = EXPERIMENT,
     label: str = "fire",
@@ -111,9 +108,10 @@ def ablation(
     """Every model on every feature set: train on the training years, score the test years."""
     features = list(dict.fromkeys(f for names in sets.values() for f in names))
     parts = split_parts(snapshot(temporal_split(_needed(df, features, label, ["year"]), years)))
+    stats = training_stats(parts["train"], features, family.impute)
     scored = []
     for name, chosen in sets.items():
-        models = fit_all(parts["train"], list(chosen), family)
+        models = fit_all(parts["train"], list(chosen), family, label, stats)
         scored.append(score_all(models, parts["test"], label).withColumn("feature_set", F.lit(name)))
     return evaluate(
         snapshot(reduce(DataFrame.unionByName, scored)), ["feature_set", "model", "model_order"], label=label

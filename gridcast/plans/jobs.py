@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -20,7 +20,7 @@ from gridcast.operators.profiles import coverage_report, dataset_profile, split_
 from gridcast.operators.sampling import sample_n, stratified_sample
 from gridcast.operators.weather import densify_hours, restrict_hourly, weather_features
 from gridcast.plans.experiments import ablation, spatial_experiment, temporal_experiment
-from gridcast.plans.models import Fit, fit_final, score_with
+from gridcast.plans.models import Family, Fit, fit_final, score_with
 from gridcast.plans.scoring import prediction_table
 from gridcast.schemas import CELL_HOUR, FINAL_FEATURES, WEATHER_FEATURES
 from gridcast.session import snapshot
@@ -64,7 +64,7 @@ def run_dataset(
 def run_experiments(
     df: DataFrame,
     output: str,
-    family: Mapping[str, Fit],
+    family: Family,
     features: Sequence[str] = WEATHER_FEATURES,
     # fixed values: years the published protocol insists on
     required_years: Sequence[int] = (2018, 2023, 2024, 2025),
