@@ -54,7 +54,7 @@ def final_rows(v: Views):
 
 
 def _parts(v: Views):
-    return split_parts(snapshot(temporal_split(experiment_rows(v), EXPERIMENT)))
+    return split_parts(snapshot(temporal_split(experiment_rows(v), EXPERIMENT), balanced=True))
 
 
 def _fit_one(name: str):
@@ -71,15 +71,15 @@ def _fit_score(v: Views):
 
 
 def _fit_final(v: Views):
-    parts = snapshot(temporal_split(final_rows(v), FINAL))
+    parts = snapshot(temporal_split(final_rows(v), FINAL), balanced=True)
     model = models.fit_final(parts.filter("split = 'train'"), FINAL_FEATURES, rounds=3)
     scored = models.score_with(model, parts.filter("split <> 'train'"))
-    return evaluate(snapshot(scored.select("split", "fire", "score")), ["split"])
+    return evaluate(scored, ["split"])
 
 
 def _small_model(v: Views):
     o = v.observations().drop("score").filter(F.col("rh_1d").isNotNull())
-    parts = split_parts(snapshot(temporal_split(o, FINAL)))
+    parts = split_parts(snapshot(temporal_split(o, FINAL), balanced=True))
     return models.fit_logistic(parts["train"], SMALL_FEATURES, max_iter=50), parts["test"]
 
 

@@ -40,18 +40,18 @@ def _stratified_most(v: Views):
 def _top_up(v: Views):
     """Twenty rows of 2020 brought to 2,000 with rows of any year."""
     o = _observation_keys(v)
-    picked = sampling.sample_n(o.filter("year = 2020"), 20, list(OBSERVATION_KEYS), SEED)
+    picked = snapshot(sampling.sample_n(o.filter("year = 2020"), 20, list(OBSERVATION_KEYS), SEED))
     return sampling.top_up(picked, o, 2000, list(OBSERVATION_KEYS), SEED)
 
 
 def _candidates(v: Views):
-    positives = fire_cells(v).select(*CELL_HOUR)
+    positives = snapshot(fire_cells(v).select(*CELL_HOUR))
     rows, cells, dates = negatives.universe_sizes(positives)
     return negatives.draw_candidates(positives, rows, SEED, cells, dates)
 
 
 def _negatives(v: Views, unique: bool = False):
-    return negatives.sample_negatives(fire_cells(v).select(*CELL_HOUR), SEED, unique=unique)
+    return negatives.sample_negatives(snapshot(fire_cells(v).select(*CELL_HOUR)), SEED, unique=unique)
 
 
 def _reject(v: Views):

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A plain cast would take '1d' as 1.0 and 'nan' as NaN, so the spelling is checked first.
-NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: ASCII white space, removed from both ends (a plain ``trim`` would leave tabs and line ends).
+WHITE_SPACE = " \t\n\x0b\f\r"
+#: A plain cast would take '1d' as 1.0 and 'nan' as NaN; only text made of these characters is tried.
+NUMBER_CHARACTERS = "0123456789+-.eE"
 
 
 def strip(text: Column) -> Column:
-    """Remove any white space at both ends (``trim`` would leave tabs)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_lower(text: Column) -> Column:
@@ -20,7 +21,8 @@ def strip_lower(text: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     bare = strip(text.cast("string"))
-    return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
+    foreign = F.translate(bare, NUMBER_CHARACTERS, "")
+    return F.when(foreign == "", bare.try_cast("double"))
 
 
 def to_day(text: Column) -> Column:

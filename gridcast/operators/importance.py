@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,26 +10,19 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.hashing import hash_bucket_of, key_hash
 from gridcast.operators.metrics import ranking_metrics
+from gridcast.operators.ranking import digits_for
 from gridcast.operators.stats import repeat_summary
 
-#: Rows a single bucket may hold on average.
-BUCKET_ROWS = 65_536
-
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def bucket_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
-    """Hex digits of the bucket prefix that keep buckets near ``bucket_rows``; 0 puts a small table in one."""
-    return max(0, math.ceil(math.log(rows / bucket_rows, 16))) if rows > bucket_rows else 0
-
-
 def permute_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], repeats: int, seed: int, rows: int) -> DataFrame:
     """``repeats`` copies of the table; ``_with`` holds the columns of another row of the same random bucket.
 
     In each repeat and bucket the rows form one random ring and each takes the values of its successor: a true
     permutation (every value is used once) from a single sort, without joining the table to itself.
     """
-    digits = bucket_digits(rows)
+    digits = digits_for(rows)
     copies = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     hashed = copies.withColumn("_hash", key_hash([*keys, "repeat"], seed)).withColumn(
         "_bucket", hash_bucket_of(F.col("_hash"), digits)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.rates import decide, f_score, ratio
 from gridcast.operators.ranking import running_totals, value_buckets
+from gridcast.session import snapshot
 
 
 #: Ranges of the score that are ranked independently.
@@ -29,12 +30,15 @@ def per_score(scored: DataFrame, by: Sequence[str], score: str, label: str) -> D
 def rank_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "fire") -> DataFrame:
     """Per distinct score, from the highest down: ``n``, ``tp``, running totals and group totals.
 
-    Runs one job to find bucket limits; they spread the work and do not affect the values.
+    The per-score table is stored, so ``scored`` is read exactly once. A job over it finds bucket limits; they
+    spread the work and do not affect the values.
     """
-    values = scored.select(F.col(score).cast("double").alias("score"))
-    buckets, _ = value_buckets(values, ["score"], [i / CURVE_PARTS for i in range(1, CURVE_PARTS)], 1.0 / (4 * CURVE_PARTS))
-    table = buckets.transform(per_score(scored, by, score, label))
-    return running_totals(table, by, "_bucket_score", "score", ["n", "tp"], descending=True).drop("_bucket_score")
+    table = snapshot(per_score(scored, by, score, label))
+    parts = [i / CURVE_PARTS for i in range(1, CURVE_PARTS)]
+    buckets, _ = value_buckets(table, ["score"], parts, 1.0 / (4 * CURVE_PARTS))
+    return running_totals(
+        buckets.transform(table), by, "_bucket_score", "score", ["n", "tp"], descending=True
+    ).drop("_bucket_score")
 
 
 def pr_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "fire") -> DataFrame:

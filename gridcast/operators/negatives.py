@@ -17,6 +17,7 @@ from gridcast.functions.hashing import hash_slice
 from gridcast.operators.dedupe import dedupe_first
 from gridcast.operators.ranking import position, take_first
 from gridcast.schemas import CELL_HOUR
+from gridcast.session import snapshot
 
 MAX_ATTEMPTS_PER_ROW = 100
 #: The sample is cut over this many equal ranges of draw numbers.
@@ -89,13 +90,14 @@ def sample_negatives(positives: DataFrame, seed: int = 42, unique: bool = False)
     """As many negatives as positives. Among themselves they may repeat unless ``unique``.
 
     ``positives`` has one row per key and is read several times: pass a stored table, not a long plan. One row of
-    sizes is fetched to plan the draws. The result fails when the attempts run out before the target is reached.
+    sizes is fetched to plan the draws, and the accepted draws are stored before they are cut. The result fails when the attempts run out before the target is reached.
     """
     target, cells, dates = universe_sizes(positives)
     draws = draws_needed(target, cells * dates * 24, unique)
     accepted = reject_positives(draw_candidates(positives, draws, seed, cells, dates), positives)
     if unique:
         accepted = dedupe_first(accepted, CELL_HOUR, ["draw"])
+    accepted = snapshot(accepted)
     width = max(1, math.ceil(draws / DRAW_RANGES))
     sample = take_first(
         accepted,

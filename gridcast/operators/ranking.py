@@ -8,6 +8,7 @@ data holds; for measured values the bucket limits are quantiles of the values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -17,8 +18,15 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.hashing import hash_bucket_of
 
-#: Hex digits of a digest used as bucket: 16^4 buckets, so 10^12 rows leave 15 million per bucket.
+#: Hex digits of a digest used as bucket where one bucket is sorted: 16^4, so 10^12 rows leave 15 million in it.
 HASH_DIGITS = 4
+#: Rows a bucket should hold where every bucket is sorted.
+BUCKET_ROWS = 65_536
+
+
+def digits_for(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Hex digits of a hash prefix that keep buckets near ``bucket_rows``; 0 puts a small table in one bucket."""
+    return max(0, math.ceil(math.log(rows / bucket_rows, 16))) if rows > bucket_rows else 0
 
 
 def hash_bucket(digest: Column, digits: int = HASH_DIGITS) -> Column:
@@ -32,9 +40,8 @@ def position(
     by = list(by)
     keyed = df.withColumn("_bucket", bucket)
     counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per bucket: the window below never sees more than the number of buckets.
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # One row per bucket: the window behind the offsets never sees more than the number of buckets.
+    offsets = running_count(counts, by).drop("_n")
     # Join and window share their keys, so the rows are exchanged once.
     local = W.partitionBy(*by, "_bucket").orderBy(*order)
     return (
@@ -44,37 +51,44 @@ def position(
     )
 
 
-def _cuts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group: the bucket in which the quota runs out, and how many rows of it still fit.
+def running_count(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_before``, the rows of the group in lower buckets, to counts per (group, bucket)."""
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def cut_of(quota: Column) -> list[Column]:
+    """Aggregates over running counts: the bucket in which ``quota`` rows are reached, and how many of it fit.
 
-    ``counts`` holds group, ``_bucket``, ``_n`` and ``_quota``; groups that fit whole get a NULL bucket.
+    ``_cut`` is NULL if all rows fit; rows of lower buckets fit whole.
     """
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    running = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    crossing = (F.col("_before") < F.col("_quota")) & (F.col("_quota") < F.col("_before") + F.col("_n"))
-    full = (F.col("_before") >= F.col("_quota")) & (F.col("_n") > 0)
-    return running.groupBy(*by).agg(
-        F.min(F.when(crossing | full, F.col("_bucket"))).alias("_cut"),
-        F.coalesce(F.max(F.when(crossing, F.col("_quota") - F.col("_before"))), F.lit(0)).alias("_need"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"),
-    )
+    reached = F.col("_before") + F.col("_n") > quota
+    crossing = reached & (F.col("_before") < quota)
+    return [
+        F.min(F.when(reached & (F.col("_n") > 0), F.col("_bucket"))).alias("_cut"),
+        F.coalesce(F.max(F.when(crossing, quota - F.col("_before"))), F.lit(0)).alias("_need"),
+    ]
 
 
 def take_first(
     df: DataFrame, n: int | Column, order: Sequence[str], bucket: Column, short_message: str | None = None
 ) -> DataFrame:
-    """Exactly the first ``n`` rows of the order. With fewer rows: all of them, or a failure if a message is given."""
+    """Exactly the first ``n`` rows of the order. With fewer rows: all of them, or a failure if a message is given.
+
+    ``df`` is read three times (counts, whole buckets, the one bucket that is cut), so pass a scan or a stored
+    table. Only the cut bucket is sorted.
+    """
     keyed = df.withColumn("_bucket", bucket)
     quota = F.lit(n) if isinstance(n, int) else n
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_quota", quota)
-    cut = _cuts(counts, [])
+    counts = running_count(keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_quota", quota))
+    cut = counts.agg(*cut_of(F.col("_quota")), F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
     if short_message is not None:
         failure = F.raise_error(F.lit(short_message)).cast(cut.schema["_cut"].dataType)
         cut = cut.withColumn("_cut", F.when(F.col("_total") >= quota, F.col("_cut")).otherwise(failure))
-    last = cut.select("_cut").scalar()
-    need = cut.select("_need").scalar()
-    whole = keyed.filter(F.coalesce(F.col("_bucket") < last, F.lit(True)))
-    # Only the one bucket that the cut falls into is ranked.
+    # One subquery for both numbers: Spark runs it once and shares it between the branches.
+    found = cut.select(F.struct("_cut", "_need")).scalar()
+    last, need = found.getField("_cut"), found.getField("_need")
+    whole = keyed.filter(last.isNull() | (F.col("_bucket") < last))
     edge = (
         keyed.filter(F.col("_bucket") == last)
         .withColumn("_rank", F.row_number().over(W.orderBy(*order)))
@@ -84,34 +98,6 @@ def take_first(
     return whole.unionByName(edge).drop("_bucket")
 
 
-def flag_over_quota(
-    df: DataFrame, quotas: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, name: str = "over"
-) -> DataFrame:
-    """Mark rows 0 when within the first ``quota`` rows of their group, else 1.
-
-    ``quotas`` has one row per group and is broadcast, so ``by`` must be of bounded size: calendar years here
-    (a DATE spans at most 9,999 of them).
-    """
-    by = list(by)
-    keyed = df.withColumn("_bucket", bucket)
-    counts = (
-        keyed.groupBy(*by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(F.broadcast(quotas.withColumnRenamed("quota", "_quota")), by)
-    )
-    marked = keyed.join(F.broadcast(_cuts(counts, by)), by)
-    clear = marked.filter(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut"))).withColumn(
-        name, F.when(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")), 0).otherwise(1)
-    )
-    edge = (
-        marked.filter(F.col("_bucket") == F.col("_cut"))
-        .withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-        .withColumn(name, (F.col("_rank") > F.col("_need")).cast("int"))
-        .drop("_rank")
-    )
-    return clear.unionByName(edge).drop("_bucket", "_cut", "_need", "_total")
-
-
 def value_buckets(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], error: float
 ) -> tuple[Bucketizer, dict[str, list[float]]]:

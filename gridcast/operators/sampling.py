@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridcast.functions.hashing import hash_slice, key_hash
-from gridcast.operators.ranking import HASH_DIGITS, flag_over_quota, hash_bucket, position, take_first
+from gridcast.operators.ranking import HASH_DIGITS, cut_of, digits_for, hash_bucket, position, running_count, take_first
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -18,18 +18,23 @@ def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> Data
     return take_first(hashed, n, ["_hash", *keys], hash_bucket(F.col("_hash"))).drop("_hash")
 
 
+def _ranked(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: int, name: str) -> DataFrame:
+    """Every row is ranked, so the buckets are sized by a row count (a job that reads no columns it can avoid)."""
+    digits = digits_for(df.count())
+    hashed = df.withColumn("_hash", key_hash(keys, seed))
+    return position(hashed, ["_hash", *keys], hash_bucket(F.col("_hash"), digits), by=by, name=name).drop("_hash")
+
+
 def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: int = 42, name: str = "position") -> DataFrame:
     """Seeded permutation, kept as a rank column because a distributed table has no row order of its own."""
-    hashed = df.withColumn("_hash", key_hash(keys, seed))
-    return position(hashed, ["_hash", *keys], hash_bucket(F.col("_hash")), name=name).drop("_hash")
+    return _ranked(df, (), keys, seed, name)
 
 
 def rank_in_stratum(
     df: DataFrame, stratum: str, keys: Sequence[str], seed: int = 42, name: str = "rank"
 ) -> DataFrame:
     """Seeded rank inside each stratum; a stratum may hold any share of the rows."""
-    hashed = df.withColumn("_hash", key_hash(keys, seed))
-    return position(hashed, ["_hash", *keys], hash_bucket(F.col("_hash")), by=[stratum], name=name).drop("_hash")
+    return _ranked(df, [stratum], keys, seed, name)
 
 
 def year_quotas(df: DataFrame, n: int, year: str = "year") -> DataFrame:
@@ -45,18 +50,46 @@ def year_quotas(df: DataFrame, n: int, year: str = "year") -> DataFrame:
 def stratified_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42, year: str = "year") -> DataFrame:
     """``n`` rows in equal year quotas; a short year is topped up from rows not picked yet; all rows if n >= N.
 
-    Rows within quota sort before the others, so the first ``n`` of (over, hash) are quota rows plus top-up.
+    One count per (year, hash bucket) decides everything but two kinds of buckets: where a year's quota ends, and
+    where the top-up ends. Only those are ranked; all other rows are kept or dropped by comparing their bucket.
     """
-    hashed = df.withColumn("_hash", key_hash(keys, seed))
-    flagged = flag_over_quota(
-        hashed, year_quotas(df, n, year), [year], ["_hash", *keys], hash_bucket(F.col("_hash")), name="_over"
+    hashed = df.withColumn("_hash", key_hash(keys, seed)).withColumn("_bucket", hash_bucket(F.col("_hash")))
+    counts = hashed.groupBy(year, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # A DATE has at most 9,999 years: quotas and cuts have one row per year and are broadcast.
+    running = running_count(counts, [year]).join(F.broadcast(year_quotas(df, n, year)), year)
+    within = F.least(F.greatest(F.col("quota") - F.col("_before"), F.lit(0)), F.col("_n"))
+    cuts = running.groupBy(year).agg(*cut_of(F.col("quota")))
+
+    # Rows left over per bucket, all years together, against the number of rows still missing.
+    left = running.withColumn("_taken", within).groupBy("_bucket").agg(
+        F.sum(F.col("_n") - F.col("_taken")).alias("_n"), F.sum("_taken").alias("_taken")
+    )
+    missing = F.greatest(F.lit(n) - F.sum("_taken").over(W.partitionBy()), F.lit(0))
+    extra = running_count(left.withColumn("_short", missing)).agg(
+        *[c.alias(f"_extra{c_name}") for c, c_name in zip(cut_of(F.col("_short")), ("_cut", "_need"))]
+    )
+    top = extra.select(F.struct("_extra_cut", "_extra_need")).scalar()
+    marked = hashed.join(F.broadcast(cuts), year).withColumns(
+        {
+            "_edge": F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False)),
+            "_in": F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")),
+            "_top_in": top.getField("_extra_cut").isNull() | (F.col("_bucket") < top.getField("_extra_cut")),
+            "_top_edge": F.coalesce(F.col("_bucket") == top.getField("_extra_cut"), F.lit(False)),
+        }
+    )
+    clear = marked.filter(~F.col("_edge") & ~F.col("_top_edge") & (F.col("_in") | F.col("_top_in")))
+    order = ["_hash", *keys]
+    close = marked.filter(F.col("_edge") | F.col("_top_edge")).withColumn(
+        "_rank", F.row_number().over(W.partitionBy(year, "_edge").orderBy(*order))
     )
-    bucket = F.concat(F.col("_over").cast("string"), hash_bucket(F.col("_hash")))
-    return take_first(flagged, n, ["_over", "_hash", *keys], bucket).drop("_hash", "_over")
+    close = close.withColumn("_in", F.when(F.col("_edge"), F.col("_rank") <= F.col("_need")).otherwise(F.col("_in")))
+    close = close.withColumn("_rank", F.row_number().over(W.partitionBy("_in", "_top_edge").orderBy(*order)))
+    topped = F.when(F.col("_top_edge"), F.col("_rank") <= top.getField("_extra_need")).otherwise(F.col("_top_in"))
+    return clear.select(*df.columns).unionByName(close.filter(F.col("_in") | topped).select(*df.columns))
 
 
 def top_up(picked: DataFrame, pool: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Bring ``picked`` to ``n`` rows with rows of ``pool`` that are not in it, in seeded order."""
+    """Bring ``picked`` (a stored table) to ``n`` rows with rows of ``pool`` that are not in it, in seeded order."""
     short = F.greatest(F.lit(n) - picked.agg(F.count(F.lit(1))).scalar(), F.lit(0))
     rest = pool.join(picked.select(*keys), list(keys), "left_anti").withColumn("_hash", key_hash(keys, seed))
     extra = take_first(rest, short, ["_hash", *keys], hash_bucket(F.col("_hash"))).drop("_hash")

@@ -37,8 +37,8 @@ def score_all(models: Mapping[str, PipelineModel], test: DataFrame, label: str =
 
 
 def compare(models: Mapping[str, PipelineModel], test: DataFrame, label: str = "fire") -> DataFrame:
-    """One row of metrics per model. Scores are stored once; the metrics read them twice."""
-    return evaluate(snapshot(score_all(models, test, label)), ["model", "model_order"], label=label)
+    """One row of metrics per model, all models scored in one pass."""
+    return evaluate(score_all(models, test, label), ["model", "model_order"], label=label)
 
 
 def fit_score(
@@ -65,7 +65,7 @@ def temporal_experiment(
 
     With ``refit`` the winner is fitted again on train and validation; without, the validated model is scored.
     """
-    table = snapshot(temporal_split(_needed(df, features, label, ["year"]), years))
+    table = snapshot(temporal_split(_needed(df, features, label, ["year"]), years), balanced=True)
     if required_years:
         require_years(table, required_years)
     require_nonempty(table, ["train", "validation", "test"])
@@ -87,7 +87,7 @@ def spatial_experiment(
     df: DataFrame, features: Sequence[str], family: Family, seed: int = 42, label: str = "fire"
 ) -> DataFrame:
     """Whole 2-degree blocks held out; metrics per model next to the group profile."""
-    table = snapshot(spatial_holdout(_needed(df, features, label, ["cell_y", "cell_x"]), seed=seed))
+    table = snapshot(spatial_holdout(_needed(df, features, label, ["cell_y", "cell_x"]), seed=seed), balanced=True)
     profile = split_profile(table, "block")
     scores = fit_score(table.filter("split = 'train'"), table.filter("split = 'test'"), features, family, label)
     return scores.drop("model_order").select(
@@ -107,15 +107,14 @@ def ablation(
 ) -> DataFrame:
     """Every model on every feature set: train on the training years, score the test years."""
     features = list(dict.fromkeys(f for names in sets.values() for f in names))
-    parts = split_parts(snapshot(temporal_split(_needed(df, features, label, ["year"]), years)))
+    parts = split_parts(snapshot(temporal_split(_needed(df, features, label, ["year"]), years), balanced=True))
     stats = training_stats(parts["train"], features, family.impute)
     scored = []
     for name, chosen in sets.items():
         models = fit_all(parts["train"], list(chosen), family, label, stats)
         scored.append(score_all(models, parts["test"], label).withColumn("feature_set", F.lit(name)))
-    return evaluate(
-        snapshot(reduce(DataFrame.unionByName, scored)), ["feature_set", "model", "model_order"], label=label
-    ).drop("model_order")
+    table = reduce(DataFrame.unionByName, scored)
+    return evaluate(table, ["feature_set", "model", "model_order"], label=label).drop("model_order")
 
 
 def seed_sensitivity(
@@ -131,7 +130,6 @@ def seed_sensitivity(
         )
         for seed in seeds
     ]
-    table = score(snapshot(reduce(DataFrame.unionByName, repeats)))
-    per_seed = evaluate(table, ["seed"], digits=None)
+    per_seed = evaluate(score(reduce(DataFrame.unionByName, repeats)), ["seed"], digits=None)
     long = per_seed.unpivot(["seed"], list(metrics), "metric", "value")
     return repeat_summary(long, ["metric"], "value")

@@ -104,7 +104,7 @@ def train_final(
 ) -> FinalModel:
     """Fit on the training years, score validation and test, permute features on the test rows."""
     require_complete(df, [*features, "fire"])
-    table = snapshot(temporal_split(df, years))
+    table = snapshot(temporal_split(df, years), balanced=True)
     parts = split_parts(table)
     model = fit(parts["train"], features)
     scored = snapshot(score_with(model, table.filter("split in ('validation', 'test')")))

@@ -34,17 +34,18 @@ def score_rows(raw: DataFrame, features: Sequence[str], scorer: Scorer, threshol
     The first feature (in list order) that is absent or unreadable is the one reported.
     """
     carried = [c for c in raw.columns if c not in features]
+    parsed = raw.select("*", *[to_number(F.col(f)).alias(f"_n_{f}") for f in features])
     problems = [
         F.when(F.col(f).isNull(), F.lit(f"Invalid input: '{f}' is missing")).when(
-            to_number(F.col(f)).isNull(), F.concat(F.lit(f"Invalid input: '{f}' is not a number: "), F.col(f))
+            F.col(f"_n_{f}").isNull(), F.concat(F.lit(f"Invalid input: '{f}' is not a number: "), F.col(f))
         )
         for f in features
     ]
     # Unreadable values are scored as 0 and the result is masked, so one projection serves all rows.
-    typed = raw.select(
+    typed = parsed.select(
         *carried,
         F.coalesce(*problems).alias("error"),
-        *[F.coalesce(to_number(F.col(f)), F.lit(0.0)).alias(f) for f in features],
+        *[F.coalesce(F.col(f"_n_{f}"), F.lit(0.0)).alias(f) for f in features],
     )
     valid = F.col("error").isNull()
     probability = F.when(valid, F.col("score"))
