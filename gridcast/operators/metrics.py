@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.rates import decide, f_score, ratio
-from gridcast.operators.ranking import running_totals, value_buckets
+from gridcast.operators.ranking import quantile_limits, running_totals, value_bucket
 from gridcast.session import snapshot
 
 
@@ -35,10 +35,9 @@ def rank_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score",
     """
     table = snapshot(per_score(scored, by, score, label))
     parts = [i / CURVE_PARTS for i in range(1, CURVE_PARTS)]
-    buckets, _ = value_buckets(table, ["score"], parts, 1.0 / (4 * CURVE_PARTS))
-    return running_totals(
-        buckets.transform(table), by, "_bucket_score", "score", ["n", "tp"], descending=True
-    ).drop("_bucket_score")
+    limits = quantile_limits(table, ["score"], parts, 1.0 / (4 * CURVE_PARTS))["score"]
+    bucketed = table.withColumn("_bucket", value_bucket(F.col("score"), F.lit(limits).cast("array<double>")))
+    return running_totals(bucketed, by, "_bucket", "score", ["n", "tp"], descending=True).drop("_bucket")
 
 
 def pr_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "fire") -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,22 +97,20 @@ def take_first(
     return whole.unionByName(edge).drop("_bucket")
 
 
-def value_buckets(
+def quantile_limits(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], error: float
-) -> tuple[Bucketizer, dict[str, list[float]]]:
-    """Bucket limits at approximate quantiles of each column, found in one pass over ``df`` (runs a job).
+) -> dict[str, list[float]]:
+    """Approximate quantiles of each column, found in one pass over ``df`` (runs a job).
 
-    Results never depend on where the limits fall; they only keep the buckets even.
+    As bucket limits they only keep buckets even; no result depends on where exactly they fall.
     """
     found = df.approxQuantile(list(columns), list(probabilities), error)
-    limits = {c: sorted(set(inner)) or [0.0] for c, inner in zip(columns, found)}
-    buckets = Bucketizer(
-        splitsArray=[[float("-inf"), *limits[c], float("inf")] for c in columns],
-        inputCols=list(columns),
-        outputCols=[f"_bucket_{c}" for c in columns],
-        handleInvalid="keep",
-    )
-    return buckets, limits
+    return {c: sorted(set(inner)) for c, inner in zip(columns, found)}
+
+
+def value_bucket(value: Column, limits: Column) -> Column:
+    """Number of limits (an array) at or below the value: a bucket that rises with the value."""
+    return F.size(F.filter(limits, lambda limit: limit <= value))
 
 
 def running_totals(

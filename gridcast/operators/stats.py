@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.operators.ranking import running_totals, value_buckets
+from gridcast.operators.ranking import quantile_limits, running_totals, value_bucket
 
 
 #: Rank error of the bracket around the median, as a share of the rows.
-BRACKET_ERROR = 1e-3
+BRACKET_ERROR = 2e-3
 BRACKET_PARTS = 16
 
 
@@ -26,18 +26,19 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     reach = 2 * BRACKET_ERROR
     probabilities = [0.5 - reach + 2 * reach * i / BRACKET_PARTS for i in range(BRACKET_PARTS + 1)]
-    buckets, limits = value_buckets(numeric, columns, probabilities, BRACKET_ERROR)
-    wide = buckets.transform(numeric)
+    # An all-NULL column has no quantiles and no rows below; any limit will do.
+    limits = {c: found or [0.0] for c, found in quantile_limits(numeric, columns, probabilities, BRACKET_ERROR).items()}
 
     def clamped(c: str):
         low, high = limits[c][0], limits[c][-1]
         inner = F.when(F.col(c) < low, float("-inf")).when(F.col(c) > high, float("inf")).otherwise(F.col(c))
-        return F.struct(F.lit(c).alias("feature"), inner.alias("value"), F.col(f"_bucket_{c}").alias("_bucket"))
+        return inner.alias(c)
 
-    present = F.filter(F.array(*[F.when(F.col(c).isNotNull(), clamped(c)) for c in columns]), lambda e: e.isNotNull())
-    long = wide.select(F.inline(present))
-    counted = long.groupBy("feature", "_bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, ["feature"], "_bucket", "value", ["n"])
+    long = numeric.select(*[clamped(c) for c in columns]).unpivot([], columns, "feature", "value")
+    counted = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    of_feature = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(limits[c]).cast("array<double>"))])
+    bucketed = counted.withColumn("_bucket", value_bucket(F.col("value"), of_feature[F.col("feature")]))
+    ranked = running_totals(bucketed, ["feature"], "_bucket", "value", ["n"])
     first = F.col("cum_n") - F.col("n") + 1
 
     def value_at(rank):
