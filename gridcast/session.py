@@ -39,14 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session, where all executors share one disk, may fall back to a new temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="gridcast-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridcast-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def snapshot(df: DataFrame, balanced: bool = False) -> DataFrame:
