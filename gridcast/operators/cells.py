@@ -61,3 +61,10 @@ def with_degrees(cells: DataFrame) -> DataFrame:
     return cells.select(
         cell_degrees(F.col("cell_y")).alias("grid_lat"), cell_degrees(F.col("cell_x")).alias("grid_lon"), "*"
     )
+
+
+def with_indices(df: DataFrame) -> DataFrame:
+    """Integer keys for a table that only has display coordinates."""
+    if {"cell_y", "cell_x"} <= set(df.columns):
+        return df
+    return df.withColumns({"cell_y": cell_index(F.col("grid_lat")), "cell_x": cell_index(F.col("grid_lon"))})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.operators.assembly import labelled_dataset
-from gridcast.operators.cells import fire_cells
+from gridcast.operators.cells import fire_cells, with_indices
 from gridcast.operators.checks import require_complete
 from gridcast.operators.holdout import FINAL, Years, split_parts, temporal_split
 from gridcast.operators.importance import permutation_importance
@@ -70,7 +70,7 @@ def run_experiments(
     required_years: Sequence[int] = (2018, 2023, 2024, 2025),
 ) -> None:
     """Temporal, spatial and ablation experiments into one report and one table."""
-    table = snapshot(df)
+    table = snapshot(with_indices(df), balanced=True)
     sets = snapshot(ablation(table, family))
     write_table(sets, f"{output}/ablation", fmt="csv")
     write_report(
@@ -104,6 +104,7 @@ def train_final(
 ) -> FinalModel:
     """Fit on the training years, score validation and test, permute features on the test rows."""
     require_complete(df, [*features, "fire"])
+    df = with_indices(df)
     table = snapshot(temporal_split(df, years), balanced=True)
     parts = split_parts(table)
     model = fit(parts["train"], features)
