@@ -158,6 +158,10 @@ def _require_checks(v: Views):
     )
 
 
+def _violations(**wanted):
+    return lambda v: checks.violations(holdout.temporal_split(v.observations()), **wanted)
+
+
 def _exclude_leakage(v: Views):
     table = cells.fire_cells(cells.locate(cells.bbox_filter(v.detections())))
     return checks.exclude_leakage(table, ["hour", "month", "cell_y", "cell_x"])
@@ -278,6 +282,42 @@ QUERIES = {
             "observations",
         ),
     ),
+    "require_columns": Query(
+        _violations(columns=["fire", "temp_1d", "soil_1d"]),
+        oracle(
+            """select 'column' as "check", c as subject,
+                      (select count(*) = 0 from (describe observations) where column_name = c)::bigint as violations
+               from unnest(['fire', 'temp_1d', 'soil_1d']) t(c)""",
+            "observations",
+        ),
+    ),
+    "require_complete": Query(
+        _violations(complete=["temp_1d", "rh_1d"]),
+        oracle(
+            """select 'complete' as "check", 'temp_1d' as subject, count(*) filter (temp_1d is null) as violations from observations
+               union all select 'complete', 'rh_1d', count(*) filter (rh_1d is null) from observations""",
+            "observations",
+        ),
+    ),
+    "require_years": Query(
+        _violations(years=[2018, 2023, 2024, 2025]),
+        oracle(
+            """select 'year' as "check", y::varchar as subject,
+                      (select (count(*) = 0)::bigint from observations where year = y) as violations
+               from unnest([2018, 2023, 2024, 2025]) t(y)""",
+            "observations",
+        ),
+    ),
+    "require_nonempty": Query(
+        _violations(splits=["train", "validation", "test"]),
+        oracle(
+            """select 'nonempty' as "check", s as subject, (select (count(*) = 0)::bigint from observations
+                 where s = case when year <= 2023 then 'train' when year = 2024 then 'validation'
+                                when year = 2025 then 'test' end) as violations
+               from unnest(['train', 'validation', 'test']) t(s)""",
+            "observations",
+        ),
+    ),
     "exclude_leakage": Query(
         _exclude_leakage, oracle("select cell_y, cell_x, acq_date, hour, fire, year, month from cells", "cells")
     ),

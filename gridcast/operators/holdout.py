@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.grid import block_key
 from gridcast.functions.hashing import key_hash
+from gridcast.operators.checks import at_most
+
+
+#: Two-degree blocks on the globe.
+MAX_BLOCKS = 90 * 180
 
 
 @dataclass(frozen=True)
@@ -42,7 +47,8 @@ def with_block(df: DataFrame, name: str = "block") -> DataFrame:
 def split_blocks(blocks: DataFrame, test_share: float = 0.2, seed: int = 42, block: str = "block") -> DataFrame:
     """Seeded choice of whole blocks: the first max(1, round(share * n)) in hash order are test.
 
-    The globe has 90 x 180 two-degree blocks, so the ranked table never exceeds 16,200 rows.
+    The globe has 90 x 180 two-degree blocks, so the ranked table never exceeds 16,200 rows; a table with more
+    (unchecked coordinates) fails instead of being broadcast.
     """
     ranked = blocks.select(block).distinct().withColumn("_hash", key_hash([block], seed))
     ranked = ranked.select(
@@ -50,6 +56,7 @@ def split_blocks(blocks: DataFrame, test_share: float = 0.2, seed: int = 42, blo
         F.row_number().over(W.orderBy("_hash", block)).alias("_rank"),
         F.count(F.lit(1)).over(W.partitionBy()).alias("_all"),
     )
+    ranked = ranked.filter(at_most(F.col("_all"), MAX_BLOCKS, "spatial blocks"))
     cut = F.greatest(F.lit(1), F.rint(F.col("_all") * F.lit(test_share)).cast("int"))
     return ranked.select(block, F.when(F.col("_rank") <= cut, "test").otherwise("train").alias("split"))
 

@@ -9,9 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridcast.functions.hashing import hash_slice, key_hash
+from gridcast.operators.checks import at_most
 from gridcast.operators.ranking import HASH_DIGITS, cut_of, digits_for, hash_bucket, position, running_count, take_first
 
 
+#: Years a DATE can hold; per-year tables are broadcast.
+MAX_YEARS = 9_999
+
+
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all if fewer), without replacement."""
     hashed = df.withColumn("_hash", key_hash(keys, seed))
@@ -43,6 +48,7 @@ def year_quotas(df: DataFrame, n: int, year: str = "year") -> DataFrame:
     ordered = years.select(
         year, F.row_number().over(W.orderBy(year)).alias("_i"), F.count(F.lit(1)).over(W.partitionBy()).alias("_k")
     )
+    ordered = ordered.filter(at_most(F.col("_k"), MAX_YEARS, "years"))
     share = F.floor(F.lit(n) / F.col("_k")) + (F.col("_i") <= F.lit(n) % F.col("_k")).cast("int")
     return ordered.select(year, share.cast("long").alias("quota"))
 
@@ -55,7 +61,7 @@ def stratified_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42
     """
     hashed = df.withColumn("_hash", key_hash(keys, seed)).withColumn("_bucket", hash_bucket(F.col("_hash")))
     counts = hashed.groupBy(year, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # A DATE has at most 9,999 years: quotas and cuts have one row per year and are broadcast.
+    # Quotas and cuts have one row per year (checked), so they are broadcast.
     running = running_count(counts, [year]).join(F.broadcast(year_quotas(df, n, year)), year)
     within = F.least(F.greatest(F.col("quota") - F.col("_before"), F.lit(0)), F.col("_n"))
     cuts = running.groupBy(year).agg(*cut_of(F.col("quota")))
