@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -52,7 +53,16 @@ def select_model(scores: DataFrame, metric: str = "pr_auc") -> DataFrame:
     return scores.orderBy(F.desc(metric), "model_order").limit(1)
 
 
-def temporal_experiment(
+@dataclass
+class TemporalRun:
+    """Metric rows (validation of every model, test of the winner), the winner's name and its tested model."""
+
+    rows: DataFrame
+    selected: str
+    model: PipelineModel
+
+
+def run_temporal_protocol(
     df: DataFrame,
     features: Sequence[str],
     family: Family,
@@ -60,7 +70,7 @@ def temporal_experiment(
     required_years: Sequence[int] = (),
     refit: bool = True,
     label: str = "fire",
-) -> DataFrame:
+) -> TemporalRun:
     """Validate every model, pick the best by PR-AUC, score it once on the test years.
 
     With ``refit`` the winner is fitted again on train and validation; without, the validated model is scored.
@@ -80,7 +90,12 @@ def temporal_experiment(
         winner = fit_all(earlier, features, only(family, best), label)[best]
     test = compare({best: winner}, parts["test"], label)
     rows = validation.withColumn("split", F.lit("validation")).unionByName(test.withColumn("split", F.lit("test")))
-    return rows.withColumn("selected", F.col("model") == best).drop("model_order")
+    return TemporalRun(rows.withColumn("selected", F.col("model") == best).drop("model_order"), best, winner)
+
+
+def temporal_experiment(df: DataFrame, features: Sequence[str], family: Family, **options) -> DataFrame:
+    """The metric rows of the temporal protocol (see ``run_temporal_protocol`` for the options)."""
+    return run_temporal_protocol(df, features, family, **options).rows
 
 
 def spatial_experiment(

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.operators.assembly import labelled_dataset
-from gridcast.operators.cells import fire_cells, with_indices
+from gridcast.operators.cells import drop_incomplete, fire_cells, with_indices
 from gridcast.operators.checks import require_complete
-from gridcast.operators.holdout import FINAL, Years, split_parts, temporal_split
+from gridcast.operators.holdout import EXPERIMENT, FINAL, Years, split_parts, temporal_split
 from gridcast.operators.importance import permutation_importance
 from gridcast.operators.metrics import classification_report, evaluate
 from gridcast.operators.negatives import case_control_union, sample_negatives
 from gridcast.operators.profiles import coverage_report, dataset_profile, split_profile
 from gridcast.operators.sampling import sample_n, stratified_sample
 from gridcast.operators.weather import densify_hours, restrict_hourly, weather_features
-from gridcast.plans.experiments import ablation, spatial_experiment, temporal_experiment
+from gridcast.plans.experiments import ablation, run_temporal_protocol, spatial_experiment, temporal_experiment
 from gridcast.plans.models import Family, Fit, fit_final, score_with
 from gridcast.plans.scoring import prediction_table
 from gridcast.schemas import CELL_HOUR, FINAL_FEATURES, WEATHER_FEATURES
@@ -82,6 +82,19 @@ def run_experiments(
     )
 
 
+def run_temporal(
+    df: DataFrame, output: str, family: Family, features: Sequence[str] = WEATHER_FEATURES, years: Years = EXPERIMENT
+) -> DataFrame:
+    """Complete cases, no refit: the validated winner is tested as it is. Writes result rows, a summary, the model."""
+    rows = drop_incomplete(df, [*features, "fire", "acq_date"]).withColumn("year", F.year("acq_date"))
+    run = run_temporal_protocol(rows, features, family, years=years, refit=False)
+    results = snapshot(run.rows)
+    write_table(results, f"{output}/temporal_results", fmt="csv")
+    write_report(f"{output}/experiment_summary", final_test=results.filter("split = 'test'"))
+    save_model(run.model, f"{output}/model")
+    return results
+
+
 @dataclass
 class FinalModel:
     model: PipelineModel

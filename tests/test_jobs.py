@@ -190,6 +190,15 @@ def test_experiment_run(spark, rows, tmp_path):
     assert report["spatial"][0]["train_groups"] > report["spatial"][0]["test_groups"] > 0
 
 
+def test_temporal_run_without_refit(spark, rows, tmp_path):
+    family = models.Family(models.model_family(max_iter=5).fits, impute=False)
+    results = jobs.run_temporal(rows, str(tmp_path), models.only(family, "logistic_regression")).collect()
+    assert [(r["split"], r["selected"]) for r in sorted(results, key=lambda r: r["split"])] == [("test", True), ("validation", True)]
+    summary = json.loads(spark.read.text(str(tmp_path / "experiment_summary")).first()["value"])
+    assert summary["final_test"][0]["model"] == "logistic_regression"
+    assert load_model(spark, str(tmp_path / "model")) is not None
+
+
 def test_scoring_works_on_a_stream(spark, sf_dir, tmp_path):
     features = ("temp_1d", "rh_1d")
     raw = Views(spark, sf_dir).observations().select("l_orderkey", *[F.col(f).cast("string").alias(f) for f in features])

@@ -320,3 +320,36 @@ def test_random_split_is_row_level(spark, sf_dir):
     parts = sampling.random_split(o, list(OBSERVATION_KEYS)).groupBy("split").count().collect()
     share = {r["split"]: r["count"] for r in parts}
     assert 0.15 < share["test"] / sum(share.values()) < 0.25
+
+
+def test_hot_key_is_split_by_the_join(spark):
+    """A third of the observations share one weather key: the join splits that key over several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("int")
+        obs = spark.range(0, 300_000, 1, 8).select(hot.alias("k"), F.md5(F.col("id").cast("string")).alias("o"))
+        feats = spark.range(5000).select(F.col("id").cast("int").alias("k"), F.col("id").cast("double").alias("f"))
+        joined = assembly.attach_weather(obs, feats, ["k"], ["f"])
+        assert len(joined.collect()) == 300_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_box_and_columns_reach_the_scan(spark, sf_dir, tmp_path):
+    Views(spark, sf_dir).detections().write.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # the plan text shows all filters
+    boxed = cells.bbox_filter(spark.read.parquet(str(tmp_path / "d"))).select("det_id")
+    plan = boxed._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(latitude,6.0)" in plan and "LessThanOrEqual(longitude,98.0)" in plan
+    assert "ReadSchema: struct<det_id:bigint,latitude:double,longitude:double>" in plan
