@@ -33,10 +33,11 @@ FINAL = Years(train_last=2022, validation_last=2023)
 
 
 def temporal_split(df: DataFrame, years: Years = EXPERIMENT, year: str = "year", name: str = "split") -> DataFrame:
-    """Label each row by year; rows after the last test year belong to no split and get NULL."""
+    """Label each row by year; rows after the last test year, or without a year, belong to no split and get NULL."""
     y = F.col(year)
     label = F.when(y <= years.train_last, "train").when(y <= years.validation_last, "validation")
-    label = label.otherwise(F.lit("test")) if years.test_last is None else label.when(y <= years.test_last, "test")
+    # Not ``otherwise``: a row without a year must not become a test row.
+    label = label.when(y <= years.test_last if years.test_last is not None else y > years.validation_last, "test")
     return df.withColumn(name, label)
 
 

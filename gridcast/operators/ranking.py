@@ -35,7 +35,10 @@ def hash_bucket(digest: Column, digits: int = HASH_DIGITS) -> Column:
 def position(
     df: DataFrame, order: Sequence[str], bucket: Column, by: Sequence[str] = (), name: str = "position"
 ) -> DataFrame:
-    """Add the 1-based row number of each row in its group (or in the whole table)."""
+    """Add the 1-based row number of each row in its group (or in the whole table).
+
+    Rows without a group (NULL) have no rank and drop out.
+    """
     by = list(by)
     keyed = df.withColumn("_bucket", bucket)
     counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

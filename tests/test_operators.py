@@ -208,6 +208,14 @@ def test_checks_raise(spark):
         checks.exclude_leakage(df, ["a", "max_frp"])
 
 
+def test_rows_without_a_year_are_in_no_split(spark):
+    df = spark.createDataFrame([(2022,), (2023,), (2024,), (2025,), (2026,), (None,)], "year int")
+    final = {r["year"]: r["split"] for r in holdout.temporal_split(df, holdout.FINAL).collect()}
+    assert final == {2022: "train", 2023: "validation", 2024: "test", 2025: "test", 2026: "test", None: None}
+    experiment = {r["year"]: r["split"] for r in holdout.temporal_split(df).collect()}
+    assert experiment == {2022: "train", 2023: "train", 2024: "validation", 2025: "test", 2026: None, None: None}
+
+
 def test_feature_lists_are_clean():
     assert len(FINAL_FEATURES) == 31 and len(WEATHER_FEATURES) == 15
     assert not set(LEAKAGE) & set(FINAL_FEATURES + WEATHER_FEATURES)
