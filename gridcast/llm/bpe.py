@@ -11,7 +11,7 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from gridcast.llm.common import whole
 
-#: Distinct stretches a worker remembers before it starts afresh; results do not depend on it
-REMEMBERED = 600_000
+#: Distinct stretches and words a worker remembers before it starts afresh; results do not depend on it
+STRETCHES = 250_000
+WORDS = 700_000
 #: Words joined at once, so that long texts need no second copy of their ids
 AT_ONCE = 1 << 16
 # Fixed values of the tokenizer format
@@ -57,6 +58,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.merged: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word."""
@@ -89,15 +91,25 @@ class Bpe:
         """Ids (32 bits each, in the machine's little-endian order) and decoded text of a stretch without white space."""
         # Lower-casing looks at one character at a time, so a final sigma is like any other.
         text = raw.lower() if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
-        ids = self.merge(text) if text.isalpha() else [i for word in WORD.findall(text) for i in self.merge(word)]
-        found = array("I", ids).tobytes(), self.decode(ids)
+        ids = self.word(text) if text.isalpha() else b"".join(map(self.word, WORD.findall(text)))
+        found = ids, self.decode(array("I", ids))
         if len(raw) <= 64:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= STRETCHES:
                 self.known.clear()
             self.known[raw] = found
         return found
 
-    def decode(self, ids: list[int]) -> str:
+    def word(self, word: str) -> bytes:
+        """Ids of one lower-cased word, remembered unless it is very long."""
+        if (ids := self.merged.get(word)) is None:
+            ids = array("I", self.merge(word)).tobytes()
+            if len(word) <= 64:
+                if len(self.merged) >= WORDS:
+                    self.merged.clear()
+                self.merged[word] = ids
+        return ids
+
+    def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
     def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
