@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, exact, simhash
-from gridcast.llm.common import table
+from gridcast.llm import bpe, exact, language, quality, simhash
+from gridcast.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: Documents scored below this are rejected.
+GOOD = 0.3
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= GOOD).cast("int").alias("predicted")
+    return found.select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=2)
 
@@ -32,7 +50,9 @@ from (select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_siz
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_quality": op4_quality,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
