@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, exact, language, quality, simhash
+from gridcast.llm import bpe, exact, html, language, pages, quality, simhash
 from gridcast.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), html.train(pages.labelled_pages()))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs))
@@ -50,6 +54,7 @@ from (select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_siz
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality": op4_quality,

@@ -143,12 +143,11 @@ def links(prints: DataFrame, bits: int = 2, subtrie: int = SUBTRIE) -> DataFrame
     """
     spark = prints.sparkSession
     prints = snapshot(prints.select("fp").filter("fp is not null").distinct())
-    live = spark.range(1).select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
+    live = spark.range(1).select(F.col("id").alias("p"), F.col("id").alias("q"))  # the root with itself
     leaves = []
     for depth in range(STEP, 65, STEP):
         nodes = prints.groupBy(_prefix(depth).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-        up = F.shiftrightunsigned(F.col("x"), STEP) if depth > STEP else F.lit(0).cast("long")
-        nodes = nodes.withColumn("up", up)
+        nodes = nodes.withColumn("up", F.shiftrightunsigned("x", STEP))
         one = nodes.select(F.col("up").alias("p"), F.col("x").alias("x1"), F.col("n").alias("n1"))
         two = nodes.select(F.col("up").alias("q"), F.col("x").alias("x2"), F.col("n").alias("n2"))
         near = F.bit_count(F.col("x1").bitwiseXOR(F.col("x2"))) <= bits
@@ -159,7 +158,6 @@ def links(prints: DataFrame, bits: int = 2, subtrie: int = SUBTRIE) -> DataFrame
         small = (F.col("n1") <= subtrie) & (F.col("n2") <= subtrie) | F.lit(depth == 64)
         ready = pairs.filter(small).select("p", "q")
         at = prints.withColumn("x", _prefix(depth))
-        head = [F.lit(depth).alias("depth"), "p", "q"]
         leaves += [
             at.join(ready.withColumnRenamed("p", "x"), "x").select(F.lit(depth).alias("depth"), F.col("x").alias("p"), "q", F.lit(0).alias("side"), "fp"),
             at.join(ready.filter("p <> q").withColumnRenamed("q", "x"), "x").select(F.lit(depth).alias("depth"), "p", F.col("x").alias("q"), F.lit(1).alias("side"), "fp"),
