@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, exact, html, language, pages, quality, simhash
+from gridcast.llm import bpe, exact, html, language, pages, quality, simhash, warc
 from gridcast.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 OP9_SQL = """
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256
 from (select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, sha256(t) as text_sha256
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
