@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import bpe, exact, simhash
-from gridcast.llm.catalog import WORD_BPE
+from gridcast.llm import bpe, exact, leaks, quality, simhash
+from gridcast.llm.catalog import GOOD, WORD_BPE
 from gridcast.llm.common import table
 from gridcast.session import snapshot
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte network does not reject stay."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), GOOD)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group with the same bytes stays, that of the largest id."""
     return exact.drop_duplicates(docs, keep="largest")
@@ -20,14 +25,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, shingle=3, bits=2)
 
 
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage stay."""
+    return leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
     return bpe.digests(docs, WORD_BPE)
 
 
 STAGES = [
+    ("quality classifier", good_quality),
     ("exact dedup", exact_copies),
     ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", without_leaks),
     ("BPE encoding and decoding", tokens),
 ]
 

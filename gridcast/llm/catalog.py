@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, exact, html, language, pages, quality, simhash, warc
+from gridcast.llm import bpe, exact, html, language, leaks, pages, quality, rollup, simhash, warc
 from gridcast.llm.common import held_out, table
+from gridcast.session import shared_dir, snapshot
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,6 +41,25 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=2)
 
 
+#: Batches that documents arrive in, dealt by hash of the id
+BATCHES = 4
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted in batches; the first batch arrives twice and counts once."""
+    counted = snapshot(rollup.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, "byte_bpe_50k"))
+    changes = counted.withColumn("action", F.lit("insert"))
+    kept = rollup.Rollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+    for n in [*range(BATCHES), 0]:
+        kept.commit(changes.filter(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == n), f"documents-{n}")
+    return kept.totals()
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -62,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality": op4_quality,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,3 +146,14 @@ def scores(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text
     kind = docs.select(key).dtypes[0][1]
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
     return rows.mapInPandas(run, f"id {kind}, score double").select(F.col("id").alias(key), "score")
+
+
+def keep_good(docs: DataFrame, net: Network, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more; all columns kept, every row judged by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch.filter(pa.array([score(net, t or "") >= least for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
