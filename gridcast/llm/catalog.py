@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, exact, html, language, leaks, pages, quality, rollup, simhash, warc
+from gridcast.llm import bpe, exact, html, language, leaks, pages, quality, rollup, simhash, substrings, warc
 from gridcast.llm.common import held_out, table
 from gridcast.session import shared_dir, snapshot
 
@@ -41,6 +41,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=2)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 #: Batches that documents arrive in, dealt by hash of the id
 BATCHES = 4
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
