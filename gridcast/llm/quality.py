@@ -68,8 +68,8 @@ def score(net: Network, text: str) -> float:
     return float(1 / (1 + np.exp(-z)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit by Adam on documents in random order, in groups of 32. Without both labels the score is their share."""
+def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.01, seed: int = 7, steps: int = 1000) -> Network:
+    """Fit by Adam on documents in random order, in groups of 32: ``epochs`` times each, and ``steps`` groups at least. Without both labels the score is their share."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     share = float(y.mean()) if len(y) else 0.5
@@ -81,6 +81,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
     first = {k: np.zeros_like(v) for k, v in parts.items()}
     second = {k: np.zeros_like(v) for k, v in parts.items()}
     weight = np.where(y == 1, 1.0, np.sqrt(share / (1 - share)))  # the rarer label counts for more
+    epochs = max(epochs, -(-steps // -(-len(texts) // 32)))
     step, rows = 0, np.arange(WIDTH)[None, :, None]
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
