@@ -64,17 +64,27 @@ def _head_events(v: Views):
 
 
 def _payloads(v: Views):
-    """Payload text per cell and week (at most 168 hours each): odd weeks as a list, some replaced by an error."""
+    """Payload text per request (five coordinates of a week), in odd weeks one object per coordinate, else a list.
+
+    Some coordinates are replaced by an error, and some temperatures by text that is no number.
+    """
     week = F.date_trunc("week", "hour_ts").cast("date")
     reading = F.struct("hour_ts", *INSTANT)
     docs = v.hourly().groupBy("cell", week.alias("week")).agg(F.sort_array(F.collect_list(reading)).alias("r"))
     stamp = F.transform("r", lambda r: F.date_format(r["hour_ts"], "yyyy-MM-dd'T'HH:mm"))
-    hourly = F.struct(stamp.alias("time"), *[F.col(f"r.{c}").alias(c) for c in INSTANT])
+    broken = F.col("cell") % 7 == 3
+    warm = F.transform("r", lambda r: F.when(broken & (F.hour(r["hour_ts"]) == 5), "x").otherwise(r["temperature_2m"].cast("string")))
+    rest = [F.col(f"r.{c}").alias(c) for c in INSTANT if c != "temperature_2m"]
+    hourly = F.struct(stamp.alias("time"), warm.alias("temperature_2m"), *rest)
     body = F.to_json(F.struct(hourly.alias("hourly")), {"ignoreNullFields": "false"})
-    odd = (F.weekofyear("week") % 2) == 1
     failed = ((F.col("cell") + F.weekofyear("week")) % 11) == 0
-    text = F.when(failed, F.lit(json.dumps({"error": True}))).when(odd, F.concat(F.lit("["), body, F.lit("]")))
-    return docs.select("cell", "week", text.otherwise(body).alias("payload"))
+    text = F.when(failed, F.lit(json.dumps({"error": True}))).otherwise(body)
+    odd = (F.weekofyear("week") % 2) == 1
+    one = docs.select("week", F.floor(F.col("cell") / 5).cast("int").alias("batch"), "cell", text.alias("body"))
+    listed = one.filter(~odd).groupBy("week", "batch").agg(F.sort_array(F.collect_list(F.struct("cell", "body"))).alias("l"))
+    joined = F.concat(F.lit("["), F.concat_ws(",", F.col("l.body")), F.lit("]"))
+    lists = listed.select("week", "batch", F.lit(-1).alias("single"), joined.alias("payload"))
+    return lists.unionByName(one.filter(odd).select("week", "batch", F.col("cell").alias("single"), F.col("body").alias("payload")))
 
 
 def _cache_rows(v: Views):
@@ -221,8 +231,17 @@ QUERIES = {
         ),
     ),
     "explode_hourly": Query(
-        lambda v: weather.explode_hourly(_payloads(v), ["cell"]),
-        oracle("select * from hourly where (cell + weekofyear(hour_ts)) % 11 <> 0", "hourly"),
+        lambda v: weather.explode_hourly(_payloads(v), ["week", "batch", "single"]),
+        oracle(
+            """select * exclude (cell) replace (case when cell % 7 = 3 and hour(hour_ts) = 5 then null else temperature_2m end as temperature_2m)
+               from (select *, date_trunc('week', hour_ts)::date as week, cell // 5 as batch,
+                            case when weekofyear(hour_ts) % 2 = 1 then cell else -1 end as single,
+                            case when weekofyear(hour_ts) % 2 = 1 then 0
+                                 else dense_rank() over (partition by date_trunc('week', hour_ts), cell // 5 order by cell) - 1 end::int as place
+                     from hourly)
+               where (cell + weekofyear(hour_ts)) % 11 <> 0""",
+            "hourly",
+        ),
     ),
     "read_feature_cache": Query(
         lambda v: normalise_cache(_cache_rows(v), ["version"]),

@@ -23,13 +23,16 @@ REPEATS = 5
 
 
 def _test(v: Views):
-    """Test-year rows with the score rounded to two places, so that many rows tie."""
-    o = v.observations().filter(F.col("year") >= TEST_FROM)
-    return o.withColumn("score", F.round("score", 2))
+    """All rows with the score rounded to two places, so that many rows tie."""
+    return v.observations().withColumn("score", F.round("score", 2))
+
+
+def _complete(v: Views):
+    return v.observations().filter(F.col("rh_1d").isNotNull()).drop("score")
 
 
 def _complete_test(v: Views):
-    return v.observations().filter((F.col("year") >= TEST_FROM) & F.col("rh_1d").isNotNull()).drop("score")
+    return _complete(v).filter(F.col("year") >= TEST_FROM)
 
 
 def _brier(v: Views):
@@ -72,9 +75,9 @@ def _predictions(v: Views):
     return table
 
 
-def _candidate_scores(v: Views):
-    """Three candidate scores per validation row."""
-    o = v.observations().filter(F.col("year") == TEST_FROM)
+def _candidate_scores(v: Views, rows="true"):
+    """Three candidate scores per row."""
+    o = v.observations().filter(rows)
     named = [
         ("heat", (F.col("temp_1d") - 10.0) / 25.0),
         ("combined", F.col("score")),
@@ -85,7 +88,8 @@ def _candidate_scores(v: Views):
 
 
 def _select(v: Views):
-    return select_model(metrics.evaluate(_candidate_scores(v), ["model", "model_order"]))
+    """The best of three candidates on the validation year."""
+    return select_model(metrics.evaluate(_candidate_scores(v, f"year = {TEST_FROM}"), ["model", "model_order"]))
 
 
 def _evaluate(v: Views):
@@ -93,24 +97,18 @@ def _evaluate(v: Views):
 
 
 def _importance(v: Views):
-    return importance.permutation_importance(_complete_test(v), OBSERVATION_KEYS, FEATURES, SCORER, repeats=REPEATS, seed=SEED)
+    return importance.permutation_importance(_complete(v), OBSERVATION_KEYS, FEATURES, SCORER, repeats=REPEATS, seed=SEED)
 
 
 def _repeats(v: Views):
-    """Drop in ROC-AUC of one shuffled feature, summarised over repeats per year."""
-    table = _complete_test(v)
-    scored = importance.permuted_scores(
-        table.select(*OBSERVATION_KEYS, *FEATURES, "fire"), OBSERVATION_KEYS, ["temp_1d"], _one_feature, "fire", REPEATS, SEED, table.count()
-    )
+    """ROC-AUC with each feature shuffled, summarised over repeats."""
+    table = _complete(v).select(*OBSERVATION_KEYS, *FEATURES, "fire")
+    scored = importance.permuted_scores(table, OBSERVATION_KEYS, FEATURES, SCORER, "fire", REPEATS, SEED, table.count())
     return stats.repeat_summary(metrics.ranking_metrics(scored, ["feature", "repeat"]), ["feature"], "roc_auc")
 
 
-def _one_feature(df):
-    return df.withColumn("score", F.round((F.col("temp_1d") - 10.0) / 25.0, 4))
-
-
-TEST = f"select * replace (round(score, 2) as score) from observations where year >= {TEST_FROM}"
-COMPLETE = f"select * from observations where year >= {TEST_FROM} and rh_1d is not null"
+TEST = "select * replace (round(score, 2) as score) from observations"
+COMPLETE = "select * from observations where rh_1d is not null"
 CURVE = """
 select score, n, tp, sum(n) over w as cn, sum(tp) over w as ctp, sum(tp) over () as p, sum(n) over () as total
 from (select score, count(*) as n, sum(fire) as tp from test group by score) window w as (order by score desc)
@@ -157,11 +155,11 @@ from (select tn / (tn + fn)::double as p0, tn / (tn + fp)::double as r0, 2 * tn
              (tp + tn) / (tp + tn + fp + fn)::double as acc from counts)
 """
 
-CANDIDATES = f"""
-select fire, unnest([{{'model': 'heat', 'model_order': 0, 'score': round((temp_1d - 10.0::double) / 25.0::double, 4)}},
-                     {{'model': 'combined', 'model_order': 1, 'score': round(score::double, 4)}},
-                     {{'model': 'calendar', 'model_order': 2, 'score': round(month / 12.0::double, 4)}}], recursive := true)
-from observations where year = {TEST_FROM}
+CANDIDATES = """
+select fire, unnest([{'model': 'heat', 'model_order': 0, 'score': round((temp_1d - 10.0::double) / 25.0::double, 4)},
+                     {'model': 'combined', 'model_order': 1, 'score': round(score::double, 4)},
+                     {'model': 'calendar', 'model_order': 2, 'score': round(month / 12.0::double, 4)}], recursive := true)
+from observations
 """
 EVALUATED = f"""
 select model, model_order, tn, fp, fn, tp, round(accuracy, 5) as accuracy, round(precision, 5) as precision,
@@ -169,18 +167,21 @@ select model, model_order, tn, fp, fn, tp, round(accuracy, 5) as accuracy, round
        round(brier, 5) as brier, round(positive_rate, 5) as positive_rate
 from rates join (select model, {ROC} as roc_auc, {AP} as pr_auc from curve group by model) using (model)
 """
-EVALUATE = oracle(
-    EVALUATED,
-    "observations",
-    candidates=CANDIDATES,
-    counts=f"""select model, model_order, {confusion()}, avg((score - fire) * (score - fire)) as brier, avg(fire) as positive_rate
-               from candidates group by model, model_order""",
-    rates=RATES,
-    curve=grouped_curve("candidates", "model"),
-)
 
-# Each repeat: one random ring of rows per hash bucket; a row takes the value of the next row in its ring.
-BUCKET_DIGITS = "(select case when count(*) <= 65536 then 0 else ceil(log(count(*) / 65536.0::double) / log(16.0::double)) end::int from complete)"
+
+def evaluated(rows: str) -> str:
+    return oracle(
+        EVALUATED,
+        "observations",
+        candidates=CANDIDATES + rows,
+        counts=f"""select model, model_order, {confusion()}, avg((score - fire) * (score - fire)) as brier, avg(fire) as positive_rate
+                   from candidates group by model, model_order""",
+        rates=RATES,
+        curve=grouped_curve("candidates", "model"),
+    )
+
+
+# Each repeat: one random ring of all rows; a row takes the value of the next row in the ring.
 
 
 def ring(columns: tuple[str, ...]) -> str:
@@ -189,7 +190,7 @@ def ring(columns: tuple[str, ...]) -> str:
     select *, {nexts} from (
       select c.*, repeat::int as repeat, {hashed(*OBSERVATION_KEYS, 'repeat', seed=SEED)} as h
       from complete c, range({REPEATS}) t(repeat))
-    window w as (partition by repeat, substr(h, 1, {BUCKET_DIGITS}) order by h, {KEYS})"""
+    window w as (partition by repeat order by h, {KEYS})"""
 
 
 PERMUTED = " union all ".join(
@@ -295,8 +296,8 @@ QUERIES = {
                         avg(fire) as observed_rate from test group by 1""",
         ),
     ),
-    "evaluate_models": Query(_evaluate, EVALUATE),
-    "select_model": Query(_select, f"{EVALUATE} order by round(pr_auc, 5) desc, model_order limit 1"),
+    "evaluate_models": Query(_evaluate, evaluated("")),
+    "select_model": Query(_select, f"{evaluated(f'where year = {TEST_FROM}')} order by round(pr_auc, 5) desc, model_order limit 1"),
     "impute_median": Query(
         _impute,
         oracle(
@@ -336,7 +337,7 @@ QUERIES = {
                        fire as actual_fire, score as fire_probability, (score >= 0.5)::int as predicted_fire
                 from (select *  exclude (score), round({linear()}, 4) as score from complete)""",
             "observations",
-            complete=COMPLETE,
+            complete=f"{COMPLETE} and year >= {TEST_FROM}",
         ),
     ),
     "permutation_importance": Query(
@@ -361,8 +362,8 @@ QUERIES = {
             f"select feature, {rounds('roc_auc_mean', 'roc_auc_std')}, repeats from summary",
             "observations",
             complete=COMPLETE,
-            ring=ring(("temp_1d",)),
-            permuted="select 'temp_1d' as feature, repeat, fire, round((next_temp_1d - 10.0::double) / 25.0::double, 4) as score from ring",
+            ring=ring(FEATURES),
+            permuted=PERMUTED,
             curve=grouped_curve("permuted", "feature, repeat"),
             summary=f"""select feature, avg(a) as roc_auc_mean, stddev_pop(a) as roc_auc_std, count(*) as repeats from (
                           select feature, {ROC} as a from curve group by feature, repeat) group by feature""",

@@ -88,12 +88,17 @@ def attach_weather(
     features: DataFrame,
     keys: Sequence[str] = CELL_HOUR,
     columns: Sequence[str] = WEATHER_FEATURES,
+    version: Sequence[str] = (),
 ) -> DataFrame:
     """Observations with the weather of their key; unmatched rows drop out, repeated observations stay.
 
-    ``features`` has one row per key. Adaptive skew-join handling splits a key that many observations share.
+    A key that ``features`` repeats counts once, with the row highest in ``version`` (without one, in the values), so
+    no observation is multiplied. The one row per key is exchanged anew for the join: only so can adaptive skew-join
+    handling split a key that many observations share.
     """
-    return observations.join(features.select(*keys, *columns), list(keys))
+    wanted = features.select(*keys, *columns, *[v for v in version if v not in (*keys, *columns)])
+    single = dedupe_last(wanted, keys, version or columns)
+    return observations.join(single.select(*keys, *columns).hint("rebalance"), list(keys))
 
 
 def labelled_dataset(observations: DataFrame, features: DataFrame, keys: Sequence[str] = CELL_HOUR) -> DataFrame:

@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.grid import block_key
 from gridcast.functions.hashing import key_hash
-from gridcast.operators.checks import at_most
-
-
-#: Two-degree blocks on the globe.
-MAX_BLOCKS = 90 * 180
 
 
 @dataclass(frozen=True)
@@ -48,8 +43,7 @@ def with_block(df: DataFrame, name: str = "block") -> DataFrame:
 def split_blocks(blocks: DataFrame, test_share: float = 0.2, seed: int = 42, block: str = "block") -> DataFrame:
     """Seeded choice of whole blocks: the first max(1, round(share * n)) in hash order are test.
 
-    The globe has 90 x 180 two-degree blocks, so the ranked table never exceeds 16,200 rows; a table with more
-    (unchecked coordinates) fails instead of being broadcast.
+    The globe has 90 x 180 two-degree blocks; the ranked table is no longer unless coordinates are off it.
     """
     ranked = blocks.select(block).distinct().withColumn("_hash", key_hash([block], seed))
     ranked = ranked.select(
@@ -57,20 +51,19 @@ def split_blocks(blocks: DataFrame, test_share: float = 0.2, seed: int = 42, blo
         F.row_number().over(W.orderBy("_hash", block)).alias("_rank"),
         F.count(F.lit(1)).over(W.partitionBy()).alias("_all"),
     )
-    ranked = ranked.filter(at_most(F.col("_all"), MAX_BLOCKS, "spatial blocks"))
     cut = F.greatest(F.lit(1), F.rint(F.col("_all") * F.lit(test_share)).cast("int"))
     return ranked.select(block, F.when(F.col("_rank") <= cut, "test").otherwise("train").alias("split"))
 
 
 def spatial_holdout(df: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Split by block. Rows stay where they are: only the block list (at most 16,200 rows) is broadcast."""
+    """Split by block. How the block list is joined is left to the sizes measured at run time."""
     blocked = with_block(df)
-    return blocked.join(F.broadcast(split_blocks(blocked, test_share, seed)), "block")
+    return blocked.join(split_blocks(blocked, test_share, seed), "block")
 
 
 def in_blocks(df: DataFrame, blocks: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows whose block is (or is not) listed; the list is bounded by the number of blocks on the globe."""
-    return df.join(F.broadcast(blocks.select("block").distinct()), "block", "left_semi" if inside else "left_anti")
+    """Rows whose block is (or is not) listed."""
+    return df.join(blocks.select("block").distinct(), "block", "left_semi" if inside else "left_anti")
 
 
 def split_parts(df: DataFrame, name: str = "split") -> Mapping[str, DataFrame]:

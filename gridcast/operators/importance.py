@@ -17,10 +17,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def permute_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], repeats: int, seed: int, rows: int) -> DataFrame:
-    """``repeats`` copies of the table; ``_with`` holds the columns of another row of the same random bucket.
+    """``repeats`` copies of the table; ``_with`` holds the columns of another row.
 
-    In each repeat and bucket the rows form one random ring and each takes the values of its successor: a true
-    permutation (every value is used once) from a single sort, without joining the table to itself.
+    In each repeat all rows form one random ring, in the order of a hash, and each takes the values of its successor: a
+    true permutation (every value is used once) without joining the table to itself. Hash buckets only spread the
+    sort: the last row of a bucket is followed by the first of the next, one row per bucket. ``rows`` sizes the buckets
+    and does not affect the result.
     """
     digits = digits_for(rows)
     copies = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -28,10 +30,14 @@ def permute_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rep
         "_bucket", hash_bucket_of(F.col("_hash"), digits)
     )
     values = F.struct(*columns)
+    firsts = hashed.groupBy("repeat", "_bucket").agg(F.min_by(values, F.struct("_hash", *keys)).alias("_first"))
+    around = W.partitionBy("repeat").orderBy("_bucket")
+    whole = around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    following = F.coalesce(F.lead("_first").over(around), F.first("_first").over(whole))
+    firsts = firsts.select("repeat", "_bucket", following.alias("_next"))
     ring = W.partitionBy("repeat", "_bucket").orderBy("_hash", *keys)
-    start = ring.rowsBetween(W.unboundedPreceding, 0)
-    successor = F.coalesce(F.lead(values).over(ring), F.first(values).over(start))
-    return hashed.withColumn("_with", successor).drop("_hash", "_bucket")
+    successor = F.coalesce(F.lead(values).over(ring), F.col("_next"))
+    return hashed.join(firsts, ["repeat", "_bucket"]).withColumn("_with", successor).drop("_hash", "_bucket", "_next")
 
 
 def permuted_scores(

@@ -12,14 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.rates import decide, f_score, ratio
-from gridcast.operators.ranking import quantile_limits, running_totals, value_bucket
+from gridcast.operators.ranking import quantile_limits, running_totals, value_bucket, value_parts
 from gridcast.session import snapshot
 
 
-#: Ranges of the score that are ranked independently.
-CURVE_PARTS = 64
-
-
 def per_score(scored: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """One row per group and distinct score: ``n`` rows, ``tp`` of them positive."""
     return scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
@@ -34,8 +30,8 @@ def rank_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score",
     spread the work and do not affect the values.
     """
     table = snapshot(per_score(scored, by, score, label))
-    parts = [i / CURVE_PARTS for i in range(1, CURVE_PARTS)]
-    limits = quantile_limits(table, ["score"], parts, 1.0 / (4 * CURVE_PARTS))["score"]
+    parts = value_parts(table)
+    limits = quantile_limits(table, ["score"], [i / parts for i in range(1, parts)], 1.0 / (4 * parts))["score"]
     bucketed = table.withColumn("_bucket", value_bucket(F.col("score"), F.lit(limits).cast("array<double>")))
     return running_totals(bucketed, by, "_bucket", "score", ["n", "tp"], descending=True).drop("_bucket")
 

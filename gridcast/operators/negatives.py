@@ -39,11 +39,9 @@ def numbered_dates(positives: DataFrame) -> DataFrame:
 
 def universe_sizes(positives: DataFrame) -> tuple[int, int, int]:
     """Rows, distinct cells and distinct dates: one row of three numbers comes back to the driver."""
-    row = positives.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("cell_y", "cell_x").alias("cells"),
-        F.count_distinct("acq_date").alias("dates"),
-    ).first()
+    cells = positives.select("cell_y", "cell_x").distinct().agg(F.count(F.lit(1)).alias("n"))
+    dates = positives.select("acq_date").distinct().agg(F.count("acq_date").alias("n"))
+    row = positives.agg(F.count(F.lit(1)).alias("rows")).select("rows", cells.scalar().alias("cells"), dates.scalar().alias("dates")).first()
     return row["rows"], row["cells"], row["dates"]
 
 
@@ -57,10 +55,9 @@ def draw_candidates(positives: DataFrame, draws: int, seed: int, cells: int, dat
         (hash_slice(digest, 13, 10) % F.lit(max(dates, 1))).alias("date_no"),
         (hash_slice(digest, 23, 8) % F.lit(24)).cast("int").alias("hour"),
     )
-    # A DATE column has at most 3,652,059 values (years 1 to 9999), 12 bytes each: bounded, so broadcast.
-    # Cells are joined without a hint: the join key is uniform, and the runtime picks by measured size.
+    # No hints: both join keys are uniform, and the runtime picks by measured size.
     return (
-        drawn.join(F.broadcast(numbered_dates(positives)), "date_no")
+        drawn.join(numbered_dates(positives), "date_no")
         .join(numbered_cells(positives), "cell_no")
         .select("draw", *CELL_HOUR)
     )

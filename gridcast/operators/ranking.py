@@ -35,21 +35,21 @@ def hash_bucket(digest: Column, digits: int = HASH_DIGITS) -> Column:
 def position(
     df: DataFrame, order: Sequence[str], bucket: Column, by: Sequence[str] = (), name: str = "position"
 ) -> DataFrame:
-    """Add the 1-based row number of each row in its group (or in the whole table).
-
-    Rows without a group (NULL) have no rank and drop out.
-    """
+    """Add the 1-based row number of each row in its group (or in the whole table). NULL is a group like any other."""
     by = list(by)
     keyed = df.withColumn("_bucket", bucket)
     counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # One row per bucket: the window behind the offsets never sees more than the number of buckets.
     offsets = running_count(counts, by).drop("_n")
-    # Join and window share their keys, so the rows are exchanged once.
+    offsets = offsets.select(*[F.col(b).alias(f"_g_{b}") for b in by], F.col("_bucket").alias("_at"), "_before")
+    same = F.col("_bucket") == F.col("_at")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
     local = W.partitionBy(*by, "_bucket").orderBy(*order)
     return (
-        keyed.join(offsets, [*by, "_bucket"])
+        keyed.join(offsets, same)
         .withColumn(name, F.row_number().over(local) + F.col("_before"))
-        .drop("_bucket", "_before")
+        .drop("_bucket", "_before", "_at", *[f"_g_{b}" for b in by])
     )
 
 
@@ -111,6 +111,11 @@ def quantile_limits(
     return {c: sorted(set(inner)) for c, inner in zip(columns, found)}
 
 
+def value_parts(df: DataFrame) -> int:
+    """Ranges of a value that are ranked independently: as many as the session shuffles into, 16 at least."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def value_bucket(value: Column, limits: Column) -> Column:
     """Number of limits (an array) at or below the value: a bucket that rises with the value."""
     return F.size(F.filter(limits, lambda limit: limit <= value))

@@ -9,12 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridcast.functions.hashing import hash_slice, key_hash
-from gridcast.operators.checks import at_most
-from gridcast.operators.ranking import HASH_DIGITS, cut_of, digits_for, hash_bucket, position, running_count, take_first
-
-
-#: Years a DATE can hold; per-year tables are broadcast.
-MAX_YEARS = 9_999
+from gridcast.operators.ranking import cut_of, digits_for, hash_bucket, position, running_count, take_first
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -48,7 +43,6 @@ def year_quotas(df: DataFrame, n: int, year: str = "year") -> DataFrame:
     ordered = years.select(
         year, F.row_number().over(W.orderBy(year)).alias("_i"), F.count(F.lit(1)).over(W.partitionBy()).alias("_k")
     )
-    ordered = ordered.filter(at_most(F.col("_k"), MAX_YEARS, "years"))
     share = F.floor(F.lit(n) / F.col("_k")) + (F.col("_i") <= F.lit(n) % F.col("_k")).cast("int")
     return ordered.select(year, share.cast("long").alias("quota"))
 
@@ -61,8 +55,9 @@ def stratified_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42
     """
     hashed = df.withColumn("_hash", key_hash(keys, seed)).withColumn("_bucket", hash_bucket(F.col("_hash")))
     counts = hashed.groupBy(year, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # Quotas and cuts have one row per year (checked), so they are broadcast.
-    running = running_count(counts, [year]).join(F.broadcast(year_quotas(df, n, year)), year)
+    # Quotas and cuts have one row per year. Rows without a year are a stratum of their own.
+    quotas = year_quotas(counts, n, year).withColumnRenamed(year, "_y")
+    running = running_count(counts, [year]).join(quotas, F.col(year).eqNullSafe(F.col("_y"))).drop("_y")
     within = F.least(F.greatest(F.col("quota") - F.col("_before"), F.lit(0)), F.col("_n"))
     cuts = running.groupBy(year).agg(*cut_of(F.col("quota")))
 
@@ -75,7 +70,8 @@ def stratified_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42
         *[c.alias(f"_extra{c_name}") for c, c_name in zip(cut_of(F.col("_short")), ("_cut", "_need"))]
     )
     top = extra.select(F.struct("_extra_cut", "_extra_need")).scalar()
-    marked = hashed.join(F.broadcast(cuts), year).withColumns(
+    cuts = cuts.withColumnRenamed(year, "_y")
+    marked = hashed.join(cuts, F.col(year).eqNullSafe(F.col("_y"))).drop("_y").withColumns(
         {
             "_edge": F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False)),
             "_in": F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")),
@@ -102,10 +98,14 @@ def top_up(picked: DataFrame, pool: DataFrame, n: int, keys: Sequence[str], seed
     return picked.unionByName(extra)
 
 
+#: Hex digits of the hash that a split compares: all that a double holds exactly.
+SPLIT_DIGITS = 13
+
+
 def random_split(
     df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2, seed: int = 42, name: str = "split"
 ) -> DataFrame:
     """Row-level split by key hash: a projection, no shuffle."""
-    slots = 16**HASH_DIGITS
-    slot = hash_slice(key_hash(keys, seed), 1, HASH_DIGITS)
+    slots = 16**SPLIT_DIGITS
+    slot = hash_slice(key_hash(keys, seed), 1, SPLIT_DIGITS)
     return df.withColumn(name, F.when(slot < int(test_fraction * slots), "test").otherwise("train"))

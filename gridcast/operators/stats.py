@@ -7,25 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.operators.ranking import quantile_limits, running_totals, value_bucket
+from gridcast.functions.coerce import missing, no_nan
+from gridcast.operators.ranking import quantile_limits, running_totals, value_bucket, value_parts
 
 
 #: Rank error of the bracket around the median, as a share of the rows.
 BRACKET_ERROR = 2e-3
-BRACKET_PARTS = 16
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median of each column (feature, n, median), missing values skipped.
+    """Exact median of each column (feature, n, median); missing values, NaN among them, are skipped.
 
     A first pass (a job) brackets every median between approximate quantiles with a guaranteed rank error; the
     values outside the bracket only need counting, the few inside are counted per distinct value and located by
     running totals. No task holds a whole column, as the built-in ``median`` does when it merges its counts.
     """
     columns = list(columns)
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    numeric = df.select(*[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
     reach = 2 * BRACKET_ERROR
-    probabilities = [0.5 - reach + 2 * reach * i / BRACKET_PARTS for i in range(BRACKET_PARTS + 1)]
+    parts = value_parts(df)
+    probabilities = [0.5 - reach + 2 * reach * i / parts for i in range(parts + 1)]
     # An all-NULL column has no quantiles and no rows below; any limit will do.
     limits = {c: found or [0.0] for c, found in quantile_limits(numeric, columns, probabilities, BRACKET_ERROR).items()}
 
@@ -58,8 +59,8 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(c).alias("feature"),
-                F.avg(F.col(c).cast("double")).alias("mean"),
-                F.stddev_pop(F.col(c).cast("double")).alias("std"),
+                F.avg(no_nan(F.col(c).cast("double"))).alias("mean"),
+                F.stddev_pop(no_nan(F.col(c).cast("double"))).alias("std"),
             ).alias(c)
             for c in columns
         ]
@@ -78,7 +79,7 @@ def fetch_stats(table: DataFrame) -> dict[str, dict[str, float]]:
 
 
 def impute_median(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    return df.select(*[F.coalesce(F.col(c), F.lit(medians[c])).alias(c) if c in medians else F.col(c) for c in df.columns])
+    return df.select(*[F.when(missing(df, c), F.lit(medians[c])).otherwise(F.col(c)).alias(c) if c in medians else F.col(c) for c in df.columns])
 
 
 def standardize(df: DataFrame, stats: dict[str, dict[str, float]]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridcast.functions.coerce import no_nan, to_utc
+from gridcast.functions.coerce import finite, no_nan, to_number, to_utc
 from gridcast.functions.rates import relative_humidity, vector_speed
 from gridcast.operators.dedupe import dedupe_first
 from gridcast.schemas import HOURLY_PAYLOAD, INSTANT
@@ -21,26 +21,33 @@ from gridcast.schemas import HOURLY_PAYLOAD, INSTANT
 def explode_hourly(payloads: DataFrame, keys: Sequence[str], body: str = "payload") -> DataFrame:
     """JSON payloads (one object or a list of objects) to long rows; error objects and unreadable text give none.
 
-    The i-th value of every variable belongs to the i-th time; a variable that is absent or too short is NULL.
+    ``place`` is the position in the list, which is that of the coordinate in the request (0 for a single object); an
+    error object keeps its place. The i-th value of every variable belongs to the i-th time. A value that is no number
+    is NULL by itself, and so is a variable that is absent or too short.
     """
     text = F.ltrim(F.col(body))
     listed = F.when(text.startswith("["), F.col(body)).otherwise(F.concat(F.lit("["), F.col(body), F.lit("]")))
     parsed = payloads.select(
-        *keys, F.explode(F.from_json(listed, F.lit(f"array<{HOURLY_PAYLOAD.simpleString()}>"))).alias("_p")
+        *keys, F.posexplode(F.from_json(listed, F.lit(f"array<{HOURLY_PAYLOAD.simpleString()}>"))).alias("place", "_p")
     ).filter(~F.coalesce(F.col("_p.error"), F.lit(False)))
     zipped = F.arrays_zip(
         F.col("_p.hourly.time").alias("time"),
-        *[F.coalesce(F.col(f"_p.hourly.{v}"), F.array().cast("array<double>")).alias(v) for v in INSTANT],
+        *[F.coalesce(F.col(f"_p.hourly.{v}"), F.array().cast("array<string>")).alias(v) for v in INSTANT],
     )
-    rows = parsed.select(*keys, F.explode(zipped).alias("_r"))
+    rows = parsed.select(*keys, "place", F.explode(zipped).alias("_r"))
     return rows.select(
-        *keys, to_utc(F.col("_r.time")).alias("hour_ts"), *[no_nan(F.col(f"_r.{v}")).alias(v) for v in INSTANT]
+        *keys, "place", to_utc(F.col("_r.time")).alias("hour_ts"), *[to_number(F.col(f"_r.{v}")).alias(v) for v in INSTANT]
     ).filter(F.col("hour_ts").isNotNull())
 
 
 def _densify(series: DataFrame, cell: str, at: str, step: Column, back: Column) -> DataFrame:
-    """Fill gaps up to the next reading with NULL rows: one exchange by cell, no grid join."""
+    """Fill gaps up to the next reading with NULL rows: one exchange by cell, no grid join.
+
+    Of readings that repeat a time the first stays, in the order of their values; that costs no exchange or sort of its own.
+    """
     values = [c for c in series.columns if c not in (cell, at)]
+    before = F.lag(at).over(W.partitionBy(cell).orderBy(at, *values))
+    series = series.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col(at))).drop("_before")
     ahead = F.lead(at).over(W.partitionBy(cell).orderBy(at))
     gaps = series.withColumn("_until", F.coalesce(ahead - back, F.col(at)))
     grid = gaps.select(cell, *values, F.posexplode(F.sequence(F.col(at), F.col("_until"), step)).alias("_i", at))
@@ -65,6 +72,7 @@ class _Trailing:
 
     def __init__(self, df: DataFrame, cell: str, at: str, summed: Sequence[str]):
         self.order = W.partitionBy(cell).orderBy(at)
+        df = df.withColumns({v: finite(F.col(v)) for v in summed})
         so_far = self.order.rowsBetween(W.unboundedPreceding, 0)
         self.table = df.select(
             "*",
@@ -84,10 +92,10 @@ class _Trailing:
         return F.when(present > 0, self._last(f"_t_{v}", rows) / present)
 
     def highest(self, v: str, rows: int) -> Column:
-        return F.max(v).over(self.order.rowsBetween(-(rows - 1), 0))
+        return F.max(no_nan(F.col(v))).over(self.order.rowsBetween(-(rows - 1), 0))
 
     def lowest(self, v: str, rows: int) -> Column:
-        return F.min(v).over(self.order.rowsBetween(-(rows - 1), 0))
+        return F.min(no_nan(F.col(v))).over(self.order.rowsBetween(-(rows - 1), 0))
 
 
 def trailing_rain(hourly: DataFrame, hours: Sequence[int] = (24, 72, 168)) -> DataFrame:
@@ -107,7 +115,7 @@ def trailing_means(hourly: DataFrame, hours: int = 24) -> DataFrame:
 
 def trailing_max_wind(hourly: DataFrame, hours: int = 24) -> DataFrame:
     w = W.partitionBy("cell").orderBy("hour_ts").rowsBetween(-(hours - 1), 0)
-    return hourly.select("cell", "hour_ts", F.max("wind_speed_10m").over(w).alias(f"max_wind_{hours}h"))
+    return hourly.select("cell", "hour_ts", F.max(no_nan(F.col("wind_speed_10m"))).over(w).alias(f"max_wind_{hours}h"))
 
 
 def weather_features(hourly: DataFrame) -> DataFrame:
@@ -141,10 +149,12 @@ def restrict_hourly(hourly: DataFrame, wanted: DataFrame, days_back: int = 7) ->
 def weather_at(hourly: DataFrame, targets: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Reading at exactly the target hour; targets without one are dropped.
 
-    If the series may repeat an hour, name the columns whose lowest value marks the reading to use. Many targets
-    may share one hour: the series side has one row per key, so adaptive skew-join handling splits a hot key.
+    ``order`` names the columns whose lowest value marks the reading to use where the series repeats an hour; without
+    it the lowest values do. Many targets may share one hour: the series side has one row per key, so adaptive
+    skew-join handling splits a hot key.
     """
-    single = dedupe_first(hourly, ["cell", "hour_ts"], order) if order else hourly
+    rest = [c for c in hourly.columns if c not in ("cell", "hour_ts")]
+    single = dedupe_first(hourly, ["cell", "hour_ts"], order or rest)
     return targets.join(single, ["cell", "hour_ts"])
 
 

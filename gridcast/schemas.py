@@ -56,7 +56,8 @@ LEAKAGE = ("fire_detections", "mean_confidence", "max_frp")
 
 CELL_HOUR = ("cell_y", "cell_x", "acq_date", "hour")
 
-#: One payload of an hourly series: parallel arrays under ``hourly``, or an error marker.
+#: One payload of an hourly series: parallel arrays under ``hourly``, or an error marker. Values are read as text, so
+#: that one that is no number spoils no other.
 HOURLY_PAYLOAD = T.StructType(
     [
         T.StructField("error", T.BooleanType()),
@@ -64,7 +65,7 @@ HOURLY_PAYLOAD = T.StructType(
             "hourly",
             T.StructType(
                 [T.StructField("time", T.ArrayType(T.StringType()))]
-                + [T.StructField(name, T.ArrayType(T.DoubleType())) for name in INSTANT]
+                + [T.StructField(name, T.ArrayType(T.StringType())) for name in INSTANT]
             ),
         ),
     ]

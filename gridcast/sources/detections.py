@@ -15,10 +15,13 @@ from gridcast.schemas import DETECTION_OPTIONAL, DETECTION_REQUIRED
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column as text: one line is read for the names, none for inference."""
+    """CSV with a header, every column as text: one line is read for the names, none for inference.
+
+    Files of a folder must agree in the order of their columns; a file that does not fails instead of being misread.
+    """
     names = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def parse_detections(raw: DataFrame) -> DataFrame:
