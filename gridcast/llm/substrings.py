@@ -4,7 +4,7 @@ Which of all the corpus's strings of a fixed length repeat is found from a sampl
 difference cover: of any two equal strings, the sample holds a suffix at the same offset in both. The sample is chosen
 by content (the least of the hashed 16-grams that start in the string's first ``spread`` bytes), which takes about two
 suffixes per ``spread`` bytes. Sampled suffixes are named by their prefix, names that occur once are dropped, and only
-where a name's occurrences differ around it are the remaining suffixes compared, byte for byte.
+where a name's occurrences differ around it are the remaining suffixes compared, by 128-bit digests.
 
 1. Every document is cut into cells: neighbouring starts that share their sampled suffix. A cell has a name (the prefix
    of that suffix which all its strings contain) and a seal (everything its strings cover).
@@ -157,14 +157,14 @@ def _compare_few(strings: DataFrame, length: int) -> DataFrame:
     """Repeated starts in names with few open cells; each name's cells meet in one task, their number is bounded."""
 
     def settle(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        seen: Counter[bytes] = Counter()
-        for _, weight, _, _, _, data in group:
-            for q in range(len(data) - length + 1):
-                seen[data[q : q + length]] += weight
-        for _, weight, did, dh, start, data in group:
+        digest, seen = xxhash.xxh3_128_digest, Counter()
+        strings = [[digest(data[q : q + length]) for q in range(len(data) - length + 1)] for *_, data in group]
+        for names, (_, weight, *_) in zip(strings, group):
+            for name in names:
+                seen[name] += weight
+        for names, (_, weight, did, dh, start, _) in zip(strings, group):
             if weight == 1:
-                again = np.array([seen[data[q : q + length]] > 1 for q in range(len(data) - length + 1)])
-                for f, l in zip(*runs(again)):
+                for f, l in zip(*runs(np.array([seen[name] > 1 for name in names]))):
                     yield did, dh, start + int(f), start + int(l)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             "same", "open",
         )
     )
-    strings = _strings(marked, length, spread)
+    strings = snapshot(_strings(marked, length, spread))
     spans = _compare_few(strings, length).unionByName(_compare_many(strings, length))
     found = spans.groupBy("did", "dh").agg(F.collect_set(F.struct("first", "last")).alias("found"))
 
