@@ -4,20 +4,20 @@ Which of all the corpus's strings of a fixed length repeat is found from a sampl
 difference cover: of any two equal strings, the sample holds a suffix at the same offset in both. The sample is chosen
 by content (the least of the hashed 16-grams that start in the string's first ``spread`` bytes), which takes about two
 suffixes per ``spread`` bytes. Sampled suffixes are named by their prefix, names that occur once are dropped, and only
-where a name's occurrences differ around it are the remaining suffixes compared, by 128-bit digests.
+where a name's occurrences differ around it does the same naming recur, on smaller parts, down to single strings.
 
 1. Every document is cut into cells: neighbouring starts that share their sampled suffix. A cell has a name (the prefix
    of that suffix which all its strings contain) and a seal (everything its strings cover).
 2. A name that occurs once settles its cell: nothing there repeats. A seal that occurs twice settles it too: everything
    repeats.
-3. Other cells of a name are compared string by string: in one task where a name has few of them, and by 128-bit names of
-   all their strings in a shuffle where it has many.
+3. Other cells are cut into parts of a few neighbouring starts, at fixed distances from the sampled suffix. Parts are named
+   (by what their strings share) and sealed anew, and judged like cells.
+4. Parts that this leaves open are compared string by string, by 128-bit digests.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +31,8 @@ from gridcast.session import snapshot
 
 GRAM = 16
 SPREAD = 128
-#: Cells of one name that one task compares directly
-CLASS = 256
+#: Starts in a part of a cell
+PART = 8
 #: Starts looked at together in a long document; cells end there, which costs comparisons but changes no result
 SPAN = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -114,93 +114,105 @@ def _named(rows: DataFrame, length: int, spread: int) -> DataFrame:
     return long_enough.mapInPandas(run, "name long, seal long, did long, dh int, cell int")
 
 
-def _cell_lists(rows: DataFrame, length: int, spread: int, most: int) -> DataFrame:
-    """Per document: ``same`` (cells whose strings all repeat) and ``open`` (cells to compare: number, name, many, weight)."""
+def _judge(found: DataFrame, *place: str) -> tuple[DataFrame, DataFrame]:
+    """From name, seal, weight and place: the (name, seal) that occur twice, and what stays open (place, weight).
+
+    One occurrence of every seal of a name with several stands for it. Its weight is 2 if the seal repeats: then the
+    strings there are settled, and only those of other seals are still compared with them.
+    """
+    seals = found.groupBy("name", "seal").agg(F.sum("weight").alias("times"), F.min(F.struct(*place)).alias("one"))
+    seals = snapshot(seals)
+    kinds = seals.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("name")
+    open_ = seals.join(kinds, "name").select("one.*", F.least("times", F.lit(2)).cast("int").alias("weight"))
+    return seals.filter("times > 1").select("name", "seal"), open_
+
+
+def _cell_lists(rows: DataFrame, length: int, spread: int) -> DataFrame:
+    """Per document: ``same`` (cells whose strings all repeat) and ``open`` (cells to compare: number, weight)."""
     every = _named(rows, length, spread)
     names = every.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
     shared = snapshot(every.join(names, "name"))
-    seals = shared.groupBy("name", "seal").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "dh", "cell")).alias("one"))
-    seals = snapshot(seals)
-    kinds = seals.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    judged = seals.join(kinds, "name", "left").select("name", "seal", "times", "one", F.coalesce("kinds", F.lit(1)).alias("kinds"))
-    # One cell of every seal of a name with several stands for it in the comparison.
-    open_ = judged.filter("kinds > 1").select(
-        "one.did", "one.dh",
-        F.struct(F.col("one.cell").alias("cell"), "name", (F.col("kinds") > most).alias("many"), F.least("times", F.lit(2)).cast("int").alias("weight")).alias("o"),
-    )
-    twice = judged.filter("times > 1").select("name", "seal")
+    twice, open_ = _judge(shared.withColumn("weight", F.lit(1)), "did", "dh", "cell")
     same = shared.join(twice, ["name", "seal"], "left_semi").groupBy("did", "dh").agg(F.collect_set("cell").alias("same"))
-    return same.join(open_.groupBy("did", "dh").agg(F.collect_list("o").alias("open")), ["did", "dh"], "full")
+    return same.join(open_.groupBy("did", "dh").agg(F.collect_list(F.struct("cell", "weight")).alias("open")), ["did", "dh"], "full")
 
 
 def _strings(marked: DataFrame, length: int, spread: int) -> DataFrame:
-    """The open cells with their bytes: name, many, weight, did, dh, start, bytes."""
+    """The open cells with their bytes: weight, did, dh, start, ahead (of the sampled place from there), bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for did, dh, data, todo in zip(batch["did"], batch["dh"], batch["b"], batch["open"]):
-                first, last, _ = cells(data, length, spread)
+                first, last, place = cells(data, length, spread)
                 for o in todo:
-                    f, l = int(first[o["cell"]]), int(last[o["cell"]])
-                    out.append((o["name"], o["many"], o["weight"], did, dh, f, data[f : l + length]))
-            yield pd.DataFrame(out, columns=["name", "many", "weight", "did", "dh", "start", "bytes"])
+                    f, l, p = (int(x[o["cell"]]) for x in (first, last, place))
+                    out.append((o["weight"], did, dh, f, p - f, data[f : l + length]))
+            yield pd.DataFrame(out, columns=["weight", "did", "dh", "start", "ahead", "bytes"])
 
-    kinds = "name long, many boolean, weight int, did long, dh int, start int, bytes binary"
+    kinds = "weight int, did long, dh int, start int, ahead int, bytes binary"
     return marked.filter(F.col("open").isNotNull()).select("did", "dh", "b", "open").mapInPandas(run, kinds)
 
 
-SPANS = "did long, dh int, first int, last int"
-
+def _parts(strings: DataFrame, length: int, part: int) -> DataFrame:
+    """name, seal, weight, did, dh, start of the cell, at and upto (first and last start, counted from there) of its parts.
 
-def _compare_few(strings: DataFrame, length: int) -> DataFrame:
-    """Repeated starts in names with few open cells; each name's cells meet in one task, their number is bounded."""
-
-    def settle(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        digest, seen = xxhash.xxh3_128_digest, Counter()
-        strings = [[digest(data[q : q + length]) for q in range(len(data) - length + 1)] for *_, data in group]
-        for names, (_, weight, *_) in zip(strings, group):
-            for name in names:
-                seen[name] += weight
-        for names, (_, weight, did, dh, start, _) in zip(strings, group):
-            if weight == 1:
-                for f, l in zip(*runs(np.array([seen[name] > 1 for name in names]))):
-                    yield did, dh, start + int(f), start + int(l)
+    Equal strings lie at the same distance before their sampled place, so in parts whose strings share the same bytes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: list[tuple] = []
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            out = []
-            for row in zip(batch["name"], batch["weight"], batch["did"], batch["dh"], batch["start"], batch["bytes"]):
-                if group and group[0][0] != row[0]:
-                    out += settle(group)
-                    group = []
-                group.append(row)
-            yield pd.DataFrame(out, columns=["did", "dh", "first", "last"])
-        yield pd.DataFrame(settle(group), columns=["did", "dh", "first", "last"])
+            names, seals, rest = [], [], []
+            for weight, did, dh, start, ahead, data in batch.itertuples(index=False):
+                n = len(data) - length + 1
+                for late in range(ahead % part, n + part - 1, part):
+                    early = late - part + 1
+                    f, l = max(early, 0), min(late, n - 1)
+                    names.append(digest(data[late : early + length]))
+                    seals.append(digest(data[f : l + length], late - f))
+                    rest.append((weight, did, dh, start, f, l))
+            frame = pd.DataFrame(rest, columns=["weight", "did", "dh", "start", "at", "upto"])
+            frame.insert(0, "seal", _signed(seals))
+            frame.insert(0, "name", _signed(names))
+            yield frame
 
-    few = strings.filter("not many").select("name", "weight", "did", "dh", "start", "bytes")
-    return few.repartition("name").sortWithinPartitions("name").mapInPandas(run, SPANS)
+    cols = strings.select("weight", "did", "dh", "start", "ahead", "bytes")
+    return cols.mapInPandas(run, "name long, seal long, weight int, did long, dh int, start int, at int, upto int")
 
 
-def _compare_many(strings: DataFrame, length: int) -> DataFrame:
-    """Repeated starts in names with many open cells: every string gets a 128-bit name, and these are counted."""
+def _repeats(strings: DataFrame, length: int, part: int) -> DataFrame:
+    """Spans of repeated starts in the open cells."""
+    parts = snapshot(_parts(strings, length, part))
+    twice, open_ = _judge(parts, "did", "dh", "start", "at", "upto")
+    whole_parts = parts.filter("weight = 1").join(twice, ["name", "seal"], "left_semi")
+    todo = open_.groupBy("did", "dh", "start").agg(F.collect_list(F.struct("at", "upto", "weight")).alias("todo"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for weight, did, dh, start, data in zip(batch["weight"], batch["did"], batch["dh"], batch["start"], batch["bytes"]):
-                n = len(data) - length + 1
-                h = np.frombuffer(b"".join(digest(data[q : q + length]) for q in range(n)), "<i8").reshape(n, 2)
-                yield pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "weight": weight, "did": did, "dh": dh, "at": np.arange(start, start + n, dtype=np.int32)})
+            rest, digests = [], []
+            for did, dh, start, data, todo in batch.itertuples(index=False):
+                for o in todo:
+                    for q in range(o["at"], o["upto"] + 1):
+                        digests.append(digest(data[q : q + length]))
+                        rest.append((o["weight"], did, dh, start + q))
+            frame = pd.DataFrame(rest, columns=["weight", "did", "dh", "at"])
+            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            frame.insert(0, "h2", h[:, 1])
+            frame.insert(0, "h1", h[:, 0])
+            yield frame
 
-    each = strings.filter("many").select("weight", "did", "dh", "start", "bytes").mapInPandas(run, "h1 long, h2 long, weight int, did long, dh int, at int")
+    left = strings.select("did", "dh", "start", "bytes").join(todo, ["did", "dh", "start"])
+    each = snapshot(left.mapInPandas(run, "h1 long, h2 long, weight int, did long, dh int, at int"))
     again = each.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2")
-    found = each.filter("weight = 1").join(again, ["h1", "h2"], "left_semi")
-    return found.select("did", "dh", F.col("at").alias("first"), F.col("at").alias("last"))
+    single = each.filter("weight = 1").join(again, ["h1", "h2"], "left_semi")
+    return whole_parts.select("did", "dh", (F.col("start") + F.col("at")).alias("first"), (F.col("start") + F.col("upto")).alias("last")).unionByName(
+        single.select("did", "dh", F.col("at").alias("first"), F.col("at").alias("last"))
+    )
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, spread: int = SPREAD, most: int = CLASS) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, spread: int = SPREAD, part: int = PART) -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the corpus, in the same
@@ -209,13 +221,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     go. Missing keys pass through; rows are told apart by key and a hash of the text. An empty table gives an empty
     result; other columns are ignored.
 
-    ``spread`` must lie between 16 and ``length`` - 16.
+    ``spread`` must lie between 16 and ``length`` - 16, ``part`` between 1 and ``length``.
     """
     if not GRAM <= spread <= length - GRAM:
         raise ValueError(f"spread must lie between {GRAM} and {length - GRAM}")
+    if not 1 <= part <= length:
+        raise ValueError(f"part must lie between 1 and {length}")
     rows = docs.select(F.col(key).alias("id"), whole(text).cast("binary").alias("b"))
     rows = rows.select("id", F.coalesce(F.col("id").cast("long"), F.xxhash64("b")).alias("did"), F.hash("b").alias("dh"), "b")
-    lists = _cell_lists(rows, length, spread, most)
+    lists = _cell_lists(rows, length, spread)
     # Documents without shared cells are done here; the others go on with their bytes.
     joined = rows.join(lists, ["did", "dh"], "left")
     marked = snapshot(
@@ -227,8 +241,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         )
     )
     strings = snapshot(_strings(marked, length, spread))
-    spans = _compare_few(strings, length).unionByName(_compare_many(strings, length))
-    found = spans.groupBy("did", "dh").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    found = _repeats(strings, length, part).groupBy("did", "dh").agg(F.collect_set(F.struct("first", "last")).alias("found"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

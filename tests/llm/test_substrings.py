@@ -44,10 +44,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("length, spread, most, clash", [(200, 128, 256, False), (200, 128, 1, True), (200, 100, 3, False), (64, 32, 256, False)])
-def test_matches_brute_force(make_docs, length, spread, most, clash):
-    rows = corpus(length + most)
-    got = substrings.remove_repeats(make_docs(rows, clash), length=length, spread=spread, most=most)
+@pytest.mark.parametrize("length, spread, part, clash", [(200, 128, 8, False), (200, 128, 1, True), (200, 100, 3, False), (64, 32, 64, False), (200, 128, 50, True)])
+def test_matches_brute_force(make_docs, length, spread, part, clash):
+    rows = corpus(length + part)
+    got = substrings.remove_repeats(make_docs(rows, clash), length=length, spread=spread, part=part)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, length)
 
