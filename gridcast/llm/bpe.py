@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import whole
+from gridcast.llm.common import map_keyed, whole
 
 #: Distinct stretches and words a worker remembers before it starts afresh; results do not depend on it
 STRETCHES = 250_000
@@ -30,7 +30,30 @@ AT_ONCE = 1 << 16
 END = "</w>"
 SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+# Letters and numbers of Unicode versions after the one in the format's library, as code point ranges.
+NEWER = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6
+187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81
+1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e
+2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+# Capitals whose small letters are newer than Python's tables; a span goes to as many places from the given one.
+SMALL = "1c89>1c8a a7cb>264 a7cc>a7cd a7ce>a7cf a7d2>a7d3 a7d4>a7d5 a7da>a7db a7dc>19b 10d50-10d65>10d70 16ea0-16eb8>16ebb"
+_LATER = "".join("-".join(chr(int(end, 16)) for end in span.split("-")) for span in NEWER.split())
+WORD = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|(?:[{_LATER}]|[^\s\p{{L}}\p{{N}}])+")
+
+
+def _small() -> dict[int, int]:
+    out = {ord("Σ"): ord("σ")}  # one character at a time: a final sigma is like any other
+    for span, to in (pair.split(">") for pair in SMALL.split()):
+        first, last = (int(end, 16) for end in (span.split("-") * 2)[:2])
+        out |= {c: int(to, 16) + c - first for c in range(first, last + 1)}
+    return out
+
+
+_SMALL = _small()
 
 
 def byte_letters() -> list[str]:
@@ -68,12 +91,12 @@ class Bpe:
         symbols[-1] = self.last[data[-1]]
         n = len(symbols)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
-        # rank << 48 | merged id << 28 | place: least rank first, then leftmost
-        heap = [m << 28 | i for i in range(n - 1) if (m := merges.get(symbols[i] << 20 | symbols[i + 1])) is not None]
+        # rank, merged id (20 bits), place (40 bits): least rank first, then leftmost
+        heap = [m << 40 | i for i in range(n - 1) if (m := merges.get(symbols[i] << 20 | symbols[i + 1])) is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            at, m = top & 0xFFFFFFF, top >> 28
+            at, m = top & 0xFFFFFFFFFF, top >> 40
             left, right = symbols[at], after[at]
             if left < 0 or right >= n or merges.get(left << 20 | symbols[right]) != m:
                 continue  # stale
@@ -82,15 +105,14 @@ class Bpe:
             if following < n:
                 ahead[following] = at
                 if (m := merges.get(symbols[at] << 20 | symbols[following])) is not None:
-                    heappush(heap, m << 28 | at)
+                    heappush(heap, m << 40 | at)
             if (previous := ahead[at]) >= 0 and (m := merges.get(symbols[previous] << 20 | symbols[at])) is not None:
-                heappush(heap, m << 28 | previous)
+                heappush(heap, m << 40 | previous)
         return [s for s in symbols if s >= 0]
 
     def stretch(self, raw: str) -> tuple[bytes, str]:
         """Ids (32 bits each, in the machine's little-endian order) and decoded text of a stretch without white space."""
-        # Lower-casing looks at one character at a time, so a final sigma is like any other.
-        text = raw.lower() if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+        text = raw.lower() if raw.isascii() else unicodedata.normalize("NFC", raw).translate(_SMALL).lower()
         ids = self.word(text) if text.isalpha() else b"".join(map(self.word, WORD.findall(text)))
         found = ids, self.decode(array("I", ids))
         if len(raw) <= 64:
@@ -153,15 +175,13 @@ def tokenizer(path: str) -> Bpe:
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array of int), decoded (string) of every row; a missing or empty text has no ids and decodes to ""."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
         bpe = tokenizer(path)
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch["t"]]
-            yield pd.DataFrame({"id": batch["id"], "ids": ids, "decoded": [bpe.decode(i) for i in ids]})
+        ids = [bpe.encode(t) for t in batch["t"]]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([bpe.decode(i) for i in ids], dtype=object)})
 
-    kind = docs.select(key).dtypes[0][1]
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
-    return rows.mapInPandas(run, f"id {kind}, ids array<int>, decoded string").select(F.col("id").alias(key), "ids", "decoded")
+    return map_keyed(rows, run, "ids array<int>, decoded string").select(F.col("id").alias(key), "ids", "decoded")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,14 +191,11 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     repeated rows and other columns do not matter; an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
         bpe = tokenizer(path)
-        for batch in batches:
-            found = [bpe.digest(t) for t in batch["t"]]
-            n, ids, decoded = zip(*found) if found else ((), (), ())
-            yield pd.DataFrame({"id": batch["id"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(ids, dtype=object), "decoded_sha256": pd.Series(decoded, dtype=object)})
+        n, ids, decoded = zip(*[bpe.digest(t) for t in batch["t"]])
+        return pd.DataFrame({"n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(ids, dtype=object), "decoded_sha256": pd.Series(decoded, dtype=object)})
 
-    kind = docs.select(key).dtypes[0][1]
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
-    out = rows.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = map_keyed(rows, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.select(F.col("id").alias(key), "n_tokens", "ids_sha256", "decoded_sha256")

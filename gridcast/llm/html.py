@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import whole
+from gridcast.llm.common import map_keyed, whole
 
 # Fixed values of HTML: elements that run inside a line, that hold no markup, that are empty, and what closes what.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -251,13 +251,12 @@ def extract(pages: DataFrame, model: Model, key: str = "page_id", url: str = "ur
     empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = list(main_texts(model, batch["h"]))
-            n = np.array([len(t) for t in texts], np.int64)
-            yield pd.DataFrame({"id": batch["id"], "u": batch["u"], "text": pd.Series(texts, dtype=object), "n_chars": n})
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        texts = list(main_texts(model, batch["h"]))
+        n = np.array([len(t) for t in texts], np.int64)
+        return pd.DataFrame({"u": batch["u"], "text": pd.Series(texts, dtype=object), "n_chars": n})
 
     kinds = dict(pages.select(key, url).dtypes)
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("u"), whole(source).alias("h"))
-    out = rows.mapInPandas(run, f"id {kinds[key]}, u {kinds[url]}, text string, n_chars long")
+    out = map_keyed(rows, run, f"u {kinds[url]}, text string, n_chars long")
     return out.select(F.col("id").alias(key), F.col("u").alias(url), "text", "n_chars")

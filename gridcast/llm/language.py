@@ -8,7 +8,6 @@ which is exact and keeps a very long text as cheap per word as a short one.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -16,10 +15,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import held_out, whole
+from gridcast.llm.common import held_out, map_keyed, whole
 
 #: Most labelled rows a fit takes, drawn by hash of the id
 SAMPLE = 2_000
@@ -30,11 +30,11 @@ BLOCK = 64
 #: Words scored at once, and distinct words a worker remembers
 AT_ONCE, REMEMBERED = 200_000, 300_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters with their marks; digits, fractions and numerals in circles are no letters."""
     return WORD.findall(text.lower())
 
 
@@ -104,6 +104,19 @@ class Field:
 
 def marginals(psi: np.ndarray, lengths: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Word marginals of several chains laid end to end. ``psi`` holds word potentials; ``lengths`` are above zero."""
+    alpha, beta = messages(psi, lengths, moves, begin)
+    out = alpha * beta
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def pair_marginals(psi: np.ndarray, alpha: np.ndarray, beta: np.ndarray, moves: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Marginals of (label before, label at) for the words ``here``, none of which begins a chain."""
+    pair = alpha[here - 1][:, :, None] * np.exp(moves - moves.max())[None] * (psi[here] * beta[here])[:, None, :]
+    return pair / pair.sum(axis=(1, 2), keepdims=True)
+
+
+def messages(psi: np.ndarray, lengths: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of every word, each up to a factor per word."""
     n_labels = psi.shape[1]
     m = np.exp(moves - moves.max())
     counts = -(-lengths // BLOCK)
@@ -147,14 +160,13 @@ def marginals(psi: np.ndarray, lengths: np.ndarray, moves: np.ndarray, begin: np
         now = np.where(live[:, t, None], into(now, t) * p[:, t], now)
         now = now / now.max(axis=1, keepdims=True)
         alpha[:, t] = now
-    now, out = leave, np.empty_like(p)
+    now, beta = leave, np.empty_like(p)
     for t in range(deep - 1, -1, -1):
-        out[:, t] = alpha[:, t] * now
+        beta[:, t] = now
         if t:
             back = (now * p[:, t]) @ m.T
             now = np.where(live[:, t, None], back / back.max(axis=1, keepdims=True), now)
-    out /= out.sum(axis=2, keepdims=True)
-    return out[live]
+    return alpha[live], beta[live]
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.3, seed: int = 11) -> Field:
@@ -191,8 +203,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
             buckets, starts = features(distinct, lexicon)
             raw = np.add.reduceat(model.weights[buckets], starts, axis=0)
             psi = np.exp(raw - raw.max(axis=1, keepdims=True))[ids]
-            node = marginals(psi, lengths, model.moves, model.begin)
-            error = node.copy()
+            alpha, beta = messages(psi, lengths, model.moves, model.begin)
+            error = alpha * beta
+            error /= error.sum(axis=1, keepdims=True)
             error[np.arange(len(y)), y] -= 1
             per_word = np.stack([np.bincount(ids, error[:, j], len(distinct)) for j in range(k)], axis=1)
             spread = np.repeat(per_word, np.diff(np.append(starts, len(buckets))), axis=0)
@@ -200,7 +213,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
             inner = np.ones(len(y), bool)
             inner[np.cumsum(lengths) - lengths] = False
             here = np.flatnonzero(inner)
-            g_moves = _edges(psi, node, model.moves, here) - np.bincount(y[here - 1] * k + y[here], minlength=k * k).reshape(k, k)
+            g_moves = pair_marginals(psi, alpha, beta, model.moves, here).sum(axis=0) - np.bincount(y[here - 1] * k + y[here], minlength=k * k).reshape(k, k)
             g_begin = error[~inner].sum(axis=0)
             for value, grad, square in zip((model.weights, model.moves, model.begin), (g_weights, g_moves, g_begin), squares):
                 grad = grad / len(group)
@@ -209,31 +222,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
     return model
 
 
-def _edges(psi: np.ndarray, node: np.ndarray, moves: np.ndarray, here: np.ndarray) -> np.ndarray:
-    """Expected transitions into the words ``here``.
-
-    The pair marginal is proportional to alpha(i) m(i,j) psi(j) beta(j). From the node marginals it follows without
-    another pass by scaling m(i,j) psi(j) to both of its margins, which has one solution.
-    """
-    left, right = node[here - 1] + 1e-12, node[here] + 1e-12
-    pair = np.exp(moves - moves.max())[None] * psi[here][:, None, :] + 1e-12
-    for _ in range(8):
-        pair *= (left / pair.sum(axis=2))[:, :, None]
-        pair *= (right / pair.sum(axis=1))[:, None, :]
-    return pair.sum(axis=0)
-
-
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Field:
     """Train on at most ``sample`` rows with a label, outside the held-out fold; only these come to the driver.
 
-    The sample is the least hashes of the ids, so it does not depend on row order.
+    The sample is the least hashes of the ids, so it does not depend on row order; rows that repeat a drawn id are drawn
+    with it as long as the sample has room.
     """
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
     ids = rows.select(F.col(key).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
     # The sample is bounded by its parameter, so it may be sent to every task that reads documents.
     drawn = rows.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(label).alias("l")).join(F.broadcast(ids.distinct()), "id")
-    found = drawn.toPandas().sort_values(["id", "l", "t"])
-    return train(found["t"].tolist(), found["l"].tolist())
+    found = drawn.orderBy(F.xxhash64("id"), "id", "l", "t").limit(sample).collect()
+    found = sorted((r["id"], r["l"], r["t"]) for r in found if r["id"] is not None)
+    return train([t for _, _, t in found], [l for _, l, _ in found])
 
 
 def label_words(model: Field, texts: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -269,20 +270,18 @@ def predict(docs: DataFrame, model: Field, key: str = "doc_id", text: str = "tex
     repeated rows agree, ties go to the label that sorts first, and an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            langs, scores = [], []
-            for words, part in label_words(model, batch["t"]):
-                if not words or not model.labels:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                mean = part.mean(axis=0)
-                best = int(mean.argmax())
-                langs.append(model.labels[best])
-                scores.append(min(1.0, float(mean[best])))
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": pd.Series(langs, dtype=object), "score": np.array(scores, np.float64)})
-
-    kind = docs.select(key).dtypes[0][1]
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        langs, scores = [], []
+        for words, part in label_words(model, batch["t"]):
+            if not words or not model.labels:
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            mean = part.mean(axis=0)
+            best = int(mean.argmax())
+            langs.append(model.labels[best])
+            scores.append(min(1.0, float(mean[best])))
+        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": np.array(scores, np.float64)})
+
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
-    return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double").select(F.col("id").alias(key), "lang_pred", "score")
+    return map_keyed(rows, run, "lang_pred string, score double").select(F.col("id").alias(key), "lang_pred", "score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import whole
+from gridcast.llm.common import map_keyed, whole
 
 Q = 10
 #: Characters of a piece and between the starts of two pieces
@@ -60,25 +60,36 @@ def gram_codes(text: str, q: int) -> np.ndarray:
     return out
 
 
-def edits(piece: str, region: str, limit: int) -> tuple[int, int] | None:
+def edits(piece: str, region: str, limit: int, low: int | None = None, high: int | None = None) -> tuple[int, int] | None:
     """Fewest edits that turn ``piece`` into some stretch of ``region``, and where that ends; None beyond ``limit``.
 
-    One row of the alignment table per character of the piece, over the band of the region alone.
+    Banded alignment: one row per character of the piece, in it only the places of the region on the diagonals ``low`` to
+    ``high`` (place in the region less place in the piece; all diagonals if not given).
     """
-    at = region.find(piece)
-    if at >= 0:
-        return 0, at + len(piece)
-    r = np.frombuffer(region.encode("utf-32-le", "surrogatepass"), np.uint32)
-    along = np.arange(len(r) + 1)
-    row = np.zeros(len(r) + 1, np.int64)
-    for i, c in enumerate(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)):
-        new = row + 1
-        np.minimum(new[1:], row[:-1] + (r != c), out=new[1:])
+    p, r = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (piece, region))
+    low = -len(p) if low is None else max(low, -len(p))
+    high = len(r) if high is None else min(high, len(r))
+    if high < low:
+        return None
+    width = high - low + 1
+    far = limit + len(p) + len(r) + 1
+    along = np.arange(width)
+    # The region behind as many places of no character as the first diagonal lies before it.
+    ahead, behind = max(0, -low), max(0, len(p) + high - len(r))
+    chars = np.concatenate([np.full(ahead, -1, np.int64), r, np.full(behind, -1, np.int64)])
+    row = np.where((along + low >= 0) & (along + low <= len(r)), 0, far)
+    for i, c in enumerate(p):
+        at = i + low + ahead
+        new = row + (chars[at : at + width] != c)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        place = along + low + i + 1
+        new[(place < 0) | (place > len(r))] = far
         row = np.minimum.accumulate(new - along) + along
+        row[(place < 0) | (place > len(r))] = far
         if row.min() > limit:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= limit else None
+    best = int(row.argmin())
+    return (int(row[best]), best + low + len(p)) if row[best] <= limit else None
 
 
 @dataclass
@@ -157,8 +168,9 @@ def _pieces_in(index: Index, text: str, q: int) -> Iterator[tuple[int, int, int]
     for i in starts[count >= index.needs[seen[0, starts]]]:
         p, b = int(seen[0, i]), int(seen[1, i])
         w = int(index.budgets[p]) + 1
-        low = max(0, b * w - w)
-        if (found := edits(index.pieces[p], text[low : (b + 3) * w + len(index.pieces[p])], w - 1)) is not None:
+        low = max(0, b * w)
+        part = text[low : (b + 2) * w + len(index.pieces[p])]
+        if (found := edits(index.pieces[p], part, w - 1, b * w - low, (b + 2) * w - 1 - low)) is not None:
             yield p, found[0], low + found[1]
 
 
@@ -198,24 +210,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     The benchmark's size is asked for first. Up to ``block`` characters it is indexed once; beyond that it is dealt into
     blocks of about that size by hash of the item id, and documents are scanned once per block.
     """
-    kind = docs.select(key).dtypes[0][1]
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
     names = ["item_id", "pieces_found", "pieces", "edits", "end_char"]
     out = None
     for index in indexes(benchmark, item, passage, block):
 
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                ids, found = [], []
-                for at, t in enumerate(batch["t"]):
-                    hits = leaks_in(index, t)
-                    ids += [at] * len(hits)
-                    found += hits
-                frame = pd.DataFrame(np.array(found, np.int64).reshape(-1, 5), columns=names)
-                frame.insert(0, "id", batch["id"].iloc[ids].reset_index(drop=True))
-                yield frame
-
-        hits = rows.mapInPandas(run, f"id {kind}, " + ", ".join(f"{x} long" for x in names))
+        def run(batch: pd.DataFrame, index: Index = index) -> pd.DataFrame:
+            at, found = [], []
+            for n, t in enumerate(batch["t"]):
+                hits = leaks_in(index, t)
+                at += [n] * len(hits)
+                found += hits
+            return pd.DataFrame(np.array(found, np.int64).reshape(-1, 5), index=pd.Index(at, dtype="int64"), columns=names)
+
+        hits = map_keyed(rows, run, ", ".join(f"{x} long" for x in names))
         out = hits if out is None else out.unionByName(hits)
     return out.select(F.col("id").alias(key), F.col("item_id").alias(item), *names[1:])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import held_out, whole
+from gridcast.llm.common import held_out, map_keyed, whole
 
 WIDTH, STRIDE, FILTERS = 8, 4, 16
 #: Places per half chunk; a chunk is two neighbouring halves, 512 bytes
@@ -124,14 +124,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Train on at most ``sample`` labelled rows outside the held-out fold; only these come to the driver.
 
     Rows without a label, or with a label other than 0 and 1, teach nothing. The sample is the least hashes of the ids,
-    so it does not depend on row order; a document with several labels may be drawn with each of them.
+    so it does not depend on row order; a document with several labels may be drawn with each of them. Rows that repeat
+    a drawn id are drawn with it as long as the sample has room.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
     drawn = marked.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     texts = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
     # The sample is bounded by its parameter, so it may be sent to every task that reads documents.
-    rows = texts.join(F.broadcast(drawn), "id").toPandas().sort_values(["id", "y", "t"])
-    return train(rows["t"].tolist(), rows["y"].tolist())
+    rows = texts.join(F.broadcast(drawn), "id").orderBy(F.xxhash64("id"), "id", "y", "t").limit(sample)
+    found = sorted((r["id"], r["y"], r["t"]) for r in rows.collect())
+    return train([t for _, _, t in found], [y for _, y, _ in found])
 
 
 def scores(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,13 +142,11 @@ def scores(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text
     Only the text is looked at. Repeated rows score alike; an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "score": np.array([score(net, t) for t in batch["t"]], np.float64)})
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"score": np.array([score(net, t) for t in batch["t"]], np.float64)})
 
-    kind = docs.select(key).dtypes[0][1]
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
-    return rows.mapInPandas(run, f"id {kind}, score double").select(F.col("id").alias(key), "score")
+    return map_keyed(rows, run, "score double").select(F.col("id").alias(key), "score")
 
 
 def keep_good(docs: DataFrame, net: Network, least: float, text: str = "text") -> DataFrame:

@@ -8,15 +8,13 @@ fingerprints take part, so copies cost nothing and no list of documents ever mee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import fresh, whole
+from gridcast.llm.common import map_keyed, whole
 from gridcast.llm.graph import components
 from gridcast.session import snapshot
 
@@ -55,13 +53,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """key, fp (signed long) of every row; a text without words, or a missing one, has fp 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "fp": [fingerprint(t, shingle) for t in batch["t"]]})
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.array([fingerprint(t, shingle) for t in batch["t"]], np.int64)})
 
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
-    kind = docs.select(key).dtypes[0][1]
-    return rows.mapInPandas(run, f"id {kind}, fp long").select(F.col("id").alias(key), "fp")
+    return map_keyed(rows, run, "fp long").select(F.col("id").alias(key), "fp")
 
 
 class _Trie:
@@ -207,6 +203,5 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     found = near_duplicates(docs, key, text, shingle, bits)
     stay = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("id_")).distinct()
     kept = docs.join(stay, docs[key].eqNullSafe(stay["id_"]), "left_semi")
-    rank, = fresh(docs, "same")
     known = kept.filter(F.col(key).isNotNull()).dropDuplicates([key])
     return known.unionByName(kept.filter(F.col(key).isNull())).select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import whole
+from gridcast.llm.common import map_keyed, whole
 from gridcast.session import snapshot
 
 GRAM = 16
@@ -243,27 +243,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     strings = snapshot(_strings(marked, length, spread))
     found = _repeats(strings, length, part).groupBy("did", "dh").agg(F.collect_set(F.struct("first", "last")).alias("found"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for data, same, spans in zip(batch["b"], batch["same"], batch["found"]):
-                first, last = [], []
-                if same is not None and len(same):
-                    begin, end, _ = cells(data, length, spread)
-                    first, last = begin[same].tolist(), end[same].tolist()
-                for s in [] if spans is None else spans:
-                    first.append(s["first"])
-                    last.append(s["last"])
-                out.append(remaining(data, first, last, length))
-            columns = zip(*out) if out else ((), (), ())
-            frame = pd.DataFrame(dict(zip(["n_removed", "n_spans", "kept_sha256"], columns)))
-            frame.insert(0, "n_bytes", batch["n_bytes"].to_numpy())
-            frame.insert(0, "id", batch["id"])
-            yield frame
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for data, same, spans in zip(batch["b"], batch["same"], batch["found"]):
+            first, last = [], []
+            if same is not None and len(same):
+                begin, end, _ = cells(data, length, spread)
+                first, last = begin[same].tolist(), end[same].tolist()
+            for s in [] if spans is None else spans:
+                first.append(s["first"])
+                last.append(s["last"])
+            out.append(remaining(data, first, last, length))
+        frame = pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
+        frame.insert(0, "n_bytes", batch["n_bytes"].to_numpy())
+        return frame
 
-    kind = docs.select(key).dtypes[0][1]
     work = marked.filter("b is not null").join(found, ["did", "dh"], "left").select("id", "n_bytes", "b", "same", "found")
-    cut = work.mapInPandas(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = map_keyed(work, run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     rest = marked.filter("b is null").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return cut.unionByName(rest).select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -26,8 +26,6 @@ EOL = b"\r\n"
 #: Bytes of a file after which a writing task begins another, and of the range that a reading task takes
 ROLL, RANGE = 256 << 20, 16 << 20
 CHUNK = 1 << 18
-#: A record's header ends within so many bytes, or the place is no record
-HEADER = 1 << 20
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -74,13 +72,14 @@ def with_leaders(pages: DataFrame, key: str, source: str, least: int) -> DataFra
     """id, url, payload and, for a page that repeats another's payload of ``least`` bytes or more, its leader.
 
     The leader is the largest id among equal payloads. Payloads are compared by SHA-256 and length; the largest ids
-    combine before the shuffle, and the join back is left to adaptive skew handling.
+    combine before the shuffle. Only groups of two or more are joined back, so the payloads of single pages meet no list
+    of leaders beyond the join itself, and a very common payload is left to adaptive skew handling.
     """
     rows = pages.select(F.col(key).alias("id"), F.col("url").alias("u"), whole(source).cast("binary").alias("payload"))
     rows = rows.withColumn("h", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
-    leaders = rows.groupBy("h", "n").agg(F.max("id").alias("top"))
+    leaders = rows.groupBy("h", "n").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("many")).filter("many > 1 and top is not null").drop("many")
     other = (F.col("n") >= least) & F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))
-    return rows.join(leaders, ["h", "n"]).select("id", "u", "payload", F.when(other, F.col("top")).alias("leader"))
+    return rows.join(leaders, ["h", "n"], "left").select("id", "u", "payload", F.when(other, F.col("top")).alias("leader"))
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", source: str = "html", least: int = 0) -> DataFrame:
@@ -163,10 +162,10 @@ class _Window:
 def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
     """Header, block and length of the member at the window's place; None if no WARC record starts there.
 
-    The header is decoded first; only a place that has one is read to its end.
+    The header is decoded first, however long it is; a place whose first bytes are no WARC version is left at once.
     """
     unpack = zlib.decompressobj(31)
-    data, fed, header, length = bytearray(), 0, None, 0
+    data, fed, seen, header, length = bytearray(), 0, 0, None, 0
     try:
         while not unpack.eof:
             if fed == len(window.data) and not window.more():
@@ -177,10 +176,9 @@ def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
             if header is None:
                 if not b"WARC/1."[: len(data)] == data[:7]:
                     return None
-                stop = data.find(EOL * 2)
+                stop = data.find(EOL * 2, seen)
                 if stop < 0:
-                    if len(data) > HEADER:
-                        return None
+                    seen = max(0, len(data) - 3)
                     continue
                 lines = data[:stop].decode("utf-8", "surrogatepass").split("\r\n")
                 header = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
@@ -214,7 +212,8 @@ def read_archives(files: DataFrame, byte_range: int = RANGE, payloads: bool = Tr
 
     Columns: path, place, record_type, page_id, url, refers_to, payload_bytes and payload_digest (of the full payload, for
     a revisit as its header states them), intact (the payload, if stored, has the stated digest), payload (null for a
-    revisit or on request). Members that are no WARC records are passed over, as are bytes between members.
+    revisit or on request). Members that are no WARC records are passed over, as are bytes between members. A record's
+    address may be of any length; a record without an id has a null page_id. No files, or empty ones, give no rows.
     """
     size = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     spark = files.sparkSession
@@ -265,6 +264,8 @@ def archive_round_trip(pages: DataFrame, least: int = 0, byte_range: int = RANGE
     """Archive every page in the shared folder and read the archives back: one row per page.
 
     page_id, payload_bytes, payload_digest (upper-case base32 SHA-1), record_type (response or revisit), refers_to.
+    A missing page is an empty payload; a missing id stays null and never leads a group. Rows that repeat an id are
+    records of their own. An empty table gives an empty result; other columns are ignored.
     """
     folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     found = read_archives(write_archives(pages, folder, least=least), byte_range, payloads=False)

@@ -55,3 +55,18 @@ def test_tables(make_docs, library):
     full = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encode(make_docs(rows[:6]), WORD_BPE).collect()}
     assert full == {k: expect(library, t) for k, t in rows[:6]}
     assert bpe.digests(make_docs([]), WORD_BPE).count() == 0
+
+
+def test_every_code_point_is_of_the_librarys_class(library):
+    """Letters, numbers, other characters and small letters agree with the format's library over all of Unicode."""
+    ours = bpe.Bpe(WORD_BPE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + "".join(f"b{chr(c)}{chr(c)}1" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for text, got in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert ours.encode(text) == got.ids
+
+
+def test_places_of_a_long_stretch_do_not_run_over():
+    """A merge entry holds rank, id and place side by side; places go up to 2^40, more than a string can have."""
+    ours, word = bpe.Bpe(WORD_BPE), "ab" * 40_000
+    assert ours.decode(ours.merge(word)).replace(" ", "") == word + bpe.END

@@ -76,3 +76,26 @@ def test_held_out_accuracy(spark, sf_dir, given):
     tested = [r for r in found if r["held_out"] and r["lang"] is not None]
     assert len(tested) > 20
     assert sum(r["lang_pred"] == r["lang"] for r in tested) / len(tested) > 0.9
+
+
+def test_signs_that_are_no_letters_have_no_language():
+    assert [language.words_of(t) for t in ("\u00bd \u00b2 \u2460", "12 _", "\u0645\u064f")] == [[], [], ["\u0645\u064f"]]
+
+
+def test_pair_marginals_match_enumeration():
+    """Over all label sequences of a short chain, the share of every pair of neighbouring labels."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    psi, moves, begin = np.exp(rng.normal(size=(4, 3))), rng.normal(size=(3, 3)), rng.normal(size=3)
+    weight = np.zeros((4, 3, 3))
+    for y in itertools.product(range(3), repeat=4):
+        p = np.exp(begin[y[0]]) * psi[0, y[0]]
+        for t in range(1, 4):
+            p *= np.exp(moves[y[t - 1], y[t]]) * psi[t, y[t]]
+        for t in range(1, 4):
+            weight[t, y[t - 1], y[t]] += p
+    alpha, beta = language.messages(psi, np.array([4]), moves, begin)
+    here = np.arange(1, 4)
+    got = language.pair_marginals(psi, alpha, beta, moves, here)
+    assert np.allclose(got, weight[1:] / weight[1:].sum(axis=(1, 2), keepdims=True))

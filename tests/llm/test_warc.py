@@ -83,3 +83,19 @@ def test_gzip_reads_the_archives_too(spark, tmp_path):
     files = warc.write_archives(spark.createDataFrame(ROWS, PAGES), str(tmp_path)).collect()
     text = b"".join(gzip.decompress((tmp_path / f["path"].rpartition("/")[2]).read_bytes()) for f in files)
     assert text.count(b"WARC/1.1\r\nWARC-Type") == len(ROWS) == sum(f["records"] for f in files)
+
+
+def test_a_header_may_be_of_any_length(spark, tmp_path):
+    """An address of 3 MB that does not compress comes back, and so does the record after it."""
+    import random
+
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", k=3 << 20))
+    path = f"{tmp_path}/x.warc.gz"
+    data = warc.record(1, long, b"one", None) + warc.record(2, "u", b"two", None)
+    with open(path, "wb") as file:
+        file.write(data)
+    got = [(h.get("warc-target-uri"), b.partition(b"\r\n\r\n")[2]) for _, h, b in warc.read_range(path, 0, len(data))]
+    assert got == [(long, b"one"), ("u", b"two")]
+    pages = spark.createDataFrame([(1, long, "a"), (2, "u", "b")], "page_id long, url string, html string")
+    assert {r["page_id"] for r in warc.archive_round_trip(pages, byte_range=1 << 18).collect()} == {1, 2}
