@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, exact, html, language, leaks, pages, quality, rollup, simhash, spelling, substrings, warc
+from gridcast.llm import bpe, exact, html, language, leaks, pages, quality, rollup, shingle_join, simhash, spelling, substrings, warc
 from gridcast.llm.common import held_out, table
 from gridcast.session import shared_dir, snapshot
 
@@ -76,6 +76,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), least=6, times=5, drop_every=199, factor=5)
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
+    "op11_shingle_join": op11_shingle_join,
     "op13_spelling": op13_spelling,
 }
 
