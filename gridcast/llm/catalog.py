@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, exact, html, language, leaks, pages, quality, rollup, shingle_join, simhash, spelling, substrings, warc
+from gridcast.llm import alignment, bpe, exact, html, language, leaks, pages, quality, rollup, shingle_join, simhash, spelling, substrings, warc
 from gridcast.llm.common import held_out, table
 from gridcast.session import shared_dir, snapshot
 
@@ -80,6 +80,13 @@ def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), PIECES)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), least=6, times=5, drop_every=199, factor=5)
 
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
     "op11_shingle_join": op11_shingle_join,
+    "op12_alignment": op12_alignment,
     "op13_spelling": op13_spelling,
 }
 

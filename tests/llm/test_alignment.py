@@ -1,0 +1,141 @@
+import hashlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from gridcast.llm import alignment
+from gridcast.llm.catalog import PIECES, op12_alignment
+
+A = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def plain():
+    """Token bytes and ids of one text, straight from the libraries."""
+    one, two = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    one.encode_special_tokens = True
+    letters = {}
+    free = iter(range(256, 512))
+    for b in range(256):
+        letters[chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else chr(next(free))] = b
+
+    def run(text):
+        if not text:
+            return [], [], [], []
+        a, b = one.encode(" " + text, add_special_tokens=False).ids, two.encode(text)
+        xs = [bytes(letters[c] for c in one.id_to_token(i)) for i in a]
+        ys = [bytes([int(two.id_to_piece(i)[3:5], 16)]) if two.is_byte(i) else two.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        data = (" " + text).encode()
+        return (a, b, xs, ys) if b"".join(xs) == data == b"".join(ys) else ([], [], [], [])
+
+    return run
+
+
+def brute(rows, plain):
+    found, counts = [], Counter()
+    for k, t in rows:
+        a, b, xs, ys = plain(t)
+        spans = [[], []]
+        for side, parts in enumerate((xs, ys)):
+            at = 0
+            for p in parts:
+                spans[side].append((at, at + len(p)))
+                at += len(p)
+        links = [(a[i], b[j]) for i, (s, e) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if s < v and u < e] if len(a) < 400 else sweep(a, b, *spans)
+        ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        shown, low = [], 0
+        for end in ends:
+            shown.append(",".join(str(i) for i, (s, _) in zip(a, spans[0]) if low <= s < end) + "|" + ",".join(str(i) for i, (s, _) in zip(b, spans[1]) if low <= s < end) if len(a) < 400 else "")
+            low = end
+        if len(a) >= 400:
+            shown = sliced(a, b, spans, ends)
+        counts.update(links)
+        found.append((k, a, b, shown, links))
+    top = {}
+    for (x, y), n in counts.items():
+        top[y] = max(top.get(y, 0), n)
+    out = []
+    for k, a, b, shown, links in found:
+        sha = hashlib.sha256(";".join(shown).encode()).hexdigest() if a else ""
+        out.append((k, len(a), len(b), len(shown), len(links), sum(counts[l] == top[l[1]] for l in links), sum(counts[l] for l in links), sha))
+    return sorted(out, key=str)
+
+
+def sweep(a, b, spans_a, spans_b):
+    out, j = [], 0
+    for i, (s, e) in enumerate(spans_a):
+        while j and spans_b[j - 1][1] > s:
+            j -= 1
+        while spans_b[j][1] <= s:
+            j += 1
+        k = j
+        while k < len(b) and spans_b[k][0] < e:
+            out.append((a[i], b[k]))
+            k += 1
+    return out
+
+
+def sliced(a, b, spans, ends):
+    out, i, j = [], 0, 0
+    for end in ends:
+        k, l = i, j
+        while k < len(a) and spans[0][k][1] <= end:
+            k += 1
+        while l < len(b) and spans[1][l][1] <= end:
+            l += 1
+        out.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:l])))
+        i, j = k, l
+    return out
+
+
+ODD = [
+    "Hello  world\n\tyes", " lead", "a<|endoftext|>b <s> </s> <unk>", "é ﬁ ½ ▁ x \xa0 y", "中文\U0001f600 emoji", "trail ", "á", "x" * 3000,
+    "▁▁", "<0x41>", " ", "\n", "antidisestablishmentarianism " * 3, "Ærøskøbing naïveté", "\x00\x01",
+]
+
+
+def test_odd_texts(make_docs, plain):
+    rows = [*enumerate(ODD), (10**17 + 1, None), (None, "no id"), (70, ""), (0, ODD[0]), (0, ODD[0])]
+    docs = make_docs(rows, clash=True)
+    paths = A, PIECES
+    out = alignment.align(docs, *paths)
+    assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(map(tuple, out.collect()), key=str) == brute(rows, plain)
+    assert sorted(map(tuple, alignment.align(docs, *paths, block=7).collect()), key=str) == brute(rows, plain)
+    assert alignment.align(make_docs([]), *paths).count() == 0
+    full = {r["doc_id"]: r["groups"] for r in alignment.groups(make_docs(rows[:6]), *paths).collect()}
+    for k, t in rows[:6]:
+        a, b, _, _ = plain(t)
+        assert [i for g in full[k] for i in g["a"]] == a and [i for g in full[k] for i in g["b"]] == b
+
+
+def test_given_documents(spark, sf_dir, given, plain):
+    rows = [(r["doc_id"], r["text"]) for r in given("documents").collect()]
+    assert sorted(map(tuple, op12_alignment(spark, sf_dir).collect()), key=str) == brute(rows, plain)
+
+
+def test_slices_with_several_tokens_on_both_sides():
+    """Links of made-up token lists against comparing all byte ranges."""
+    import random
+
+    rng = random.Random(1)
+    two = alignment.pair(A, PIECES)
+    a_by, b_by = {}, {}
+    for i, n in enumerate(two.sizes_a):
+        a_by.setdefault(n, i)
+    for i, n in enumerate(two.sizes_b):
+        b_by.setdefault(n, i)
+    for _ in range(300):
+        total = rng.randint(1, 30)
+        cuts = [sorted({0, total, *rng.sample(range(total + 1), rng.randint(0, total // 2))}) for _ in range(2)]
+        x, y = ([q - p if q - p <= 4 else None for p, q in zip(c, c[1:])] for c in cuts)
+        if None in x or None in y:
+            continue
+        a, b = [a_by[n] for n in x], [b_by[n] for n in y]
+        spans = [[(sum(p[:i]), sum(p[: i + 1])) for i in range(len(p))] for p in (x, y)]
+        want = Counter((a[i], b[j]) for i, (s, e) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if s < v and u < e)
+        got = Counter((int(v) >> 32, int(v) & 0xFFFFFFFF) for v in two.links(a, b, *two.align(a, b)))
+        assert got == want

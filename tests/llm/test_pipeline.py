@@ -64,7 +64,7 @@ def test_empty_documents(spark, sf_dir, make_docs):
 
 def test_entry_lists_every_query():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == [*range(1, 12), 13]
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == [*range(1, 14)]
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
