@@ -23,16 +23,18 @@ from gridcast.llm.common import whole
 from gridcast.session import snapshot
 
 # Fixed values of the word rule.
-RUN = r"[A-Za-zÀ-ÿ]+"
+LETTER = "[A-Za-zÀ-ÿ]"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: First letter of words as they are and of reversed words in the trie; neither begins a word otherwise
 FORWARD, BACKWARD = ">", "<"
 
 
-def typed_runs(docs: DataFrame, key: str, text: str, drop_every: int) -> DataFrame:
-    """word: every run of letters of every row, A-Z lower-cased, with a letter left out where the hash of key and run says so."""
-    runs = docs.select(F.col(key).cast("string").alias("k"), F.explode(F.regexp_extract_all(whole(text), F.lit(RUN), F.lit(0))).alias("r"))
-    low = runs.select("k", F.translate("r", CAPITALS, SMALL).alias("r"))
+def typed_runs(docs: DataFrame, key: str, text: str, drop_every: int, least: int = 1) -> DataFrame:
+    """word: every run of ``least`` letters or more, A-Z lower-cased, with a letter left out where the hash of key and run says so."""
+    run = F.lit(f"{LETTER}{{{max(1, least)},}}")  # shorter runs end where the next character is no letter, so runs are whole
+    runs = docs.select(F.col(key).cast("string").alias("k"), F.explode(F.regexp_extract_all(whole(text), run, F.lit(0))).alias("r"))
+    # Lower-casing looks at A-Z alone; where all letters are ASCII that is what lower() does.
+    low = runs.select("k", F.when(F.octet_length("r") == F.length("r"), F.lower("r")).otherwise(F.translate("r", CAPITALS, SMALL)).alias("r"))
     h = F.crc32(F.concat(F.coalesce("k", F.lit("")), F.lit(":"), "r").cast("binary"))
     at = (F.col("h") % F.length("r")).cast("int")
     cut = F.concat(F.substr("r", F.lit(1), at), F.substr("r", at + 2))
@@ -41,7 +43,7 @@ def typed_runs(docs: DataFrame, key: str, text: str, drop_every: int) -> DataFra
 
 def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 6, times: int = 5, drop_every: int = 199) -> DataFrame:
     """word, n: words of ``least`` code points or more that occur ``times`` times or more."""
-    words = typed_runs(docs, key, text, drop_every).filter(F.length("word") >= least)
+    words = typed_runs(docs, key, text, drop_every, least).filter(F.length("word") >= least)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= times)
 
 
@@ -89,7 +91,9 @@ def with_prefix(strings: DataFrame) -> DataFrame:
 
 
 def edge_table(entries: DataFrame) -> DataFrame:
-    """node, letter, label, child, n of the trie over ``entries`` (s, n); n is null where a child is no entry.
+    """node, letter, label, child, n, after of the trie over ``entries`` (s, n).
+
+    n is null where a child is no entry; after holds the first letters of the child's own edges, as a string.
 
     In code-point order the parent of a node is the prefix it shares with the node before it, because the prefixes at
     which entries part are nodes themselves.
@@ -98,8 +102,12 @@ def edge_table(entries: DataFrame) -> DataFrame:
     tops = entries.select(F.substr("s", F.lit(1), F.lit(1)).alias("s"))
     nodes = snapshot(with_prefix(entries.select("s").unionByName(parted).unionByName(tops)))
     cut = F.substr("s", F.col("up") + 1)
-    edges = nodes.join(entries, "s", "left").filter("up > 0")
-    return edges.select(F.substr("s", F.lit(1), F.col("up")).alias("node"), F.substr(cut, F.lit(1), F.lit(1)).alias("letter"), cut.alias("label"), F.col("s").alias("child"), "n")
+    letter = F.substr(cut, F.lit(1), F.lit(1))
+    node = F.substr("s", F.lit(1), F.col("up"))
+    # As many letters as the alphabet has, whatever the number of entries below a node.
+    after = nodes.filter("up > 0").groupBy(node.alias("s")).agg(F.concat_ws("", F.collect_set(letter)).alias("after"))
+    edges = nodes.filter("up > 0").join(entries, "s", "left").join(after, "s", "left")
+    return edges.select(node.alias("node"), letter.alias("letter"), cut.alias("label"), F.col("s").alias("child"), "n", F.coalesce("after", F.lit("")).alias("after"))
 
 
 def _from(at: Column, size: Column | None = None) -> Column:
@@ -124,26 +132,27 @@ def neighbours(words: DataFrame) -> DataFrame:
     done = []
     while True:
         at = F.col("at")
-        # In the untouched part a state can only go on along its own letters.
-        own = live.filter("edits = 0 and at < free").withColumn("letter", _from(at, F.lit(1))).join(edges, ["node", "letter"])
-        own = own.filter(F.col("label") == _from(at, wide)).select("s", "free", (at + wide).alias("at"), F.col("child").alias("node"), "edits", "n")
-        near = live.filter("edits = 1 or at >= free").join(edges, "node")
+        # In the untouched part and behind its edit, a state can only go on along the letters of its word.
+        own = live.filter("edits = 1 or at < free").withColumn("letter", _from(at, F.lit(1))).join(edges, ["node", "letter"])
+        own = own.filter(F.col("label") == _from(at, wide)).select("s", "free", (at + wide).alias("at"), F.col("child").alias("node"), "edits", "n", "after")
+        near = live.filter("edits = 0 and at >= free").join(edges, "node")
         follow = F.col("label") == _from(at, wide)
         rest = F.substr("label", F.lit(2))
-        kinds = [
-            (follow, at + wide, F.col("edits")),
-            ((F.col("edits") == 0) & ~follow & (at < size) & (rest == _from(at + 1, wide - 1)), at + wide, F.lit(1)),  # replaced
-            ((F.col("edits") == 0) & ~follow & (rest == _from(at, wide - 1)), at + wide - 1, F.lit(1)),  # inserted
-            ((F.col("edits") == 0) & ~follow & (at < size) & (F.col("label") == _from(at + 1, wide)), at + wide + 1, F.lit(1)),  # deleted
-        ]
-        moves = F.array_compact(F.array(*[F.when(ok, F.struct(to.cast("int").alias("at"), spent.alias("edits"))) for ok, to, spent in kinds]))
-        moved = near.select("s", "free", F.col("child").alias("node"), "n", F.explode(moves).alias("m"))
-        moved = moved.select("s", "free", "m.at", "node", "m.edits", "n")
+        replaced = ~follow & (at < size) & (rest == _from(at + 1, wide - 1))
+        inserted = ~follow & (rest == _from(at, wide - 1))
+        deleted = ~follow & (at < size) & (F.col("label") == _from(at + 1, wide))
+        kinds = [(follow, at + wide, 0), (replaced, at + wide, 1), (inserted, at + wide - 1, 1), (deleted, at + wide + 1, 1)]
+        moves = F.array_compact(F.array(*[F.when(ok, F.struct(to.cast("int").alias("at"), F.lit(spent).alias("edits"))) for ok, to, spent in kinds]))
+        moved = near.filter(follow | replaced | inserted | deleted).select("s", "free", F.col("child").alias("node"), "n", "after", F.explode(moves).alias("m"))
+        moved = moved.select("s", "free", "m.at", "node", "m.edits", "n", "after")
+        # A state behind its edit goes on only if its node ends with the word or has an edge with the word's next letter.
+        hope = (F.col("edits") == 0) | F.when(at == size, F.col("n").isNotNull()).otherwise((at < size) & (F.instr(F.col("after"), _from(at, F.lit(1))) > 0))
+        own, moved = own.filter(hope).drop("after"), moved.filter(hope).drop("after")
         live = snapshot(own.unionByName(moved))
         # At the end of the word, or one letter before it with the edit unspent: that letter is the one left out.
         ends = F.col("n").isNotNull() & ((F.col("edits") == 1) & (at == size) | (F.col("edits") == 0) & (at == size - 1) & (at >= F.col("free")))
         done.append(live.filter(ends).select("s", "node", "n", "free"))
-        live = live.filter("edits = 0 or at <= length(s)").drop("n")
+        live = live.filter("at < length(s) or edits = 0").drop("n")
         if live.isEmpty():
             break
     found = done[0]
