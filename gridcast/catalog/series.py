@@ -41,6 +41,23 @@ def _components(v: Views):
     )
 
 
+#: The series with a fill value (the one usual in climate files) at one hour of every ten days
+SPIKED = """
+select cell, hour_ts, case when (cell * 7 + datediff('day', date '2024-01-01', cast(hour_ts as date)) * 24 + hour(hour_ts)) % 240 = 5
+                           then cast(9.96921e36 as double) else precipitation end as precipitation
+from {source}
+"""
+#: Sums that hold a fill value are missing, all others must be as if it had never been.
+RECOVERED = "case when {0} < 1e30 then round({0} + 1.1e-10, 6) end"
+RAIN = ("rain_24h", "rain_72h", "rain_168h")
+
+
+def _after_spikes(v: Views):
+    spiked = v.spark.sql(SPIKED.format(source="{dense}").replace("datediff('day', date '2024-01-01', cast(hour_ts as date))", "datediff(cast(hour_ts as date), date '2024-01-01')"), dense=dense(v))
+    found = weather.trailing_rain(spiked)
+    return found.select("cell", "hour_ts", *[F.expr(RECOVERED.format(c)).alias(c) for c in RAIN])
+
+
 FEATURE_NAMES = ("rain_24h", "rain_72h", "rain_168h", "avg_temp_24h", "avg_humidity_24h", "max_wind_24h")
 
 DENSE_DAYS = """
@@ -101,6 +118,20 @@ QUERIES = {
         lambda v: rounded(weather.weather_features(dense(v)), *FEATURE_NAMES),
         oracle(f"select * replace ({rounds(*FEATURE_NAMES)}) from features", "features"),
     ),
+    "weather_features_chunked": Query(
+        lambda v: rounded(weather.weather_features(weather.densify_hours(v.hourly(), chunk=96), chunk=96), *FEATURE_NAMES),
+        oracle(f"select * replace ({rounds(*FEATURE_NAMES)}) from features", "features"),
+    ),
+    "rain_after_spikes": Query(
+        _after_spikes,
+        oracle(
+            f"select cell, hour_ts, {', '.join(f'{RECOVERED.format(c)} as {c}' for c in RAIN)} from summed",
+            "dense",
+            spiked=SPIKED.format(source="dense"),
+            summed=f"""select *, {', '.join(f"sum(precipitation) over (w rows between {h - 1} preceding and current row) as rain_{h}h" for h in (24, 72, 168))}
+                       from spiked window w as (partition by cell order by hour_ts)""",
+        ),
+    ),
     "weather_at": Query(
         lambda v: weather.weather_at(v.hourly(), _targets(v)),
         oracle(

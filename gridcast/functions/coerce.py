@@ -41,7 +41,7 @@ def no_nan(value: Column) -> Column:
 
 
 def finite(value: Column) -> Column:
-    """NULL for NaN and infinities: one of them would stay in every later running total."""
+    """NULL for NaN and infinities."""
     return F.when(F.abs(value) < float("inf"), value)
 
 

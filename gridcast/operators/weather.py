@@ -7,6 +7,7 @@ An hourly series has one row per (cell, hour), so one cell never holds more rows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,24 +41,55 @@ def explode_hourly(payloads: DataFrame, keys: Sequence[str], body: str = "payloa
     ).filter(F.col("hour_ts").isNotNull())
 
 
-def _densify(series: DataFrame, cell: str, at: str, step: Column, back: Column) -> DataFrame:
+#: Rows of a partial sum; longer frames are put together from partial sums side by side.
+BLOCK = 24
+#: A length of chunks for very long series: four weeks of hours
+CHUNK = 672
+
+
+def _chunk(at: str, chunk: int) -> Column:
+    """Number of the chunk of ``chunk`` hours that an instant lies in."""
+    return F.floor(_hour(at) / chunk).cast("long")
+
+
+def _hour(at: str) -> Column:
+    """Full hours since 1970."""
+    return F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(at).cast("timestamp_ntz"))
+
+
+def _densify(series: DataFrame, cell: str, at: str, step: Column, back: Column, chunk: int | None = None) -> DataFrame:
     """Fill gaps up to the next reading with NULL rows: one exchange by cell, no grid join.
 
     Of readings that repeat a time the first stays, in the order of their values; that costs no exchange or sort of its own.
+    With ``chunk`` a task holds one chunk of a cell, and the gap behind a chunk's last reading ends at the first one of the
+    cell's next chunk with readings, which comes from a table of one row per chunk.
     """
     values = [c for c in series.columns if c not in (cell, at)]
-    before = F.lag(at).over(W.partitionBy(cell).orderBy(at, *values))
+    keys = [cell]
+    if chunk is not None:
+        keys = [cell, "_k"]
+        # Dealt out by chunk explicitly: rows dealt by cell alone would do for a window, and stay one task per cell.
+        series = series.withColumn("_k", _chunk(at, chunk)).repartition(*keys)
+    before = F.lag(at).over(W.partitionBy(*keys).orderBy(at, *values))
     series = series.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col(at))).drop("_before")
-    ahead = F.lead(at).over(W.partitionBy(cell).orderBy(at))
+    ahead = F.lead(at).over(W.partitionBy(*keys).orderBy(at))
+    if chunk is not None:
+        firsts = series.groupBy(*keys).agg(F.min(at).alias("_first"))
+        following = firsts.select(*keys, F.lead("_first").over(W.partitionBy(cell).orderBy("_k")).alias("_next")).repartition(*keys)
+        series = series.withColumn("_ahead", ahead).join(following, keys)
+        ahead = F.coalesce("_ahead", "_next")
     gaps = series.withColumn("_until", F.coalesce(ahead - back, F.col(at)))
     grid = gaps.select(cell, *values, F.posexplode(F.sequence(F.col(at), F.col("_until"), step)).alias("_i", at))
     return grid.select(cell, at, *[F.when(F.col("_i") == 0, F.col(v)).alias(v) for v in values])
 
 
-def densify_hours(hourly: DataFrame, cell: str = "cell", at: str = "hour_ts") -> DataFrame:
-    """Every hour from a cell's first to its last reading, so that rows and hours mean the same in a frame."""
+def densify_hours(hourly: DataFrame, cell: str = "cell", at: str = "hour_ts", chunk: int | None = None) -> DataFrame:
+    """Every hour from a cell's first to its last reading, so that rows and hours mean the same in a frame.
+
+    A task holds a cell's whole series, or with ``chunk`` (hours) one chunk of it; the rows are the same.
+    """
     hour = F.expr("interval 1 hour")
-    return _densify(hourly, cell, at, hour, hour)
+    return _densify(hourly, cell, at, hour, hour, chunk)
 
 
 def densify_days(daily: DataFrame, cell: str = "cell", at: str = "day") -> DataFrame:
@@ -65,68 +97,95 @@ def densify_days(daily: DataFrame, cell: str = "cell", at: str = "day") -> DataF
 
 
 class _Trailing:
-    """Sums and means over the last n rows as differences of running totals: constant work per row for any n.
+    """Sums, means and extremes over the last n rows of a regular series.
+
+    Sums merge partial sums: the one over the last ``BLOCK`` rows, the same one ``BLOCK`` rows earlier and so on, and the
+    ragged rest of the frame. Nothing is subtracted, so a value leaves no trace once it is outside the frame, and a row
+    costs the same for any length. All frames and lags share one window specification: one exchange and sort.
 
-    Running totals and lags share one window specification, so Spark sorts and exchanges once for all of them.
+    With ``chunk`` a task holds one chunk of a cell's hours and a halo, the hours before it that its frames (of ``reach``
+    rows at most) look back on; ``select`` leaves the halo out again.
     """
 
-    def __init__(self, df: DataFrame, cell: str, at: str, summed: Sequence[str]):
-        self.order = W.partitionBy(cell).orderBy(at)
-        df = df.withColumns({v: finite(F.col(v)) for v in summed})
-        so_far = self.order.rowsBetween(W.unboundedPreceding, 0)
-        self.table = df.select(
+    def __init__(self, df: DataFrame, cell: str, at: str, summed: Sequence[str], reach: int, chunk: int | None = None):
+        self.cell, self.at, self.reach, self.chunk = cell, at, reach, chunk
+        keys = [cell]
+        if chunk is not None:
+            keys = [cell, "_k"]
+            own = _chunk(at, chunk)
+            # Chunks whose first hours look back on this one; as many as the frame's length covers.
+            last = F.floor((_hour(at) + (reach - 1)) / chunk).cast("long")
+            df = df.select("*", own.alias("_own"), F.explode(F.sequence(own, last)).alias("_k")).repartition(*keys)
+        self.order = W.partitionBy(*keys).orderBy(at)
+        block = self._frame(0, BLOCK)
+        self.table = df.withColumns({v: finite(F.col(v)) for v in summed}).select(
             "*",
-            *[F.coalesce(F.sum(v).over(so_far), F.lit(0.0)).alias(f"_t_{v}") for v in summed],
-            *[F.count(v).over(so_far).alias(f"_c_{v}") for v in summed],
+            *[F.coalesce(F.sum(v).over(block), F.lit(0.0)).alias(f"_t_{v}") for v in summed],
+            *[F.count(v).over(block).alias(f"_c_{v}") for v in summed],
         )
 
-    def _last(self, column: str, rows: int) -> Column:
-        return F.col(column) - F.lag(column, rows, 0).over(self.order)
+    def _frame(self, first: int, rows: int):
+        """The rows from ``rows`` - 1 before the current one to ``first`` before it."""
+        return self.order.rowsBetween(-(rows - 1), -first)
+
+    def _merged(self, v: str, rows: int) -> tuple[Column, Column]:
+        """Sum and count of the values over the last ``rows`` rows."""
+        if rows > self.reach:
+            raise ValueError(f"frames look back on {self.reach} rows at most")
+        whole = rows // BLOCK
+        total = [F.lag(f"_t_{v}", BLOCK * j, 0.0).over(self.order) if j else F.col(f"_t_{v}") for j in range(whole)]
+        count = [F.lag(f"_c_{v}", BLOCK * j, 0).over(self.order) if j else F.col(f"_c_{v}") for j in range(whole)]
+        if rows % BLOCK:
+            rest = self._frame(BLOCK * whole, rows)
+            total.append(F.coalesce(F.sum(v).over(rest), F.lit(0.0)))
+            count.append(F.coalesce(F.count(v).over(rest), F.lit(0)))
+        return reduce(Column.__add__, total), reduce(Column.__add__, count)
 
     def total(self, v: str, rows: int) -> Column:
         """NULL only if all values in the frame are missing."""
-        return F.when(self._last(f"_c_{v}", rows) > 0, self._last(f"_t_{v}", rows))
+        total, present = self._merged(v, rows)
+        return F.when(present > 0, total)
 
     def mean(self, v: str, rows: int) -> Column:
-        present = self._last(f"_c_{v}", rows)
-        return F.when(present > 0, self._last(f"_t_{v}", rows) / present)
+        total, present = self._merged(v, rows)
+        return F.when(present > 0, total / present)
 
     def highest(self, v: str, rows: int) -> Column:
-        return F.max(no_nan(F.col(v))).over(self.order.rowsBetween(-(rows - 1), 0))
+        return F.max(no_nan(F.col(v))).over(self._frame(0, rows))
 
-    def lowest(self, v: str, rows: int) -> Column:
-        return F.min(no_nan(F.col(v))).over(self.order.rowsBetween(-(rows - 1), 0))
+    def select(self, *columns: str | Column) -> DataFrame:
+        if self.chunk is None:
+            return self.table.select(self.cell, self.at, *columns)
+        return self.table.select(self.cell, self.at, *columns, "_own", "_k").filter("_own = _k").drop("_own", "_k")
 
 
-def trailing_rain(hourly: DataFrame, hours: Sequence[int] = (24, 72, 168)) -> DataFrame:
-    t = _Trailing(hourly, "cell", "hour_ts", ["precipitation"])
-    return t.table.select("cell", "hour_ts", *[t.total("precipitation", h).alias(f"rain_{h}h") for h in hours])
+def trailing_rain(hourly: DataFrame, hours: Sequence[int] = (24, 72, 168), chunk: int | None = None) -> DataFrame:
+    t = _Trailing(hourly, "cell", "hour_ts", ["precipitation"], max(hours), chunk)
+    return t.select(*[t.total("precipitation", h).alias(f"rain_{h}h") for h in hours])
 
 
-def trailing_means(hourly: DataFrame, hours: int = 24) -> DataFrame:
-    t = _Trailing(hourly, "cell", "hour_ts", ["temperature_2m", "relative_humidity_2m"])
-    return t.table.select(
-        "cell",
-        "hour_ts",
+def trailing_means(hourly: DataFrame, hours: int = 24, chunk: int | None = None) -> DataFrame:
+    t = _Trailing(hourly, "cell", "hour_ts", ["temperature_2m", "relative_humidity_2m"], hours, chunk)
+    return t.select(
         t.mean("temperature_2m", hours).alias(f"avg_temp_{hours}h"),
         t.mean("relative_humidity_2m", hours).alias(f"avg_humidity_{hours}h"),
     )
 
 
-def trailing_max_wind(hourly: DataFrame, hours: int = 24) -> DataFrame:
-    w = W.partitionBy("cell").orderBy("hour_ts").rowsBetween(-(hours - 1), 0)
-    return hourly.select("cell", "hour_ts", F.max(no_nan(F.col("wind_speed_10m"))).over(w).alias(f"max_wind_{hours}h"))
+def trailing_max_wind(hourly: DataFrame, hours: int = 24, chunk: int | None = None) -> DataFrame:
+    t = _Trailing(hourly, "cell", "hour_ts", [], hours, chunk)
+    return t.select(t.highest("wind_speed_10m", hours).alias(f"max_wind_{hours}h"))
 
 
-def weather_features(hourly: DataFrame) -> DataFrame:
+def weather_features(hourly: DataFrame, chunk: int | None = None) -> DataFrame:
     """Nine instantaneous and six trailing features for every hour of every cell.
 
-    ``hourly`` is regular (see ``densify_hours``). Densifying and all frames run on one exchange by cell.
+    ``hourly`` is regular (see ``densify_hours``). Densifying and all frames run on one exchange by cell. A cell's series
+    is one task, which the calendar bounds; with ``chunk`` (hours) the series of a cell is dealt out in chunks with a halo,
+    for periods of many years, or for few cells on many machines. The rows are the same.
     """
-    t = _Trailing(hourly, "cell", "hour_ts", ["precipitation", "temperature_2m", "relative_humidity_2m"])
-    return t.table.select(
-        "cell",
-        "hour_ts",
+    t = _Trailing(hourly, "cell", "hour_ts", ["precipitation", "temperature_2m", "relative_humidity_2m"], 168, chunk)
+    return t.select(
         *INSTANT,
         *[t.total("precipitation", h).alias(f"rain_{h}h") for h in (24, 72, 168)],
         t.mean("temperature_2m", 24).alias("avg_temp_24h"),

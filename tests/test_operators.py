@@ -260,6 +260,51 @@ def test_all_missing_window_is_null_and_one_value_is_kept(spark):
     assert got[23]["rain_24h"] == 3.0 and got[24]["rain_24h"] is None and got[29]["rain_72h"] == 3.0
 
 
+def _long_series(spark, cells=3, hours=1500, gap=()):
+    """Hourly rain and temperature of a few cells, without the hours in ``gap`` for the first cell."""
+    rows = spark.range(cells * hours).selectExpr(f"cast(id div {hours} as int) as cell", f"cast(id % {hours} as int) as h")
+    if gap:
+        rows = rows.filter(~((F.col("cell") == 0) & F.col("h").between(*gap)))
+    at = F.lit("2023-12-20 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h"))
+    value = lambda m: (F.col("h") * 7 + F.col("cell")) % m
+    return rows.select(
+        "cell", at.alias("hour_ts"), *[F.when(value(11) > 0, value(5 + i).cast("double")).alias(v) for i, v in enumerate(INSTANT)]
+    )
+
+
+def test_a_value_leaves_no_trace_once_it_is_out_of_the_frame(spark):
+    """Rain of 1.0 an hour with one fill value at the third hour: later frames hold exactly their own hours."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))
+    rain = F.when(F.col("id") == 3, F.lit(9.96921e36)).otherwise(F.lit(1.0))
+    hourly = spark.range(400).select(F.lit(1).alias("cell"), at.alias("hour_ts"), rain.alias("precipitation"))
+    got = weather.trailing_rain(hourly, (24, 72, 168, 50, 5)).orderBy("hour_ts").collect()
+    assert got[399]["rain_168h"] == 168.0 and got[27]["rain_24h"] == 24.0 and got[26]["rain_24h"] > 1e36
+    for n in (24, 72, 168, 50, 5):
+        assert [r[f"rain_{n}h"] for r in got[n + 3 :]] == [float(n)] * (397 - n)
+        assert [r[f"rain_{n}h"] for r in got[:3]] == [1.0, 2.0, 3.0]
+
+
+def test_chunks_with_a_halo_give_the_same_rows(spark):
+    """Gaps longer than a chunk and its halo, chunks shorter than a frame, chunks longer than the series."""
+    series = _long_series(spark, gap=(300, 1100))
+    whole = sorted(map(tuple, weather.weather_features(weather.densify_hours(series)).collect()))
+    assert len(whole) == 4500
+    for chunk in (50, 168, 672, 5000):
+        got = weather.weather_features(weather.densify_hours(series, chunk=chunk), chunk=chunk)
+        assert sorted(map(tuple, got.collect())) == whole
+
+
+def test_a_cell_with_a_third_of_all_rows_is_several_tasks(spark):
+    series = _long_series(spark, cells=1, hours=2000).unionByName(_long_series(spark, cells=5, hours=800).filter("cell > 0"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = weather.weather_features(weather.densify_hours(series, chunk=weather.CHUNK), chunk=weather.CHUNK)
+        spread = got.filter("cell = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread > 1 and got.count() == 2000 + 4 * 800
+
+
 def test_weather_features_use_one_exchange(spark):
     hourly = _hourly(spark, [(0, 1.0), (5, 2.0)])
     plan = weather.weather_features(weather.densify_hours(hourly))._jdf.queryExecution().executedPlan().toString()
