@@ -31,7 +31,7 @@ TAGS = {
     "notice": ["div", "section", "aside", "dialog"],
     "advert": ["div", "div", "aside", "section", "ins", "figure"],
     "form": ["form", "form", "div", "section"],
-    "comment": ["section", "div", "ol", "article"],
+    "comment": ["section", "div", "ol", "ul", "article"],
     "share": ["div", "ul"],
 }
 INLINE = ["b", "i", "em", "strong", "span", "a href='/x'", "code"]
@@ -49,6 +49,18 @@ class _Page:
             out[1] = f"<{tag}>{out[1]}</{tag.split()[0]}>"
         return " ".join(out)
 
+    def prose(self, low: int, high: int) -> str:
+        """Words in sentences, now and then with an inline element."""
+        out = self.words(low, high).split(" ")
+        start = 0
+        for at in range(len(out)):
+            if at == len(out) - 1 or at - start > 3 and self.rng.random() < 0.12:
+                out[at] += self.rng.choice(".....!?")
+                start = at + 1
+            elif self.rng.random() < 0.06:
+                out[at] += ","
+        return " ".join(out)
+
     def named(self, names: list[str], extra: str = "") -> str:
         """A class or id made of one of the names, now and then joined to a neutral word."""
         if self.rng.random() < 0.15:
@@ -72,20 +84,23 @@ class _Page:
         elif role == "form":
             inside = f"<label>{self.words(1, 4)}</label><input name='q'><select><option>{self.words(1, 2)}<option>{self.words(1, 2)}</select><p>{self.words(2, 20)}</p><button>{self.words(1, 2)}</button>"
         elif role == "comment":
-            one = self.rng.choice([("div", ' class="comment"'), ("li", ""), ("article", ' class="comment"'), ("p", "")])
+            one = self.rng.choice([("div", ' class="comment"'), ("li", ""), ("article", ' class="comment"'), ("p", "")]) if tag not in ("ul", "ol") else ("li", "")
+            if one[0] == "li" and self.rng.random() < 0.5:
+                inside = "".join(f"<li>{self.rng.choice([self.prose, self.words])(2, 40)}</li>" for _ in range(self.rng.randint(1, 5)))
+                return f'<{tag}{name} data-label="0">{inside}</{tag}>'
             inside = self.rng.choice(["", f"<h3>{self.words(1, 3)}</h3>"]) + "".join(f"<{one[0]}{one[1]}>{self.rng.choice(['', f'<h4>{self.words(1, 2)}</h4>']) if one[0] != 'p' else ''}{self.words(2, 60) if one[0] == 'p' else f'<p>{self.words(2, 60)}</p>'}</{one[0]}>" for _ in range(self.rng.randint(1, 5)))
         else:
             top = self.rng.choice(["h1", "h1", "h2", "p"] if role == "header" else ["h2", "h3", "h4", "p"])
             title = f"<{top}>{self.words(1, 4)}</{top}>"
             inside = self.rng.choice(
-                [self.words(1, 40), f"<p>{self.words(2, 60)}</p>", title, f"{title}{self.links(self.rng.randint(2, 6))}", f"{title}<p>{self.words(3, 50)}</p><p>{self.words(3, 30)}</p>"]
+                [self.words(1, 40), f"<p>{self.rng.choice([self.prose, self.words])(2, 60)}</p>", title, f"{title}{self.links(self.rng.randint(2, 6))}", f"{title}<p>{self.words(3, 50)}</p><p>{self.words(3, 30)}</p>"]
             )
         return f'<{tag}{name} data-label="0">{inside}</{tag}>'
 
     def block(self) -> str:
         pick = self.rng.random()
         if pick < 0.62:
-            return f"<p>{self.words(1, 80)}" + self.rng.choice(["</p>", "</p>", f"<br>{self.words(1, 10)}", ""])
+            return f"<p>{self.rng.choice([self.prose, self.prose, self.words])(1, self.rng.choice([2, 6, 25, 80]))}" + self.rng.choice(["</p>", "</p>", f"<br>{self.words(1, 10)}", ""])
         if pick < 0.72:
             return f"<h2>{self.words(1, 8)}</h2>"
         if pick < 0.80:
@@ -109,8 +124,8 @@ class _Page:
             parts.append(self.block())
             if self.rng.random() < 0.08:
                 parts.append(self.other(self.rng.choice(["advert", "sidebar", "form", "share", "notice"])))
-        if self.rng.random() < 0.2:
-            parts.append(self.other(self.rng.choice(["comment", "share", "sidebar", "footer"])))
+        if self.rng.random() < 0.35:
+            parts.append(self.other(self.rng.choice(["comment", "comment", "comment", "share", "sidebar", "footer"])))
         if self.rng.random() < 0.1:
             parts.insert(0, self.other("header"))
         if bare:
@@ -134,7 +149,64 @@ class _Page:
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 9)}</title><style>p{{}}</style></head><body{' data-label="1"' * bare}>{body}<script>x('<p>')</script></body></html>"
 
 
-def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
+class _Nameless(_Page):
+    """Pages whose names say nothing, from bare text to nested boxes; what is main text shows in the text itself."""
+
+    def box(self, inside: str, label: int, deep: int = 1) -> str:
+        for _ in range(deep):
+            code = "".join(self.rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=self.rng.randint(2, 6)))
+            name = self.rng.choice([f' class="css-{code}"', f' class="{code}"', f' id="{code}"', "", f' class="{code} sc-{code}"'])
+            inside = f'<{self.rng.choice(["div", "div", "div", "section", "td"])}{name} data-label="{label}">{inside}</div>'
+        return inside
+
+    def text(self) -> str:
+        """Main text of paragraphs, with the elements that go between them."""
+        parts = [f"<h{self.rng.randint(1, 3)}>{self.words(1, 10)}</h1>"] * (self.rng.random() < 0.5)
+        for _ in range(self.rng.choice([1, 2, 2, 3, 5, 9])):
+            pick, low = self.rng.random(), self.rng.choice([1, 3, 8, 20])
+            if pick < 0.75:
+                parts.append(f"<p>{self.rng.choice([self.prose, self.prose, self.words])(low, low * 5)}</p>")
+            elif pick < 0.85:
+                parts.append(self.box(self.prose(low, low * 6), 1))
+            else:
+                parts.append(self.block())
+        return "".join(parts)
+
+    def aside(self) -> str:
+        """What stands around it: link lists, short lines, forms, footers."""
+        pick = self.rng.random()
+        if pick < 0.45:
+            inside = self.links(self.rng.randint(3, 9))
+        elif pick < 0.6:
+            inside = f"<input name='q'><button>{self.words(1, 2)}</button>"
+        elif pick < 0.8:
+            inside = f"<a href='/'>{self.words(1, 3)}</a> <a href='/'>{self.words(1, 2)}</a>"
+        else:
+            inside = f"&copy; {self.words(1, 3)} <a href='/'>{self.words(1, 2)}</a>"
+        tag = self.rng.choice(["div", "div", "nav", "footer", "header", "aside", "form"])
+        return f'<{tag} data-label="0">{inside}</{tag}>' if tag != "div" else self.box(inside, 0)
+
+    def html(self) -> str:
+        pick = self.rng.random()
+        if pick < 0.1:  # a few words in a few plain elements
+            low = self.rng.randint(1, 4)
+            parts = [self.rng.choice([f"<p>{self.words(low, low * 2)}</p>", f"<p>{self.words(low, low * 2)}</p>", f"<h2>{self.words(1, 3)}</h2>", self.box(self.words(low, low * 2), 1)]) for _ in range(self.rng.randint(1, 4))]
+            return self.rng.choice(['<!DOCTYPE html data-label="1">', '<body data-label="1">']) + "".join(parts)
+        if pick < 0.25:  # no markup at all
+            return '<!DOCTYPE html data-label="1">' + self.rng.choice(["\n", "\n\n", " "]).join(self.rng.choice([self.prose, self.words])(1, self.rng.choice([2, 5, 60])) for _ in range(self.rng.randint(1, 4)))
+        if pick < 0.45:
+            return self.rng.choice(['<body data-label="1">', '<html><body data-label="1">', '<!DOCTYPE html data-label="1">']) + self.text()
+        parts = [self.box(self.text(), 1, self.rng.randint(1, 4))]
+        parts = [self.aside() for _ in range(self.rng.randint(0, 3))] + parts + [self.aside() for _ in range(self.rng.randint(0, 3))]
+        body = "".join(parts)
+        return f"<!DOCTYPE html><html><head><title>{self.words(1, 9)}</title></head><body>{self.box(body, 0) if self.rng.random() < 0.3 else body}</body></html>"
+
+
+#: Share of training pages without telling names
+NAMELESS = 0.4
+
+
+def labelled_pages(n: int = 1200, seed: int = 5, nameless: float = NAMELESS) -> list[str]:
     """``n`` pages with ``data-label`` on the elements whose role is known; the same for the same seed."""
     rng = random.Random(seed)
-    return [_Page(rng).html() for _ in range(n)]
+    return [(_Nameless if rng.random() < nameless else _Page)(rng).html() for _ in range(n)]

@@ -1,5 +1,6 @@
 import itertools
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -91,3 +92,49 @@ def test_odd_rows(spark, model):
     assert len(got) == 6 and (1, "u", "", 0) in got and (2, None, "", 0) in got and (None, "u", "x", 1) in got
     assert (3, "u", " ".join(["word word"] * 30_000), 30_000 * 10 - 1) in got
     assert html.extract(df.limit(0), model).count() == 0
+
+
+TEXT = "The grey heron carried a long reed over the frozen river, and nobody in the village saw it leave at dawn that day."
+
+
+@pytest.fixture(scope="module")
+def trained():
+    return html.train(pages.labelled_pages())
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (TEXT, TEXT),
+        ("short text", "short text"),
+        ("<p>one</p><p>two</p>", "one two"),
+        (f"<body><p>{TEXT}</p><p>Second one.</p></body>", f"{TEXT} Second one."),
+        (f'<div class="css-1x9"><div class="r2"><p>{TEXT}</p><p>And more of it.</p></div></div>', f"{TEXT} And more of it."),
+        (f"<html><body><div><a href='/'>Home</a> <a href='/x'>News</a></div><div><div><p>{TEXT}</p><p>{TEXT}</p></div></div><div>&copy; 2024 <a href='/'>Site</a></div></body></html>", f"{TEXT} {TEXT}"),
+        (f"<article><p>{TEXT}<script src=a.js/>var x = '<p>no</p>';</script></p></article>", TEXT),
+        (f'<article><h1>T</h1><p>{TEXT}</p><ul class="comments"><li>Nice one</li><li>I disagree with this, it is wrong.</li></ul></article>', f"T {TEXT}"),
+        (f'<article><p>{TEXT}</p><svg width=1/><p>after</p></article>', f"{TEXT} after"),
+    ],
+)
+def test_pages_without_names_and_listed_comments(trained, page, text):
+    assert list(html.main_texts(trained, [page])) == [text]
+
+
+def test_unseen_nameless_pages(trained):
+    """Held-out layouts without names: words found and words right, over all pages."""
+    both = found = wanted = 0
+    for page in pages.labelled_pages(150, seed=78, nameless=1.0):
+        tree = html.parse(page)
+        want, got = " ".join(run for at, run in tree.runs if tree.labels[at]).split(), next(html.main_texts(trained, [page])).split()
+        shared = sum((Counter(want) & Counter(got)).values())
+        both, found, wanted = both + shared, found + len(got), wanted + len(want)
+    assert both / found > 0.97 and both / wanted > 0.97
+
+
+def test_deep_trees_have_the_same_marginals(trained, monkeypatch):
+    held = pages.labelled_pages(20, seed=9) + ["<div>" * 400 + TEXT]
+    deep = list(html.main_texts(trained, held))
+    monkeypatch.setattr(html, "DEEP", 1)
+    assert list(html.main_texts(trained, held)) == deep and deep[-1] == TEXT
+    monkeypatch.setattr(html, "DEEP", 10**9)
+    assert list(html.main_texts(trained, held)) == deep
