@@ -27,6 +27,19 @@ def _observation_keys(v: Views):
     return v.observations().select(*OBSERVATION_KEYS, "year")
 
 
+def _bootstrap(v: Views):
+    """Draws and balanced weights of every observation in three trees."""
+    o = v.observations().select(*OBSERVATION_KEYS, "fire")
+    return rounded(sampling.bootstrap_weights(o, list(OBSERVATION_KEYS), "fire", 3, SEED), "weight")
+
+
+BOOTSTRAP = f"""
+select *, {" + ".join(f"(d >= {limit})::int" for limit in sampling.bootstrap_limits())} as times
+from (select {KEYS}, fire, tree::int as tree, ('0x' || substr(md5(concat_ws('|', {hashed(*OBSERVATION_KEYS)}, tree::int, '{SEED}')), 1, 12))::bigint as d
+      from observations, (select unnest(generate_series(0, 2)) as tree))
+"""
+
+
 def _stratified(v: Views):
     return sampling.stratified_sample(_observation_keys(v), 1003, list(OBSERVATION_KEYS), SEED)
 
@@ -155,6 +168,17 @@ QUERIES = {
         lambda v: sampling.rank_in_stratum(_observation_keys(v), "year", list(OBSERVATION_KEYS), SEED),
         oracle(f"select {KEYS}, year, r as rank from ranked", "observations", ranked=HASH_CUT),
     ),
+    "bootstrap_weights": Query(
+        _bootstrap,
+        oracle(
+            f"""select {KEYS}, fire, tree, times::int as times, {rounds('weight')} from
+                (select *, times * (sum(times) over (partition by tree))::double
+                        / ((count(distinct fire) over (partition by tree)) * sum(times) over (partition by tree, fire)) as weight
+                 from drawn where times > 0)""",
+            "observations",
+            drawn=BOOTSTRAP,
+        ),
+    ),
     "stratified_sample": Query(_stratified, oracle(stratified("1003"), "observations", ranked=HASH_CUT)),
     "stratified_sample_topped_up": Query(
         _stratified_most,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import exp
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,6 +103,41 @@ def top_up(picked: DataFrame, pool: DataFrame, n: int, keys: Sequence[str], seed
 SPLIT_DIGITS = 13
 
 
+#: Digits of the hash that a bootstrap draw uses, and the most times a row is drawn for one tree (with chance 1e-17)
+_DRAW, _MOST = 12, 18
+
+
+def bootstrap_limits() -> list[int]:
+    """Draws below the k-th limit stand for k or fewer times: the distribution function of a Poisson variable of mean 1."""
+    total, term, out = 0.0, exp(-1.0), []
+    for k in range(_MOST):
+        total += term
+        term /= k + 1
+        out.append(min(16**_DRAW, round(total * 16**_DRAW)))
+    return out
+
+
+def bootstrap_times(digest: Column, tree: int | Column, seed: int) -> Column:
+    """How often a tree draws a row: a Poisson count decided by the row's digest, the tree and the seed."""
+    draw = hash_slice(key_hash([digest, tree if isinstance(tree, Column) else F.lit(tree)], seed), 1, _DRAW)
+    # Bound to a variable, so that the hash is computed once and not for every limit.
+    return F.transform(F.array(draw), lambda d: sum(((d >= limit).cast("int") for limit in bootstrap_limits()), F.lit(0)))[0]
+
+
+def bootstrap_weights(df: DataFrame, keys: Sequence[str], label: str, trees: int, seed: int = 42) -> DataFrame:
+    """keys, label, tree, times, weight of every row in every tree that draws it.
+
+    Weights balance the classes inside each tree's own draws: draws / (2 * draws of the class), times the row's count.
+    """
+    rows = df.select(*keys, label, key_hash(keys, seed).alias("_digest"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    drawn = rows.withColumn("times", bootstrap_times(F.col("_digest"), F.col("tree"), seed)).filter("times > 0").drop("_digest")
+    # One row per tree and class.
+    counts = drawn.groupBy("tree", label).agg(F.sum("times").alias("_class"))
+    whole = counts.groupBy("tree").agg(F.sum("_class").alias("_all"), F.count(F.lit(1)).alias("_kinds"))
+    weights = counts.join(whole, "tree").select("tree", label, (F.col("_all") / (F.col("_kinds") * F.col("_class"))).alias("_each"))
+    return drawn.join(weights, ["tree", label]).select(*keys, label, "tree", "times", (F.col("_each") * F.col("times")).alias("weight"))
+
+
 def random_split(
     df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2, seed: int = 42, name: str = "split"
 ) -> DataFrame:

@@ -98,3 +98,21 @@ def test_rounds_end_when_the_held_out_loss_stops_falling(spark, table, tmp_path)
     before = sorted(r["score"] for r in models.score_with(model, table).collect())
     save_model(model, f"{tmp_path}/m")
     assert sorted(r["score"] for r in models.score_with(load_model(spark, f"{tmp_path}/m"), table).collect()) == before
+
+
+def test_forest_balances_classes_inside_each_bootstrap(spark, table):
+    """Every tree is fitted on its own draws; the forest is the mean of its trees and can be saved."""
+    rows = table.dropna().filter("fire = 1 or id % 5 = 0 and not isnan(a)")
+    model = models.fit_forest(rows, ["a", "b", "c"], trees=6, depth=4, subsample=True, impute=False)
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 6 and len({t.toDebugString for t in forest.trees}) > 1
+    scored = models.score_with(model, rows).collect()
+    each = []
+    for tree in forest.trees:
+        part = model.stages[0].transform(rows)
+        part = model.stages[1].transform(part)
+        each.append([r["probability"][1] for r in tree.setProbabilityCol("probability").transform(part).orderBy("id").collect()])
+    want = np.mean(each, axis=0)
+    assert np.allclose([r["score"] for r in sorted(scored, key=lambda r: r["id"])], want)
+    again = models.fit_forest(rows, ["a", "b", "c"], trees=6, depth=4, subsample=True, impute=False)
+    assert [t.toDebugString.split("\n", 1)[1] for t in again.stages[-1].trees] == [t.toDebugString.split("\n", 1)[1] for t in forest.trees]
