@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,8 +11,9 @@ from gridcast.catalog.views import OBSERVATION_KEYS, Query, Views, oracle
 from gridcast.functions import calendar, coerce, grid, rates
 from gridcast.operators import cells, checks, holdout, profiles, weather
 from gridcast.schemas import INSTANT
+from gridcast.session import shared_dir
 from gridcast.sources.dataset import normalise_cache, parse_dataset
-from gridcast.sources.detections import head_events, parse_detections, validate_events
+from gridcast.sources.detections import head_events, parse_detections, read_mixed_csv, validate_events
 
 NUMBER = "'^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$'"
 
@@ -24,10 +26,32 @@ from detections_raw
 """
 
 
+_LOCATED = ("latitude", "longitude", "acq_date", "hour", "frp", "cell_y", "cell_x", "confidence_score")
+
+LOCATED = """
+select *, cast(round_even(latitude / 0.1::double, 0) as int) as cell_y,
+       cast(round_even(longitude / 0.1::double, 0) as int) as cell_x,
+       cast(least(greatest(acq_time // 100, 0), 23) as int) as hour,
+       case lower(trim(confidence)) when 'l' then 0.25::double when 'n' then 0.5::double when 'h' then 1.0::double end
+         as confidence_score
+from typed where latitude between 6 and 37 and longitude between 68 and 98 and acq_date is not null and acq_time is not null
+"""
+
+
 def _scan_detections(v: Views):
-    return parse_detections(v.detections_raw()).select(
-        "det_id", "latitude", "longitude", "acq_date", "hour", "frp", "cell_y", "cell_x", "confidence_score"
-    )
+    return parse_detections(v.detections_raw()).select("det_id", *_LOCATED)
+
+
+def _scan_files(v: Views):
+    """The raw detections as CSV files of three headers: other orders, and one without an optional column."""
+    raw = v.detections_raw()
+    folder = f"{shared_dir(v.spark).rstrip('/')}/detections-{uuid.uuid4().hex}"
+    orders = [raw.columns, [*reversed(raw.columns)], ["frp", *[c for c in raw.columns if c != "frp"], "satellite"]]
+    for n, names in enumerate(orders):
+        part = raw.filter(F.pmod("det_id", F.lit(3)) == n).withColumn("satellite", F.lit("N")).select(*names)
+        part.write.option("header", True).mode("append").csv(folder)
+    found = parse_detections(read_mixed_csv(v.spark, folder))
+    return found.select(F.col("det_id").cast("long").alias("det_id"), *_LOCATED, F.col("satellite").isNotNull().alias("has_satellite"))
 
 
 def _dataset_text(v: Views):
@@ -195,17 +219,15 @@ KEYS = ", ".join(OBSERVATION_KEYS)
 QUERIES = {
     "scan_detections": Query(
         _scan_detections,
+        oracle(f"select det_id, {', '.join(_LOCATED)} from located", "detections_raw", typed=TYPED_RAW, located=LOCATED),
+    ),
+    "scan_detection_files": Query(
+        _scan_files,
         oracle(
-            """select det_id, latitude, longitude, acq_date, hour, frp, cell_y, cell_x, confidence_score from (
-               select *, cast(round_even(latitude / 0.1::double, 0) as int) as cell_y,
-                      cast(round_even(longitude / 0.1::double, 0) as int) as cell_x,
-                      cast(least(greatest(acq_time // 100, 0), 23) as int) as hour,
-                      case lower(trim(confidence)) when 'l' then 0.25::double when 'n' then 0.5::double
-                           when 'h' then 1.0::double end as confidence_score
-               from typed where latitude between 6 and 37 and longitude between 68 and 98
-                 and acq_date is not null and acq_time is not null)""",
+            f"select det_id, {', '.join(_LOCATED)}, det_id % 3 = 2 as has_satellite from located",
             "detections_raw",
             typed=TYPED_RAW,
+            located=LOCATED,
         ),
     ),
     "scan_dataset": Query(

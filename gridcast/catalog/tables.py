@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridcast.catalog.views import OBSERVATION_KEYS, Query, Views, oracle, rounded, rounds
 from gridcast.functions import grid
 from gridcast.operators import assembly, cells, dedupe, holdout, negatives, profiles, stats, weather
 from gridcast.schemas import CELL_HOUR, WEATHER_FEATURES
+from gridcast.session import shared_dir
+from gridcast.sinks.cache import FeatureCache
 
 #: Weather station of a grid cell: stands in for one series per cell.
 STATION = "cast((cell_y * 31 + cell_x) % 50 as int)"
@@ -46,6 +50,16 @@ def _upsert(v: Views):
     return assembly.upsert_features(old, fresh, ["cell", "hour_ts"])
 
 
+def _upsert_versions(v: Views):
+    """The same two batches through the versioned cache; the second rewrites the weeks it has rows for."""
+    old, fresh = _cache_batches(v)
+    folder = f"{shared_dir(v.spark).rstrip('/')}/cache-{uuid.uuid4().hex}"
+    cache = FeatureCache(v.spark, folder, old.schema, ["cell", "hour_ts"], "hour_ts")
+    cache.upsert(old)
+    cache.upsert(fresh)
+    return cache.read()
+
+
 def _half_cache(v: Views):
     """Keys already cached: cells seen in the first half of the month."""
     return fire_cells(v).filter(F.col("acq_date") < F.lit("2024-01-16").cast("date")).select(*CELL_HOUR)
@@ -112,6 +126,14 @@ def _attach(v: Views):
     return rounded(joined, *WEATHER_FEATURES)
 
 
+def _attach_stored(v: Views):
+    name = f"weather_{uuid.uuid4().hex}"
+    keys = ["station", "acq_date", "hour"]
+    assembly.store_weather(_features_by_key(v), name, f"{shared_dir(v.spark).rstrip('/')}/{name}", 8, keys)
+    joined = assembly.attach_stored(_requested(v), name, keys)
+    return rounded(joined, *WEATHER_FEATURES)
+
+
 def _labelled(v: Views):
     dataset = assembly.labelled_dataset(_requested(v), _features_by_key(v), ["station", "acq_date", "hour"])
     return rounded(dataset, *WEATHER_FEATURES)
@@ -227,6 +249,18 @@ QUERIES = {
                      from hourly where hour_ts >= timestamp '2024-01-16'""",
         ),
     ),
+    "upsert_cache": Query(
+        _upsert_versions,
+        oracle(
+            """select coalesce(n.cell, o.cell) as cell, coalesce(n.hour_ts, o.hour_ts) as hour_ts,
+                      case when n.cell is null then o.temperature_2m else n.temperature_2m end as temperature_2m,
+                      case when n.cell is null then o.precipitation else n.precipitation end as precipitation
+               from hourly o full join fresh n on o.cell = n.cell and o.hour_ts = n.hour_ts""",
+            "hourly",
+            fresh="""select cell, hour_ts + interval 6 hours as hour_ts, dew_point_2m as temperature_2m, precipitation
+                     from hourly where hour_ts >= timestamp '2024-01-16'""",
+        ),
+    ),
     "missing_keys": Query(_missing, oracle("select * from missing", "cells", missing=MISSING)),
     "fetch_manifest": Query(
         _manifest,
@@ -273,6 +307,10 @@ QUERIES = {
         _attach,
         oracle(f"select * replace ({ROUND_WEATHER}) from attached", "boxed", "features", requested=REQUESTED, attached=ATTACHED),
     ),
+    "attach_weather_stored": Query(
+        _attach_stored,
+        oracle(f"select * replace ({ROUND_WEATHER}) from attached", "boxed", "features", requested=REQUESTED, attached=ATTACHED),
+    ),
     "labelled_dataset": Query(
         _labelled,
         oracle(

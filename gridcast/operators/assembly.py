@@ -13,6 +13,7 @@ from gridcast.functions.grid import cell_degrees, point_label
 from gridcast.operators.cells import drop_incomplete
 from gridcast.operators.dedupe import dedupe_last
 from gridcast.schemas import CELL_HOUR, WEATHER_FEATURES
+from gridcast.sinks.tables import write_bucketed
 
 REQUEST_SIZE = 5
 
@@ -101,6 +102,27 @@ def attach_weather(
     return observations.join(single.select(*keys, *columns).hint("rebalance"), list(keys))
 
 
+def store_weather(
+    features: DataFrame, name: str, path: str, buckets: int, keys: Sequence[str] = CELL_HOUR, columns: Sequence[str] = WEATHER_FEATURES, version: Sequence[str] = ()
+) -> None:
+    """Store one row per key, bucketed and sorted by key, for joins that come again and again.
+
+    All parts of the key decide the bucket, so a cell or an hour with many rows is spread over all of them.
+    """
+    wanted = features.select(*keys, *columns, *[v for v in version if v not in (*keys, *columns)])
+    write_bucketed(dedupe_last(wanted, keys, version or columns).select(*keys, *columns), name, path, keys, buckets)
+
+
+def attach_stored(observations: DataFrame, name: str, keys: Sequence[str] = CELL_HOUR) -> DataFrame:
+    """As ``attach_weather`` (and, keyed by cell and hour, ``weather_at``) with a series from ``store_weather``.
+
+    Only the observations are exchanged. A single key that very many of them share stays one task here, because stored
+    buckets cannot be dealt anew; for such tables ``attach_weather`` is the way.
+    """
+    stored = observations.sparkSession.table(name)
+    return observations.join(stored.hint("merge"), list(keys))
+
+
 def labelled_dataset(observations: DataFrame, features: DataFrame, keys: Sequence[str] = CELL_HOUR) -> DataFrame:
     """Complete cases with calendar columns."""
     joined = drop_incomplete(attach_weather(observations, features, keys), [*WEATHER_FEATURES, "fire"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from gridcast.operators.metrics import evaluate
 from gridcast.operators.negatives import sample_negatives
 from gridcast.operators.profiles import split_profile
 from gridcast.operators.stats import repeat_summary
+from gridcast.plans.ledger import Ledger, fit_missing
 from gridcast.plans.models import Family, fit_all, only, score_with, training_stats
 from gridcast.schemas import ABLATION_SETS
 from gridcast.session import snapshot
@@ -43,9 +44,24 @@ def compare(models: Mapping[str, PipelineModel], test: DataFrame, label: str = "
 
 
 def fit_score(
-    train: DataFrame, test: DataFrame, features: Sequence[str], family: Family, label: str = "fire"
+    train: DataFrame, test: DataFrame, features: Sequence[str], family: Family, label: str = "fire", ledger: Ledger | None = None, split: str = "test", parallel: int = 3
 ) -> DataFrame:
-    return compare(fit_all(train, features, family, label), test, label)
+    """Metrics of every model. With a ``ledger``, fits run side by side and a rerun does only those it lacks."""
+    if ledger is None:
+        return compare(fit_all(train, features, family, label), test, label)
+    return fit_missing(_work(train, test, {"all": list(features)}, family, label, split), ledger, parallel).drop("split", "feature_set")
+
+
+def _work(train: DataFrame, test: DataFrame, sets: Mapping[str, Sequence[str]], family: Family, label: str, split: str) -> dict:
+    """One fit and its metrics per feature set and model; the statistics they share are computed once, when first needed."""
+    features = list(dict.fromkeys(f for names in sets.values() for f in names))
+    stats = cache(lambda: training_stats(train, features, family.impute))
+
+    def one(names: Sequence[str], model: str, order: int) -> DataFrame:
+        fitted = fit_all(train, list(names), only(family, model), label, stats())
+        return compare(fitted, test, label).withColumn("model_order", F.lit(order))
+
+    return {(split, name, model): partial(one, names, model, i) for name, names in sets.items() for i, model in enumerate(family.fits)}
 
 
 def select_model(scores: DataFrame, metric: str = "pr_auc") -> DataFrame:
@@ -70,21 +86,29 @@ def run_temporal_protocol(
     required_years: Sequence[int] = (),
     refit: bool = True,
     label: str = "fire",
+    ledger: Ledger | None = None,
 ) -> TemporalRun:
     """Validate every model, pick the best by PR-AUC, score it once on the test years.
 
-    With ``refit`` the winner is fitted again on train and validation; without, the validated model is scored.
+    With ``refit`` the winner is fitted again on train and validation; without, the validated model is scored. With a
+    ``ledger`` the validation fits run side by side and a rerun does only those it lacks; the winner is fitted in any case.
     """
     table = snapshot(temporal_split(_needed(df, features, label, ["year"]), years), balanced=True)
     if required_years:
         require_years(table, required_years)
     require_nonempty(table, ["train", "validation", "test"])
     parts = split_parts(table)
-    models = fit_all(parts["train"], features, family, label)
-    # One row per model: small enough to keep, so the choice and the report read the same numbers.
-    validation = snapshot(compare(models, parts["validation"], label))
+    if ledger is None:
+        models = fit_all(parts["train"], features, family, label)
+        # One row per model: small enough to keep, so the choice and the report read the same numbers.
+        validation = snapshot(compare(models, parts["validation"], label))
+    else:
+        models = {}
+        validation = fit_score(parts["train"], parts["validation"], features, family, label, ledger, "validation")
     best = select_model(validation).first()["model"]
-    winner = models[best]
+    winner = models.get(best)
+    if winner is None and not refit:
+        winner = fit_all(parts["train"], features, only(family, best), label)[best]
     if refit:
         earlier = parts["train"].unionByName(parts["validation"])
         winner = fit_all(earlier, features, only(family, best), label)[best]
@@ -119,10 +143,17 @@ def ablation(
     sets: Mapping[str, Sequence[str]] = ABLATION_SETS,
     years: Years = EXPERIMENT,
     label: str = "fire",
+    ledger: Ledger | None = None,
+    parallel: int = 3,
 ) -> DataFrame:
-    """Every model on every feature set: train on the training years, score the test years."""
+    """Every model on every feature set: train on the training years, score the test years.
+
+    With a ``ledger``, fits run side by side and a rerun does only those it lacks.
+    """
     features = list(dict.fromkeys(f for names in sets.values() for f in names))
     parts = split_parts(snapshot(temporal_split(_needed(df, features, label, ["year"]), years), balanced=True))
+    if ledger is not None:
+        return fit_missing(_work(parts["train"], parts["test"], sets, family, label, "test"), ledger, parallel).drop("split", "model_order")
     stats = training_stats(parts["train"], features, family.impute)
     scored = []
     for name, chosen in sets.items():

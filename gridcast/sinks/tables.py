@@ -40,6 +40,15 @@ def write_snapshot(df: DataFrame, path: str, partition: str = "week") -> None:
     )
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Replace the table ``name``, stored at ``path`` in ``buckets`` parts by hash of ``keys`` and sorted by them.
+
+    Joins on these keys read the parts as they lie: only the other side is exchanged.
+    """
+    dealt = df.repartition(buckets, *[F.col(k) for k in keys])
+    dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+
 def report_row(**sections: DataFrame) -> DataFrame:
     """One-row sections and small tables as one nested JSON document.
 

@@ -80,3 +80,87 @@ def test_files_of_three_headers(spark, tmp_path):
     ]
     assert "extra" not in rows[0].asDict()
     assert len(set(detections.file_headers(spark, str(tmp_path)).values())) == 3
+
+
+def test_stored_series_is_joined_without_an_exchange(spark, tmp_path):
+    """The plan exchanges the observations and not the stored weather; rows equal those of the plain join."""
+    from pyspark.sql import functions as F
+
+    from gridcast.operators import assembly
+
+    features = spark.range(500).selectExpr("cast(id % 50 as int) as cell", "cast(id div 50 as int) as hour", "id * 1.0D as f", "cast(id as int) as turn")
+    features = features.unionByName(features.filter("cell = 3").withColumn("f", F.lit(-1.0)).withColumn("turn", F.lit(999)))
+    obs = spark.range(2000).selectExpr("id as o", "cast(id % 60 as int) as cell", "cast(id % 7 as int) as hour")
+    assembly.store_weather(features, "stored_series", str(tmp_path / "s"), 4, ["cell", "hour"], ["f"], ["turn"])
+    joined = assembly.attach_stored(obs, "stored_series", ["cell", "hour"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    want = assembly.attach_weather(obs, features, ["cell", "hour"], ["f"], ["turn"])
+    rows = lambda df: sorted((r["o"], r["f"]) for r in df.collect())
+    assert rows(joined) == rows(want) and len(rows(joined)) > 1000
+    spark.sql("drop table stored_series")
+
+
+def test_streamed_scores_equal_the_batch(spark, tmp_path):
+    """Files scored in two runs, one micro-batch repeated after a lost commit: each row once, as in a batch."""
+    from gridcast.plans.scoring import linear_scorer, score_rows
+    from gridcast.streaming.scoring import score_arrivals, scored_arrivals
+
+    schema = "id int, a string, b string"
+    rows = [(i, None if i % 7 == 0 else str(i / 9), "x" if i % 11 == 0 else str(i)) for i in range(60)]
+    files, out, at = (str(tmp_path / n) for n in ("in", "out", "at"))
+    scorer = linear_scorer({"a": 0.7, "b": -0.02})
+
+    def run():
+        score_arrivals(spark, files, schema, ["a", "b"], scorer, out, at, files_at_once=1)
+
+    def got():
+        return sorted(tuple(r.asDict()[c] for c in want_columns) for r in scored_arrivals(spark, out).collect())
+
+    for part in (rows[:20], rows[20:40]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(files)
+    want = score_rows(spark.createDataFrame(rows, schema), ["a", "b"], scorer)
+    want_columns = want.columns
+    run()
+    run()  # nothing new
+    assert len(got()) == 40
+    commits = sorted((tmp_path / "at" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()  # as if the driver had been lost after the write
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink()
+    spark.createDataFrame(rows[40:], schema).coalesce(1).write.mode("append").parquet(files)
+    run()
+    assert got() == sorted(map(tuple, want.collect()))
+
+
+def test_a_rerun_fits_only_what_the_ledger_lacks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridcast.plans import experiments, models
+    from gridcast.plans.ledger import Ledger
+
+    rows = spark.range(600).select(
+        (F.col("id") % 6 + 2020).cast("int").alias("year"), *[(F.xxhash64("id", F.lit(i)) % 100 / 50.0).alias(f) for i, f in enumerate("abc")]
+    ).withColumn("fire", (F.col("a") + F.col("b") * F.col("c") + (F.xxhash64("a", "c") % 10) / 20 > 0).cast("int"))
+    seen = []
+
+    def counted(name):
+        def fit(train, features, **more):
+            seen.append((name, tuple(features)))
+            return models.fit_logistic(train, features, max_iter=20, **more)
+
+        return fit
+
+    family = models.Family({n: counted(n) for n in ("one", "two")})
+    sets = {"ab": ["a", "b"], "all of it": ["a", "b", "c"]}
+    ledger = Ledger(spark, str(tmp_path / "fits"))
+    key = lambda df: sorted(tuple(r.asDict().items()) for r in df.select(*sorted(df.columns)).collect())
+    want = key(experiments.ablation(rows, family, sets))
+    seen.clear()
+    assert key(experiments.ablation(rows, family, sets, ledger=ledger)) == want and len(seen) == 4
+    assert len(ledger.done()) == 4
+    seen.clear()
+    lost = next(p for p in (tmp_path / "fits").rglob("_SUCCESS") if "two" in str(p) and "ab" in str(p))
+    lost.unlink()
+    assert key(experiments.ablation(rows, family, sets, ledger=ledger)) == want and seen == [("two", ("a", "b"))]
+    again = experiments.temporal_experiment(rows, ["a", "b", "c"], family, ledger=Ledger(spark, str(tmp_path / "t")))
+    assert key(again) == key(experiments.temporal_experiment(rows, ["a", "b", "c"], family))
