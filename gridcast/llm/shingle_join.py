@@ -100,11 +100,14 @@ def groups_at(at: int) -> int:
     return (1 << (at - 1)) // SPREAD if 1 << (at - 1) >= PLAIN else 0
 
 
-def signatures(tokens: np.ndarray, many: np.ndarray, at: int, spare: int, rare: tuple[int, ...] = RARE) -> np.ndarray | None:
-    """Signatures of a set at a size level: ``tokens`` that other classes hold too, with the number of classes that do.
-
-    ``spare`` is how many more of its tokens may be missing. None stands for a set whose tokens cannot be missing that
-    often; it cannot occur where groups are as large as ``groups_at`` makes them.
+def signatures(tokens: np.ndarray, many: np.ndarray, at: int, spare: int, rare: tuple[int, ...] = RARE) -> tuple[np.ndarray, np.ndarray] | None:
+    """Signatures of a set at a size level, and for each how many of ``tokens`` are missing elsewhere if it is the first.
+
+    ``tokens`` are those that other classes hold too, ``many`` the number of classes that do, ``spare`` how many more of
+    them may be missing. Of the signatures that two sets share, one is complete first in the order of tokens; before it,
+    every group had fewer common tokens than its combinations have, so the others it had by then are missing. None stands
+    for a set whose tokens cannot be missing that often; it cannot occur where groups are as large as ``groups_at`` makes
+    them.
     """
     order = np.lexsort((tokens, many))
     tokens, many = tokens[order], many[order]
@@ -112,12 +115,13 @@ def signatures(tokens: np.ndarray, many: np.ndarray, at: int, spare: int, rare:
     seed = np.uint64(at)
     if not groups:
         with np.errstate(over="ignore"):
-            return _stir(tokens[: spare + 1] + seed * _MIX) if len(tokens) > spare else None
+            found = _stir(tokens[: spare + 1] + seed * _MIX)
+        return (found, np.arange(len(found))) if len(tokens) > spare else None
     size = np.searchsorted(np.array(rare), many, "left") + 1  # tokens of a combination
     group = (size.astype(np.int64) - 1) * groups + (_stir(tokens ^ _MIX) % np.uint64(groups)).astype(np.int64)
     group[size == 1] = -1
     held: dict[int, list[int]] = {}
-    left, out = spare + 1, []
+    left, out, gone = spare + 1, [], []
     for i, (g, k) in enumerate(zip(group.tolist(), size.tolist())):
         if g < 0:
             out.append((i,))
@@ -127,6 +131,7 @@ def signatures(tokens: np.ndarray, many: np.ndarray, at: int, spare: int, rare:
             out.extend((*c, i) for c in combinations(mates, k - 1))
             mates.append(i)
             left -= len(mates) >= k
+        gone += [spare - left] * (len(out) - len(gone))
         if left == 0:
             break
     if left:
@@ -141,7 +146,8 @@ def signatures(tokens: np.ndarray, many: np.ndarray, at: int, spare: int, rare:
                 for j in range(k):
                     h = _stir(h * _MIX + part[:, j])
                 found[which] = h
-    return np.unique(found)
+    found, first = np.unique(found, return_index=True)
+    return found, np.array(gone)[first]
 
 
 def _prepared(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -178,7 +184,7 @@ def _texts(docs: DataFrame, prepared: DataFrame, reps: DataFrame, key: str, text
 
 
 def _signed(live: DataFrame, width: int, percent: int, rare: tuple[int, ...]) -> DataFrame:
-    """sig, rep, n, able (tokens that other classes hold) of the classes ``live`` (rep, t)."""
+    """sig, rep, n, able (tokens that other classes hold), most (common tokens if no signature comes before) of ``live``."""
 
     def tokens_of(batch: pd.DataFrame) -> pd.DataFrame:
         make = Tokens(width)
@@ -191,7 +197,7 @@ def _signed(live: DataFrame, width: int, percent: int, rare: tuple[int, ...]) ->
     sized = every.select("rep", F.size("x").cast("long").alias("n")).join(held, "rep")
 
     def sign(batch: pd.DataFrame) -> pd.DataFrame:
-        sigs, at, sizes, able = [], [], [], []
+        sigs, at, sizes, able, most = [], [], [], [], []
         for i, (n, held) in enumerate(zip(batch["n"].tolist(), batch["held"])):
             token = np.fromiter((h["token"] for h in held), np.int64, len(held)).view(np.uint64)
             many = np.fromiter((h["many"] for h in held), np.int64, len(held))
@@ -202,22 +208,24 @@ def _signed(live: DataFrame, width: int, percent: int, rare: tuple[int, ...]) ->
                 found = signatures(token, many, lv, spare, rare)
                 if found is None:  # cannot be: see groups_at
                     raise ValueError(f"a set of {n} has no prefix at level {lv}")
+                found, gone = found
+                most.append(len(held) - gone)
                 sigs.append(found.view(np.int64))
                 at.append(np.full(len(found), i))
                 sizes.append(np.full(len(found), n))
                 able.append(np.full(len(found), len(held)))
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pd.DataFrame({"sig": join(sigs), "n": join(sizes), "able": join(able)}, index=pd.Index(join(at), dtype="int64"))
+        return pd.DataFrame({"sig": join(sigs), "n": join(sizes), "able": join(able), "most": join(most)}, index=pd.Index(join(at), dtype="int64"))
 
-    found = map_keyed(sized, sign, "sig long, n long, able long")
+    found = map_keyed(sized, sign, "sig long, n long, able long, most long")
     return snapshot(found)
 
 
 def _possible(percent: int, a: str, b: str):
-    """The sizes and the tokens that other classes hold allow a link of the rows ``a`` and ``b``."""
+    """Sizes, and the tokens that can be common if this signature is the first, allow a link of the rows ``a`` and ``b``."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = percent * (x + y)  # overlap * (100 + percent) must reach this
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * F.least(F.col(f"{a}.able"), F.col(f"{b}.able")) >= need)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * F.least(F.col(f"{a}.most"), F.col(f"{b}.most")) >= need)
 
 
 def _linked(pairs: DataFrame, live: DataFrame, width: int, percent: int) -> DataFrame:
@@ -246,10 +254,12 @@ def class_components(live: DataFrame, width: int, percent: int, rare: tuple[int,
     signed = _signed(live, width, percent, rare)
     links, roots = None, None
     for turn in range(rounds + 1):
-        rows = signed.withColumn("root", F.col("rep")) if roots is None else signed.join(roots, signed["rep"] == roots["v"], "left").select("sig", "rep", "n", "able", F.coalesce("root", "rep").alias("root"))
+        rows = signed.withColumn("root", F.col("rep")) if roots is None else signed.join(roots, signed["rep"] == roots["v"], "left").select("sig", "rep", "n", "able", "most", F.coalesce("root", "rep").alias("root"))
         if turn < rounds:
-            # One leader per signature, another one each time; its own component is settled with it.
-            first = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "able", "root")).alias("l")
+            # One leader per signature, another one each time; its own component is settled with it. The first leader is
+            # the class with the smallest share of tokens of its own: what near copies were made from, if it is there.
+            own = F.floor((F.col("n") - F.col("able")) * 1000 / F.col("n")) if turn == 0 else F.lit(0)
+            first = F.min(F.struct(own.alias("own"), F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "most", "root")).alias("l")
             leaders = rows.groupBy("sig").agg(first, F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("sig", "l")
             ok = (F.col("x.root") != F.col("l.root")) & _possible(percent, "x", "l")
             pairs = rows.alias("x").join(leaders, "sig").filter(ok)
