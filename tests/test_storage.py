@@ -164,3 +164,50 @@ def test_a_rerun_fits_only_what_the_ledger_lacks(spark, tmp_path):
     assert key(experiments.ablation(rows, family, sets, ledger=ledger)) == want and seen == [("two", ("a", "b"))]
     again = experiments.temporal_experiment(rows, ["a", "b", "c"], family, ledger=Ledger(spark, str(tmp_path / "t")))
     assert key(again) == key(experiments.temporal_experiment(rows, ["a", "b", "c"], family))
+
+
+def _documents(folder):
+    """Arrays with strings that hold brackets, quotes and backslashes, an object, an empty and a broken file."""
+    import json
+    import random
+
+    rng = random.Random(1)
+    nasty = ['a "quoted" [x]', "back\\slash\\", '\\"', "}{][,", "é😀", ""]
+    hours = [f"2024-01-01T{h:02}:00" for h in range(24)]
+    for n in range(3):
+        items = []
+        for _ in range(rng.randint(5, 30)):
+            pick = rng.random()
+            if pick < 0.1:
+                items.append({"error": True, "reason": rng.choice(nasty)})
+            else:
+                items.append({"note": rng.choice(nasty), "deep": [{"x": [rng.choice(nasty)]}], "hourly": {"time": hours, "temperature_2m": [rng.choice([1.5, None, "x"]) for _ in hours]}})
+        (folder / f"a{n}.json").write_text(json.dumps(items, indent=rng.choice([None, 1]), ensure_ascii=n == 0), encoding="utf-8")
+    (folder / "one.json").write_text(' {"hourly": {"time": ["2024-01-01T00:00"],\n "temperature_2m": [2.5]}, "b": [1, 2]} ')
+    (folder / "empty.json").write_text("")
+    (folder / "none.json").write_text("[]")
+    with gzip.open(folder / "packed.json.gz", "wt") as file:
+        file.write('[{"error": true}, {"hourly": {"time": ["2024-01-01T05:00"], "temperature_2m": [7]}}]')
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000, 1 << 20])
+def test_json_arrays_give_the_same_rows_for_every_range_size(spark, tmp_path, size):
+    from pyspark.sql import functions as F
+
+    from gridcast.operators.weather import explode_hourly
+    from gridcast.sources import json_ranges, payloads
+
+    _documents(tmp_path)
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("payload"))
+    key = lambda df: sorted(map(tuple, df.select("source", "place", "hour_ts", "temperature_2m").collect()), key=str)
+    if size == 7:  # ranges much shorter than an element: look at the summaries, and at one file only
+        (tmp_path / "small").mkdir()
+        (tmp_path / "small" / "s.json").write_text('[{"a": "\\\\\\"]"}, 5, {"b": [1, 2, "}"]}, null, {"c": {}}]')
+        found = json_ranges.array_elements(spark, str(tmp_path / "small"), size).collect()
+        assert sorted((r["place"], r["element"]) for r in found) == [(0, '{"a": "\\\\\\"]"}'), (2, '{"b": [1, 2, "}"]}'), (4, '{"c": {}}')]
+        return
+    got = payloads.scan_hourly(spark, str(tmp_path), size)
+    assert key(got) == key(explode_hourly(whole, ["source"])) and ("packed.json.gz", 1) in {r[:2] for r in key(got)}
+    if size == 1000:
+        tasks = json_ranges.array_elements(spark, str(tmp_path / "a1.json"), size).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 1  # one file, several tasks
