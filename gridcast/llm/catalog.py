@@ -51,12 +51,21 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted in batches; the first batch arrives twice and counts once."""
+    """All documents, through inserts, deletes and revisions.
+
+    Documents are inserted in batches before their language is known, one batch is deleted again, and then every document
+    is revised with its language, which brings the deleted ones back. The first batch arrives twice and counts once.
+    """
     counted = snapshot(rollup.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, "byte_bpe_50k"))
-    changes = counted.withColumn("action", F.lit("insert"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))
+    nameless = counted.withColumn("lang", F.lit(None).cast("string"))
     kept = rollup.Rollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
-    for n in [*range(BATCHES), 0]:
-        kept.commit(changes.filter(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == n), f"documents-{n}")
+    for n in range(BATCHES):
+        kept.commit(nameless.filter(part == n).withColumn("action", F.lit("insert")), f"documents-{n}")
+    kept.commit(nameless.filter(part == 1).withColumn("action", F.lit("delete")), "withdrawn-1")
+    for n in range(BATCHES):
+        kept.commit(counted.filter(part == n).withColumn("action", F.lit("revise")), f"languages-{n}")
+    kept.commit(nameless.filter(part == 0).withColumn("action", F.lit("insert")), "documents-0")
     return kept.totals()
 
 

@@ -4,6 +4,10 @@ A batch of changes becomes one signed delta per total it touches: what a documen
 counts now is added. Totals are the sum of all committed deltas. A batch is committed by the marker written last, under
 a name of the caller's choice; committing that name again changes nothing, and what an unfinished attempt left behind is
 overwritten by the next one.
+
+What documents count is kept in buckets by hash of the document. A batch reads only the buckets its documents are in, and
+of these the last base, which holds one entry per document, and the batches since: cost follows the batch and its buckets,
+not the history. Every ``compact`` batches a new base and its totals are written; until they are complete the old one counts.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.llm.common import whole
@@ -57,39 +61,68 @@ def token_counts(docs: DataFrame, path: str, version: str, key: str = "doc_id",
 
 
 class Rollup:
-    """Totals kept below ``folder``, which every executor reaches. One writer at a time."""
+    """Totals kept below ``folder``, which every executor reaches. One writer at a time.
+
+    ``buckets`` belongs to the folder and must not change; more of them make small batches cheaper.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, compact: int = 8):
+        self.spark, self.folder, self.buckets, self.compact = spark, folder.rstrip("/"), buckets, compact
 
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _found(self, pattern: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        return [f.getPath().toString() for f in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []]
 
     def batches(self) -> list[str]:
         """Names of the committed batches, in order of commit."""
-        path = f"{self.folder}/commits"
-        if not self._exists(path):
+        if not self._found("commits"):
             return []
-        rows = self.spark.read.schema("batch string, turn long").parquet(f"{path}/*").orderBy("turn", "batch").collect()
+        rows = self.spark.read.schema("batch string, turn long").parquet(f"{self.folder}/commits/*").orderBy("turn", "batch").collect()
         return [r["batch"] for r in rows]
 
-    def _read(self, kind: str, schema: str, batches: list[str]) -> DataFrame:
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{kind}/{b}" for b in batches])
+    def base(self) -> int:
+        """Number of batches that the last complete base covers; 0 if there is none. Its totals are written last."""
+        return max((int(path.split("/")[-3]) for path in self._found("bases/*/totals/_SUCCESS")), default=0)
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        """The tables at ``paths``, of which there are as many as batches since the last base, and that."""
+        out = self.spark.createDataFrame([], schema)
+        for path in paths:
+            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.folder}/{path}"))
+        return out
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id", "version"), F.lit(self.buckets)).cast("int")
 
-    def entries(self) -> DataFrame:
-        """What every document counts now, dead ones included: the latest committed entry per document and version."""
-        log = self._read("entries", ENTRY, self.batches())
-        value = F.struct("turn", "source", "lang", "n_tokens", "n_bytes", "live")
+    def _store(self, entries: DataFrame, path: str) -> None:
+        entries.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{path}")
+
+    def entries(self, buckets: list[int] | None = None) -> DataFrame:
+        """What every document counts now, dead ones included: the latest committed entry per document and version.
+
+        With ``buckets`` only those are read.
+        """
+        base, done = self.base(), self.batches()
+        paths = [f"bases/{base}/entries"] * (base > 0) + [f"entries/{b}" for b in done[base:]]
+        log = self._read(paths, f"{ENTRY}, bucket int")
+        if buckets is not None:
+            log = log.filter(F.col("bucket").isin(buckets))
+        value = F.struct("turn", "source", "lang", "n_tokens", "n_bytes", "live", "batch")
         latest = log.groupBy("doc_id", "version").agg(F.max(value).alias("e"))
         return latest.select("doc_id", "version", "e.*")
 
+    def _compact(self) -> None:
+        """Write a base of all batches: one live entry per document, and the totals."""
+        n = len(self.batches())
+        live = self.entries().filter("live")
+        self._store(live, f"bases/{n}/entries")
+        self.totals().write.mode("overwrite").parquet(f"{self.folder}/bases/{n}/totals")
+
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens, n_bytes over all committed deltas; totals without documents go."""
-        deltas = self._read("deltas", DELTA, self.batches())
-        sums = deltas.groupBy(*GROUP).agg(*[F.sum(a).alias(a) for a in AMOUNTS])
+        base = self.base()
+        paths = [f"bases/{base}/totals"] * (base > 0) + [f"deltas/{b}" for b in self.batches()[base:]]
+        sums = self._read(paths, DELTA).groupBy(*GROUP).agg(*[F.sum(a).alias(a) for a in AMOUNTS])
         return sums.filter("n_docs <> 0")
 
     def commit(self, changes: DataFrame, batch: str) -> bool:
@@ -118,14 +151,18 @@ class Rollup:
             "doc_id", "e.source", "e.lang", "version", "e.n_tokens", "e.n_bytes", (~F.col("e.gone")).alias("live"),
             F.lit(batch).alias("batch"), F.lit(turn).cast("long").alias("turn"),
         )
-        path = f"{self.folder}/entries/{batch}"
-        entries.write.mode("overwrite").parquet(path)
-        entries = self.spark.read.schema(ENTRY).parquet(path)
-        old = self.entries().filter("live").join(entries.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+        self._store(entries, f"entries/{batch}")
+        entries = self._read([f"entries/{batch}"], f"{ENTRY}, bucket int")
+        # As many names as there are buckets at most.
+        touched = sorted(r["bucket"] for r in entries.select("bucket").distinct().collect())
+        known = self.entries(touched).filter("live")
+        old = known.join(entries.select("doc_id", "version").hint("shuffle_merge"), ["doc_id", "version"], "left_semi")
         plus = entries.filter("live").select(*GROUP, F.lit(1).alias("n_docs"), "n_tokens", "n_bytes")
         minus = old.select(*GROUP, F.lit(-1).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"), (-F.col("n_bytes")).alias("n_bytes"))
         signed = plus.unionByName(minus).groupBy(*GROUP).agg(*[F.sum(a).alias(a) for a in AMOUNTS])
-        signed.filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch}")
+        signed.filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0").write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch}")
         marker = self.spark.createDataFrame([(batch, turn)], "batch string, turn long")
         marker.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/{batch}")
+        if turn + 1 - self.base() >= self.compact:
+            self._compact()
         return True

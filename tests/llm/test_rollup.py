@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -89,3 +90,24 @@ def test_totals_without_documents_go(spark, tmp_path, name):
     kept.commit(spark.createDataFrame([(1, "v1", "insert", "a", "en", 1, 1)], CHANGE), name)
     kept.commit(spark.createDataFrame([(1, "v1", "delete", None, None, None, None)], CHANGE), "b1")
     assert totals(kept) == {}
+
+
+def test_bases_change_nothing_and_bound_what_a_batch_reads(spark, tmp_path):
+    """Random changes with a base every three batches; a base that was not finished is not used."""
+    import random
+
+    rng = random.Random(7)
+    kept, state = rollup.Rollup(spark, str(tmp_path), buckets=4, compact=3), {}
+    for n in range(8):
+        batch = [(rng.randrange(12), rng.choice(["v1", "v2"]), rng.choice(["insert", "revise", "delete"]), rng.choice("ab"), rng.choice(["en", None]), rng.randrange(9), 1) for _ in range(6)]
+        want = apply(state, batch)
+        assert kept.commit(spark.createDataFrame(batch, CHANGE), f"b{n}")
+        assert totals(kept) == want
+        if n == 4:  # as if the driver had been lost before the totals of a base were complete
+            spark.createDataFrame([], rollup.ENTRY).write.parquet(f"{tmp_path}/bases/5/entries")
+            assert totals(kept) == want and kept.base() == 3
+    assert kept.base() == 6
+    small = spark.createDataFrame([(3, "v1", "insert", "a", "en", 5, 5)], CHANGE)
+    plan = kept.entries([2])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    assert kept.commit(small, "b8") and totals(kept) == apply(state, [(3, "v1", "insert", "a", "en", 5, 5)])
