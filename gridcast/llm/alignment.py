@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,22 +33,24 @@ class Pair:
     """Tokenizers A (a byte-level vocabulary file) and B (a piece model), with the bytes of their tokens."""
 
     def __init__(self, a: str, b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.a.no_padding()
-        self.a.no_truncation()
         with open(a, encoding="utf-8") as file:
             vocab = json.load(file)["model"]["vocab"]
         back = {c: n for n, c in enumerate(byte_letters())}
-        # A token with a character that stands for no byte is no result of ordinary text: its bytes never fit.
-        known = {i: bytes(back[c] for c in s) for s, i in vocab.items() if all(c in back for c in s)}
-        self.bytes_a = [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+        # A token with a character that stands for no byte is no result of ordinary text.
+        known = {bytes(back[c] for c in s): i for s, i in vocab.items() if all(c in back for c in s)}
+        # Ids of this format rise in the order of merges, which makes them ranks. No special tokens: their strings are text.
+        self.a = tiktoken.Encoding(a, pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b)
+        self.bytes_a = [b""] * (max(known.values(), default=-1) + 1)
+        for data, i in known.items():
+            self.bytes_a[i] = data
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.sizes_a, self.sizes_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
+        self.widths_a, self.widths_b = (np.array(x, np.int64) for x in (self.sizes_a, self.sizes_b))
         self.names_a, self.names_b = (list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b))
 
     def _piece(self, i: int) -> bytes:
@@ -59,10 +59,10 @@ class Pair:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A for a space and the text and of B for the text; both empty where either's bytes are not those."""
-        for text, a, b in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            data, ids = (" " + text).encode("utf-8", "surrogatepass"), a.ids
-            fits = text and b"".join(map(self.bytes_a.__getitem__, ids)) == data == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (ids, b) if fits else ([], [])
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, data = self.a.encode_ordinary(" " + text), (" " + text).encode("utf-8", "surrogatepass")
+            fits = text and b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
+            yield (a, b) if fits else ([], [])
 
     def all(self, texts: Iterable[str]) -> Iterator[tuple[list[int], list[int]]]:
         held, size = [], 0
@@ -77,39 +77,27 @@ class Pair:
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         """Where groups end: indexes after the last token of every group, in ``a`` and in ``b``."""
-        ends_a = dict(zip(accumulate(map(self.sizes_a.__getitem__, a)), range(1, len(a) + 1)))
-        ends_b = dict(zip(accumulate(map(self.sizes_b.__getitem__, b)), range(1, len(b) + 1)))
+        ends_a = dict(zip(np.cumsum(self.widths_a[a]).tolist(), range(1, len(a) + 1)))
+        ends_b = dict(zip(np.cumsum(self.widths_b[b]).tolist(), range(1, len(b) + 1)))
         both = sorted(ends_a.keys() & ends_b.keys())
         return list(map(ends_a.__getitem__, both)), list(map(ends_b.__getitem__, both))
 
     def links(self, a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> np.ndarray:
         """Linked ids of every slice, one packed number (a, b) per link."""
-        x, y = np.array(a, np.int64) << _SHIFT, np.array(b, np.int64)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        x = a << _SHIFT
         to_a, to_b = np.array(cut_a, np.int64), np.array(cut_b, np.int64)
         n, m = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
         plain = (n == 1) | (m == 1)  # a token alone on its side overlaps all of the other
-        size = np.where(plain, n * m, 0)
-        group = np.repeat(np.arange(len(n)), size)
-        k = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
-        out = [x[(to_a - n)[group] + k // m[group]] | y[(to_b - m)[group] + k % m[group]]]
-        for g in np.flatnonzero(~plain).tolist():
-            i, j, end_i, end_j = int(to_a[g] - n[g]), int(to_b[g] - m[g]), int(to_a[g]), int(to_b[g])
-            at_i, at_j, found = self.sizes_a[a[i]], self.sizes_b[b[j]], []
-            while True:
-                found.append(a[i] << _SHIFT | b[j])
-                step = at_i - at_j  # the token that ends first makes way
-                if step <= 0:
-                    i += 1
-                    if i == end_i:
-                        break
-                    at_i += self.sizes_a[a[i]]
-                if step >= 0:
-                    j += 1
-                    if j == end_j:
-                        break
-                    at_j += self.sizes_b[b[j]]
-            out.append(np.array(found, np.int64))
-        return np.concatenate(out)
+        group = np.repeat(np.arange(len(n)), n)  # of every token of A
+        first, many = (to_b - m)[group], m[group]
+        mixed = np.flatnonzero(~plain[group])
+        if len(mixed):  # in other slices, the tokens of B that end behind the start of A's token and start before its end
+            end_a, end_b = np.cumsum(self.widths_a[a]), np.cumsum(self.widths_b[b])
+            first[mixed] = np.searchsorted(end_b, end_a[mixed] - self.widths_a[a[mixed]], "right")
+            many[mixed] = np.searchsorted(end_b - self.widths_b[b], end_a[mixed], "left") - first[mixed]
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(x, many) | b[np.repeat(first, many) + k]
 
     def shown(self, a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> str:
         """Groups as decimal ids: a1,a2|b1;a3|b2,b3."""

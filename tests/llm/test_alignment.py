@@ -139,3 +139,13 @@ def test_slices_with_several_tokens_on_both_sides():
         want = Counter((a[i], b[j]) for i, (s, e) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if s < v and u < e)
         got = Counter((int(v) >> 32, int(v) & 0xFFFFFFFF) for v in two.links(a, b, *two.align(a, b)))
         assert got == want
+
+
+def test_ids_of_every_code_point_are_the_librarys():
+    """Tokenizer A, built from its vocabulary file, against the library that the file is made for."""
+    two, library = alignment.pair(A, PIECES), Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" a" + "".join(f"b{chr(c)}{chr(c)}1 {chr(c)}  {chr(c)}\n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert two.a.encode_ordinary(text) == found.ids
