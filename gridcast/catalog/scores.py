@@ -102,7 +102,7 @@ def _importance(v: Views):
 
 def _repeats(v: Views):
     """ROC-AUC with each feature shuffled, summarised over repeats."""
-    table = _complete(v).select(*OBSERVATION_KEYS, *FEATURES, "fire")
+    table = importance.stored(_complete(v), OBSERVATION_KEYS, FEATURES)
     scored = importance.permuted_scores(table, OBSERVATION_KEYS, FEATURES, SCORER, "fire", REPEATS, SEED, table.count())
     return stats.repeat_summary(metrics.ranking_metrics(scored, ["feature", "repeat"]), ["feature"], "roc_auc")
 

@@ -12,13 +12,18 @@ from gridcast.functions.hashing import hash_bucket_of, key_hash
 from gridcast.operators.metrics import ranking_metrics
 from gridcast.operators.ranking import digits_for
 from gridcast.operators.stats import repeat_summary
+from gridcast.session import snapshot
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def permute_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], repeats: int, seed: int, rows: int) -> DataFrame:
+def permute_rows(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], repeats: int, seed: int, rows: int, keep: Sequence[str] | None = None
+) -> DataFrame:
     """``repeats`` copies of the table; ``_with`` holds the columns of another row.
 
+    ``keep`` names the columns to carry along (all if not given). Once the hash is known the keys need not be among them.
+
     In each repeat all rows form one random ring, in the order of a hash, and each takes the values of its successor: a
     true permutation (every value is used once) without joining the table to itself. Hash buckets only spread the
     sort: the last row of a bucket is followed by the first of the next, one row per bucket. ``rows`` sizes the buckets
@@ -29,13 +34,16 @@ def permute_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rep
     hashed = copies.withColumn("_hash", key_hash([*keys, "repeat"], seed)).withColumn(
         "_bucket", hash_bucket_of(F.col("_hash"), digits)
     )
+    if keep is not None:
+        hashed = hashed.select(*keep, *[c for c in columns if c not in keep], "repeat", "_hash", "_bucket")
+    ties = [k for k in keys if k in hashed.columns]
     values = F.struct(*columns)
-    firsts = hashed.groupBy("repeat", "_bucket").agg(F.min_by(values, F.struct("_hash", *keys)).alias("_first"))
+    firsts = hashed.groupBy("repeat", "_bucket").agg(F.min_by(values, F.struct("_hash", *ties)).alias("_first"))
     around = W.partitionBy("repeat").orderBy("_bucket")
     whole = around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     following = F.coalesce(F.lead("_first").over(around), F.first("_first").over(whole))
     firsts = firsts.select("repeat", "_bucket", following.alias("_next"))
-    ring = W.partitionBy("repeat", "_bucket").orderBy("_hash", *keys)
+    ring = W.partitionBy("repeat", "_bucket").orderBy("_hash", *ties)
     successor = F.coalesce(F.lead(values).over(ring), F.col("_next"))
     return hashed.join(firsts, ["repeat", "_bucket"]).withColumn("_with", successor).drop("_hash", "_bucket", "_next")
 
@@ -43,9 +51,12 @@ def permute_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rep
 def permuted_scores(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], scorer: Scorer, label: str, repeats: int, seed: int, rows: int
 ) -> DataFrame:
-    """feature, repeat, label, score for every feature shuffled alone; all of a repeat share one permutation."""
+    """feature, repeat, label, score for every feature shuffled alone; all of a repeat share one permutation.
+
+    The ring carries the features and the label. ``df`` is read twice: pass a stored table (see ``stored``).
+    """
     features = list(features)
-    paired = permute_rows(df, keys, features, repeats, seed, rows)
+    paired = permute_rows(df, keys, features, repeats, seed, rows, keep=[label, *[f for f in features if f != label]])
     spread = paired.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features])))
 
     def value(f: str) -> Column:
@@ -55,6 +66,11 @@ def permuted_scores(
     return scorer(swapped).select(F.col("_feature").alias("feature"), "repeat", label, "score")
 
 
+def stored(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "fire") -> DataFrame:
+    """What the shuffles read, written once and dealt out evenly: hashing and scoring then use every task there is."""
+    return snapshot(df.select(*dict.fromkeys([*keys, label, *features])), balanced=True)
+
+
 def permutation_importance(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,6 +85,7 @@ def permutation_importance(
     ``scorer`` adds a ``score`` column to a table with the feature columns. One row count is fetched to size the
     buckets; scores are counted per distinct value before they are exchanged.
     """
+    df = stored(df, keys, features, label)
     rows = df.count()
     base = ranking_metrics(scorer(df), label=label).select("roc_auc").scalar()
     shuffled = ranking_metrics(
