@@ -28,7 +28,9 @@ def _test(v: Views):
 
 
 def _complete(v: Views):
-    return v.observations().filter(F.col("rh_1d").isNotNull()).drop("score")
+    """All rows, a missing humidity replaced by the median."""
+    o = v.observations().drop("score")
+    return stats.impute_median(o, {"rh_1d": stats.fetch_stats(stats.exact_medians(o, ["rh_1d"]))["rh_1d"]["median"]})
 
 
 def _complete_test(v: Views):
@@ -108,7 +110,7 @@ def _repeats(v: Views):
 
 
 TEST = "select * replace (round(score, 2) as score) from observations"
-COMPLETE = "select * from observations where rh_1d is not null"
+COMPLETE = "select * replace (coalesce(rh_1d, (select median(rh_1d) from observations)) as rh_1d) from observations"
 CURVE = """
 select score, n, tp, sum(n) over w as cn, sum(tp) over w as ctp, sum(tp) over () as p, sum(n) over () as total
 from (select score, count(*) as n, sum(fire) as tp from test group by score) window w as (order by score desc)
@@ -337,7 +339,7 @@ QUERIES = {
                        fire as actual_fire, score as fire_probability, (score >= 0.5)::int as predicted_fire
                 from (select *  exclude (score), round({linear()}, 4) as score from complete)""",
             "observations",
-            complete=f"{COMPLETE} and year >= {TEST_FROM}",
+            complete=f"{COMPLETE} where year >= {TEST_FROM}",
         ),
     ),
     "permutation_importance": Query(

@@ -96,7 +96,7 @@ def _zip(v: Views):
 
 def _match(v: Views):
     keys = _missing(v)
-    fetched = assembly.request_batches(keys).filter(F.col("place") < 4)
+    fetched = assembly.request_batches(keys)
     return assembly.match_block_keys(fetched, keys).select("week", "batch", *CELL_HOUR)
 
 
@@ -288,7 +288,7 @@ QUERIES = {
         _match,
         oracle(
             f"""select week, batch, {KEY4} from missing join batches using (cell_y, cell_x)
-                where date_trunc('week', acq_date)::date = week and place < 4""",
+                where date_trunc('week', acq_date)::date = week""",
             "cells",
             missing=MISSING,
             batches=BATCHES,
