@@ -173,7 +173,11 @@ def tokenizer(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (array of int), decoded (string) of every row; a missing or empty text has no ids and decodes to ""."""
+    """key, ids (array of int), decoded (string) of every row; a missing or empty text has no ids and decodes to "".
+
+    Missing keys pass through, repeated rows give repeated rows, an empty table an empty result. A stretch without white
+    space may be as long as a string can be: its merges take memory in proportion.
+    """
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         bpe = tokenizer(path)

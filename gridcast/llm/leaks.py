@@ -229,7 +229,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", passage: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark passage; all columns kept, every row judged by itself."""
+    """``docs`` without the rows whose text holds a benchmark passage; all columns kept, every row judged by itself.
+
+    Missing and empty texts hold none and stay, as do repeated rows without a passage; items without an id or text are no
+    passages; empty tables remove nothing. Passages are found as in ``leaks``.
+    """
     out = docs
     for index in indexes(benchmark, item, passage, block):
 

@@ -150,7 +150,10 @@ def scores(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text
 
 
 def keep_good(docs: DataFrame, net: Network, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more; all columns kept, every row judged by itself."""
+    """The rows of ``docs`` that score ``least`` or more; all columns kept, every row judged by itself.
+
+    A missing text scores as an empty one, repeated rows fare alike, keys are not looked at, and an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
