@@ -9,6 +9,7 @@ nothing, so the number of draws is an estimate and not part of the result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,22 @@ def universe_sizes(positives: DataFrame) -> tuple[int, int, int]:
     return row["rows"], row["cells"], row["dates"]
 
 
-def draw_candidates(positives: DataFrame, draws: int, seed: int, cells: int, dates: int) -> DataFrame:
+@dataclass(frozen=True)
+class Universe:
+    """Sizes and numbered cells and dates of a table of positives, stored so that several draws share them."""
+
+    rows: int
+    cells: int
+    dates: int
+    cell_numbers: DataFrame
+    date_numbers: DataFrame
+
+
+def universe_of(positives: DataFrame) -> Universe:
+    return Universe(*universe_sizes(positives), snapshot(numbered_cells(positives)), snapshot(numbered_dates(positives)))
+
+
+def draw_candidates(positives: DataFrame, draws: int, seed: int, cells: int, dates: int, universe: Universe | None = None) -> DataFrame:
     """``draws`` numbered draws from the candidate space (columns: draw, then the four key columns)."""
     spark = positives.sparkSession
     digest = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))))
@@ -57,8 +73,8 @@ def draw_candidates(positives: DataFrame, draws: int, seed: int, cells: int, dat
     )
     # No hints: both join keys are uniform, and the runtime picks by measured size.
     return (
-        drawn.join(numbered_dates(positives), "date_no")
-        .join(numbered_cells(positives), "cell_no")
+        drawn.join(numbered_dates(positives) if universe is None else universe.date_numbers, "date_no")
+        .join(numbered_cells(positives) if universe is None else universe.cell_numbers, "cell_no")
         .select("draw", *CELL_HOUR)
     )
 
@@ -83,15 +99,17 @@ def draws_needed(target: int, universe: int, unique: bool = False) -> int:
     return min(math.ceil(mean + 8 * math.sqrt(mean) + 64), MAX_ATTEMPTS_PER_ROW * max(target, 1))
 
 
-def sample_negatives(positives: DataFrame, seed: int = 42, unique: bool = False) -> DataFrame:
+def sample_negatives(positives: DataFrame, seed: int = 42, unique: bool = False, universe: Universe | None = None) -> DataFrame:
     """As many negatives as positives. Among themselves they may repeat unless ``unique``.
 
+    ``universe``, from ``universe_of`` the same positives, spares counting and numbering them for every seed.
+
     ``positives`` has one row per key and is read several times: pass a stored table, not a long plan. One row of
     sizes is fetched to plan the draws, and the accepted draws are stored before they are cut. The result fails when the attempts run out before the target is reached.
     """
-    target, cells, dates = universe_sizes(positives)
+    target, cells, dates = universe_sizes(positives) if universe is None else (universe.rows, universe.cells, universe.dates)
     draws = draws_needed(target, cells * dates * 24, unique)
-    accepted = reject_positives(draw_candidates(positives, draws, seed, cells, dates), positives)
+    accepted = reject_positives(draw_candidates(positives, draws, seed, cells, dates, universe), positives)
     if unique:
         accepted = dedupe_first(accepted, CELL_HOUR, ["draw"])
     accepted = snapshot(accepted)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cache, partial, reduce
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridcast.operators.checks import exclude_leakage, require_columns, require_nonempty, require_years
 from gridcast.operators.holdout import EXPERIMENT, Years, spatial_holdout, split_parts, temporal_split
 from gridcast.operators.metrics import evaluate
-from gridcast.operators.negatives import sample_negatives
+from gridcast.operators.negatives import sample_negatives, universe_of
 from gridcast.operators.profiles import split_profile
 from gridcast.operators.stats import repeat_summary
 from gridcast.plans.ledger import Ledger, fit_missing
@@ -170,8 +170,9 @@ def seed_sensitivity(
 
     ``positives`` is a stored table.
     """
+    universe = universe_of(positives)
     repeats = [
-        positives.unionByName(sample_negatives(positives, seed).drop("draw"), allowMissingColumns=True).withColumn(
+        positives.unionByName(sample_negatives(positives, seed, universe=universe).drop("draw"), allowMissingColumns=True).withColumn(
             "seed", F.lit(seed)
         )
         for seed in seeds
@@ -179,3 +180,34 @@ def seed_sensitivity(
     per_seed = evaluate(score(reduce(DataFrame.unionByName, repeats)), ["seed"], digits=None)
     long = per_seed.unpivot(["seed"], list(metrics), "metric", "value")
     return repeat_summary(long, ["metric"], "value")
+
+
+def refit_sensitivity(
+    positives: DataFrame,
+    prepare: Callable[[DataFrame], DataFrame],
+    features: Sequence[str],
+    family: Family,
+    seeds: Sequence[int] = (41, 42, 43),
+    years: Years = EXPERIMENT,
+    metrics: Sequence[str] = ("roc_auc", "pr_auc"),
+    label: str = "fire",
+    ledger: Ledger | None = None,
+    parallel: int = 3,
+) -> DataFrame:
+    """Mean and deviation of every model's test metrics over draws of negatives, with the models fitted anew for each draw.
+
+    ``positives`` is a stored table; ``prepare`` turns positives and negatives into rows with features, label and year.
+    Models train on the training years and are scored on the test years. With a ledger a rerun fits only what it lacks.
+    """
+    universe = universe_of(positives)
+    rows = []
+    for seed in seeds:
+        drawn = positives.unionByName(sample_negatives(positives, seed, universe=universe).drop("draw"), allowMissingColumns=True)
+        parts = split_parts(snapshot(temporal_split(_needed(prepare(drawn), features, label, ["year"]), years), balanced=True))
+        if ledger is None:
+            found = compare(fit_all(parts["train"], features, family, label), parts["test"], label)
+        else:
+            found = fit_missing(_work(parts["train"], parts["test"], {f"seed {seed}": list(features)}, family, label, "test"), ledger, parallel)
+        rows.append(snapshot(found.select("model", *metrics)))
+    long = reduce(DataFrame.unionByName, rows).unpivot(["model"], list(metrics), "metric", "value")
+    return repeat_summary(long, ["model", "metric"], "value")

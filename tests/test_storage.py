@@ -211,3 +211,40 @@ def test_json_arrays_give_the_same_rows_for_every_range_size(spark, tmp_path, si
     if size == 1000:
         tasks = json_ranges.array_elements(spark, str(tmp_path / "a1.json"), size).select(F.spark_partition_id().alias("p")).distinct().count()
         assert tasks > 1  # one file, several tasks
+
+
+def test_models_are_fitted_anew_for_every_draw_of_negatives(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridcast.operators.negatives import sample_negatives, universe_of
+    from gridcast.plans import experiments, models
+    from gridcast.plans.ledger import Ledger
+
+    positives = spark.range(300).selectExpr(
+        "cast(200 + id % 9 as int) as cell_y", "cast(700 + id % 7 as int) as cell_x", "date_add(date'2022-06-01', cast(id * 4 as int)) as acq_date", "cast(id % 24 as int) as hour", "1 as fire"
+    )
+    path = str(tmp_path / "p")
+    positives.write.parquet(path)
+    positives = spark.read.parquet(path)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(sample_negatives(positives, 7, universe=universe_of(positives))) == key(sample_negatives(positives, 7))
+
+    def prepare(rows):
+        noise = F.pmod(F.xxhash64("cell_y", "cell_x", "acq_date", "hour"), F.lit(100)) / 100.0
+        return rows.withColumn("a", F.col("fire") * 0.5 + noise).withColumn("b", noise).withColumn("year", F.year("acq_date"))
+
+    seen = []
+
+    def fit(train, features, **more):
+        seen.append(train.count())
+        return models.fit_logistic(train, features, max_iter=10, **more)
+
+    family = models.Family({"one": fit})
+    got = experiments.refit_sensitivity(positives, prepare, ["a", "b"], family, seeds=(1, 2))
+    rows = {r["metric"]: r for r in got.collect()}
+    assert len(seen) == 2 and set(rows) == {"roc_auc", "pr_auc"} and all(r["repeats"] == 2 and 0.5 < r["value_mean"] <= 1 for r in rows.values())
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    for _ in range(2):
+        again = experiments.refit_sensitivity(positives, prepare, ["a", "b"], family, seeds=(1, 2), ledger=ledger)
+        assert key(again.select("model", "metric", F.round("value_mean", 9))) == key(got.select("model", "metric", F.round("value_mean", 9)))
+    assert len(seen) == 4
