@@ -21,7 +21,7 @@ from gridcast.schemas import DAILY_FEATURES, FINAL_FEATURES, INSTANT, WEATHER_FE
 from gridcast.session import snapshot
 
 #: Rounds of the final model's query; its other settings are the published ones
-ROUNDS = 10
+ROUNDS = 3
 FAMILY = models.model_family(trees=5, tree_depth=4, rounds=3, max_iter=50)
 COMPLETE_FAMILY = models.complete_case_family(trees=5, tree_depth=4, rounds=3, max_iter=50)
 
