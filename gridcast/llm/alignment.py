@@ -27,6 +27,7 @@ AT_ONCE = 1 << 20
 #: Id pairs whose counts one task holds
 BLOCK = 1 << 20
 _SHIFT = 32
+NONE = np.zeros(0, np.int64)
 
 
 class Pair:
@@ -43,6 +44,8 @@ class Pair:
         # A token with a character that stands for no byte is no result of ordinary text.
         known = {bytes(back[c] for c in s): i for s, i in vocab.items() if all(c in back for c in s)}
         # Ids of this format rise in the order of merges, which makes them ranks. No special tokens: their strings are text.
+        # With a token for every byte, the tokens of A always are the bytes of the text.
+        self.lossless = all(bytes([n]) in known for n in range(256))
         self.a = tiktoken.Encoding(a, pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         self.bytes_a = [b""] * (max(known.values(), default=-1) + 1)
@@ -51,20 +54,22 @@ class Pair:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.sizes_a, self.sizes_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
         self.widths_a, self.widths_b = (np.array(x, np.int64) for x in (self.sizes_a, self.sizes_b))
-        self.names_a, self.names_b = (list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b))
+        self.names = [b"%d%b" % (i, sign) for size, signs in ((len(self.bytes_a), (b",", b"|")), (len(self.bytes_b), (b",", b";"))) for i in range(size) for sign in signs]
+        self.first_b = 2 * len(self.bytes_a)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode("utf-8", "surrogatepass")
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of A for a space and the text and of B for the text; both empty where either's bytes are not those."""
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
             a, data = self.a.encode_ordinary(" " + text), (" " + text).encode("utf-8", "surrogatepass")
-            fits = text and b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (a, b) if fits else ([], [])
+            fits = text and b"".join(map(self.bytes_b.__getitem__, b)) == data
+            fits = fits and (self.lossless or b"".join(map(self.bytes_a.__getitem__, a)) == data)
+            yield (np.array(a, np.int64), np.array(b, np.int64)) if fits else (NONE, NONE)
 
-    def all(self, texts: Iterable[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def all(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held, size = [], 0
         for text in texts:
             held.append(text)
@@ -75,18 +80,17 @@ class Pair:
         if held:
             yield from self.encode(held)
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where groups end: indexes after the last token of every group, in ``a`` and in ``b``."""
         ends_a = dict(zip(np.cumsum(self.widths_a[a]).tolist(), range(1, len(a) + 1)))
         ends_b = dict(zip(np.cumsum(self.widths_b[b]).tolist(), range(1, len(b) + 1)))
         both = sorted(ends_a.keys() & ends_b.keys())
-        return list(map(ends_a.__getitem__, both)), list(map(ends_b.__getitem__, both))
+        return tuple(np.fromiter(map(ends.__getitem__, both), np.int64, len(both)) for ends in (ends_a, ends_b))
 
-    def links(self, a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> np.ndarray:
+    def links(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> np.ndarray:
         """Linked ids of every slice, one packed number (a, b) per link."""
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
         x = a << _SHIFT
-        to_a, to_b = np.array(cut_a, np.int64), np.array(cut_b, np.int64)
         n, m = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
         plain = (n == 1) | (m == 1)  # a token alone on its side overlaps all of the other
         group = np.repeat(np.arange(len(n)), n)  # of every token of A
@@ -99,14 +103,15 @@ class Pair:
         k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         return np.repeat(x, many) | b[np.repeat(first, many) + k]
 
-    def shown(self, a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> str:
-        """Groups as decimal ids: a1,a2|b1;a3|b2,b3."""
-        p, q = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
-        out, i, j = [], 0, 0
-        for k, l in zip(cut_a, cut_b):
-            out.append(f"{p[i] if k - i == 1 else ','.join(p[i:k])}|{q[j] if l - j == 1 else ','.join(q[j:l])}")
-            i, j = k, l
-        return ";".join(out)
+    def shown(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> bytes:
+        """Groups as decimal ids: a1,a2|b1;a3|b2,b3. Every id is looked up together with the sign that follows it."""
+        n, m = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[to_a - 1], sign_b[to_b - 1] = 1, 1  # the last of its group
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.repeat(to_b - m, n)] = 2 * a + sign_a
+        out[np.arange(len(b)) + np.repeat(to_a, m)] = self.first_b + 2 * b + sign_b
+        return b"".join(map(self.names.__getitem__, out.tolist()))[:-1]
 
 
 _loaded: dict[tuple[str, str], Pair] = {}
@@ -126,7 +131,7 @@ def groups(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "te
         two, out = pair(a, b), []
         for x, y in two.all(batch["t"]):
             cut_a, cut_b = two.align(x, y)
-            out.append([{"a": x[i:k], "b": y[j:l]} for i, k, j, l in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)])
+            out.append([{"a": x[i:k], "b": y[j:l]} for i, k, j, l in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)])  # noqa: E741
         return pd.DataFrame({"groups": pd.Series(out, dtype=object)})
 
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
@@ -139,13 +144,13 @@ def aligned(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "t
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         two, out = pair(a, b), []
         for x, y in two.all(batch["t"]):
-            if not x:
+            if not len(x):
                 out.append((0, 0, 0, 0, "", [], []))
                 continue
             cut_a, cut_b = two.align(x, y)
             links = two.links(x, y, cut_a, cut_b)
             pairs, times = np.unique(links, return_counts=True)
-            digest = hashlib.sha256(two.shown(x, y, cut_a, cut_b).encode()).hexdigest()
+            digest = hashlib.sha256(two.shown(x, y, cut_a, cut_b)).hexdigest()
             out.append((len(x), len(y), len(cut_a), len(links), digest, pairs, times))
         return pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
