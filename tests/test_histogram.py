@@ -116,3 +116,35 @@ def test_forest_balances_classes_inside_each_bootstrap(spark, table):
     assert np.allclose([r["score"] for r in sorted(scored, key=lambda r: r["id"])], want)
     again = models.fit_forest(rows, ["a", "b", "c"], trees=6, depth=4, subsample=True, impute=False)
     assert [t.toDebugString.split("\n", 1)[1] for t in again.stages[-1].trees] == [t.toDebugString.split("\n", 1)[1] for t in forest.trees]
+
+
+def test_draws_of_a_forest_are_stored(spark, table, monkeypatch):
+    """Draws are hashed once, in groups of trees, and the number of classes is known without reading the rows."""
+    seen, one = [], models.snapshot
+
+    def snapshot(df, **options):
+        seen.append(df.columns)
+        return one(df, **options)
+
+    rows = table.dropna().filter("not isnan(a)")
+    whole = models.fit_forest(rows, ["a", "b", "c"], trees=5, depth=3, subsample=True, impute=False)
+    monkeypatch.setattr(models, "snapshot", snapshot)
+    monkeypatch.setattr(models, "DRAWN_AT_ONCE", 2)
+    parts = models.fit_forest(rows, ["a", "b", "c"], trees=5, depth=3, subsample=True, impute=False)
+    assert [len([c for c in names if c.startswith("_times")]) for names in seen] == [2, 2, 1]
+    assert [t.toDebugString.split("\n", 1)[1] for t in parts.stages[-1].trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.stages[-1].trees]
+
+
+def test_parts_of_a_balanced_table_follow_its_size(spark, tmp_path, monkeypatch):
+    """Rows that compress well are dealt out, and read, by more tasks than cores where the table behind them is large."""
+    from gridcast import session
+
+    spark.range(100_000).select("id", F.lit(1).alias("same")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    small = session.snapshot(df, balanced=True)
+    assert len(small.inputFiles()) == 4
+    monkeypatch.setattr(session, "PART_BYTES", session._bytes_behind(df) // 19)
+    large = session.snapshot(df, balanced=True)
+    assert len(large.inputFiles()) >= 19 and large.rdd.getNumPartitions() >= 19
+    assert large.agg(F.count("*"), F.sum("id"), F.sum("same")).first() == small.agg(F.count("*"), F.sum("id"), F.sum("same")).first()
+    assert session.snapshot(df.filter("false"), balanced=True).count() == 0

@@ -406,3 +406,22 @@ def test_box_and_columns_reach_the_scan(spark, sf_dir, tmp_path):
     plan = boxed._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(latitude,6.0)" in plan and "LessThanOrEqual(longitude,98.0)" in plan
     assert "ReadSchema: struct<det_id:bigint,latitude:double,longitude:double>" in plan
+
+
+def test_bootstrap_draws_are_not_dealt_out_by_tree_and_class(spark):
+    """The weights, one row per tree and class, go to the draws: the few keys of the join never share out the rows."""
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("fire"))
+    out = sampling.bootstrap_weights(df, ["k"], "fire", trees=3)
+    final = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in final and "SortMergeJoin [tree" not in final
+    rows = out.collect()
+    for tree in range(3):
+        weights = {y: sum(r["weight"] for r in rows if r["tree"] == tree and r["fire"] == y) for y in (0, 1)}
+        assert weights[0] == pytest.approx(weights[1])
+
+
+def test_bootstrap_times_follow_the_limits(spark):
+    limits = sampling.bootstrap_limits()
+    for draw in (0, limits[0] - 1, limits[0], limits[1], limits[4] - 1, 16**12 - 1):
+        got = spark.range(1).select(F.lit(f"{draw:012x}").alias("d")).select(sampling.bootstrap_times("d")).first()[0]
+        assert got == sum(draw >= limit for limit in limits)
