@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", source:
     its payload are the same page: each is written as a response if that id is the largest.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = store(folder)
         system.create_dir(root, recursive=True)
         out, written, done = None, [0, 0], []
@@ -103,22 +104,23 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", source:
                 out = None
 
         for batch in batches:
-            for page, url, payload, leader in zip(batch["id"], batch["u"], batch["payload"], batch["leader"]):
+            # Payloads leave Arrow one by one: a batch is never there twice.
+            for page, url, payload, leader in zip(*(batch.column(c) for c in ("id", "u", "payload", "leader"))):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, written = (name, system.open_output_stream(f"{root}/{name}", compression=None)), [0, 0]
-                data = record(None if pd.isna(page) else int(page), url, payload, None if pd.isna(leader) else int(leader))
+                data = record(page.as_py(), url.as_py(), payload.as_py(), leader.as_py())
                 out[1].write(data)
                 written = [written[0] + len(data), written[1] + 1]
                 if written[0] >= ROLL:
                     close()
         close()
-        yield pd.DataFrame(done, columns=["path", "bytes", "records"]).astype({"bytes": "int64", "records": "int64"})
+        kinds = (("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kind) for i, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
 
     rows = with_leaders(pages, key, source, least)
-    # Ids beyond 2^53 must not pass through floats on the way to pandas.
-    rows = rows.withColumns({"id": F.col("id").cast("string"), "leader": F.col("leader").cast("string")})
-    return snapshot(rows.mapInPandas(run, "path string, bytes long, records long"))
+    rows = rows.withColumns({"id": F.col("id").cast("long"), "leader": F.col("leader").cast("long")})
+    return snapshot(rows.mapInArrow(run, "path string, bytes long, records long"))
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
