@@ -99,3 +99,12 @@ def test_a_header_may_be_of_any_length(spark, tmp_path):
     assert got == [(long, b"one"), ("u", b"two")]
     pages = spark.createDataFrame([(1, long, "a"), (2, "u", "b")], "page_id long, url string, html string")
     assert {r["page_id"] for r in warc.archive_round_trip(pages, byte_range=1 << 18).collect()} == {1, 2}
+
+
+def test_payloads_are_written_without_a_copy_in_pandas(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(2**60 + 1, "u", "x" * 50), (2**60 + 3, None, "x" * 50), (None, "v", None)], "page_id long, url string, html string")
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda *_: pytest.fail("batches are copied"))
+    files = warc.write_archives(pages, f"file://{tmp_path}/a")
+    monkeypatch.undo()
+    got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(files).collect()}
+    assert got == {(2**60 + 1, "revisit", 2**60 + 3, 50), (2**60 + 3, "response", None, 50), (None, "response", None, 0)}
