@@ -29,6 +29,8 @@ RATE = 0.075
 BLOCK = 4 << 20
 #: Characters of a document looked at together; neighbours overlap, so nothing is missed
 SPAN = 1 << 20
+#: Bands aligned side by side
+ALIGNED = 1024
 _BITS = 20
 
 
@@ -63,33 +65,49 @@ def gram_codes(text: str, q: int) -> np.ndarray:
 def edits(piece: str, region: str, limit: int, low: int | None = None, high: int | None = None) -> tuple[int, int] | None:
     """Fewest edits that turn ``piece`` into some stretch of ``region``, and where that ends; None beyond ``limit``.
 
-    Banded alignment: one row per character of the piece, in it only the places of the region on the diagonals ``low`` to
-    ``high`` (place in the region less place in the piece; all diagonals if not given).
+    Only places on the diagonals ``low`` to ``high`` count (place in the region less place in the piece; all if not given).
     """
-    p, r = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (piece, region))
-    low = -len(p) if low is None else max(low, -len(p))
-    high = len(r) if high is None else min(high, len(r))
+    low = -len(piece) if low is None else max(low, -len(piece))
+    high = len(region) if high is None else min(high, len(region))
     if high < low:
         return None
-    width = high - low + 1
-    far = limit + len(p) + len(r) + 1
-    along = np.arange(width)
-    # The region behind as many places of no character as the first diagonal lies before it.
-    ahead, behind = max(0, -low), max(0, len(p) + high - len(r))
-    chars = np.concatenate([np.full(ahead, -1, np.int64), r, np.full(behind, -1, np.int64)])
-    row = np.where((along + low >= 0) & (along + low <= len(r)), 0, far)
-    for i, c in enumerate(p):
-        at = i + low + ahead
-        new = row + (chars[at : at + width] != c)
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        place = along + low + i + 1
-        new[(place < 0) | (place > len(r))] = far
-        row = np.minimum.accumulate(new - along) + along
-        row[(place < 0) | (place > len(r))] = far
-        if row.min() > limit:
-            return None
-    best = int(row.argmin())
-    return (int(row[best]), best + low + len(p)) if row[best] <= limit else None
+    p, r = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32) for t in (piece, region))
+    cost, end = edits_of_many(p[None], [r], np.array([low]), np.array([high]))
+    return (int(cost[0]), int(end[0])) if cost[0] <= limit else None
+
+
+def edits_of_many(pieces: np.ndarray, regions: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits and first end of every piece (a row of ``pieces``, all of one length) in its region.
+
+    Banded alignment of all of them side by side: one step per character of the pieces, in it only the places of a region
+    on the diagonals ``low`` to ``high``, which lie between the piece's length below zero and the region's length. A piece
+    without any alignment there costs 2^30 or more.
+    """
+    m, sizes = pieces.shape[1], np.array([len(r) for r in regions])
+    width = int((high - low).max()) + 1
+    far = 1 << 30  # more than any cost
+    along = np.arange(width, dtype=np.int32)
+    # Character i + j of a row is the one on its diagonal ``low + j`` in step i; -1 where the region has none.
+    chars = np.full((len(regions), m + width), -1, np.int32)
+    for k, (r, at) in enumerate(zip(regions, low.tolist())):
+        part = r[max(at, 0) : max(at + m + width, 0)]
+        chars[k, max(-at, 0) : max(-at, 0) + len(part)] = part
+    place, last = (along + low[:, None]).astype(np.int32), sizes[:, None]
+    outside = along > (high - low)[:, None]
+    row = np.where((place >= 0) & (place <= last) & ~outside, 0, far).astype(np.int32)
+    edges = bool(outside.any() or (low < 0).any() or (low + m + width - 1 > sizes).any())
+    for i in range(m):
+        new = row + (chars[:, i : i + width] != pieces[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        if edges:
+            place += 1
+            gone = outside | (place < 0) | (place > last)
+            new[gone] = far
+        row = np.minimum.accumulate(new - along, axis=1) + along
+        if edges:
+            row[gone] = far
+    best = row.argmin(axis=1)
+    return row[np.arange(len(row)), best], best + low + m
 
 
 @dataclass
@@ -107,6 +125,7 @@ class Index:
     table: np.ndarray
     whole: dict[str, list[int]]  # items too short for the lemma, by their text
     counts: dict[int, int]  # pieces of every item
+    longest: int  # characters of the longest piece
 
 
 def build(items: list[tuple[int, str]], q: int = Q, piece: int = PIECE, step: int = STEP, rate: float = RATE) -> Index:
@@ -136,7 +155,7 @@ def build(items: list[tuple[int, str]], q: int = Q, piece: int = PIECE, step: in
     grams, first = np.unique(flat[order], return_index=True)
     table = np.zeros(1 << _BITS, bool)
     table[grams >> np.uint64(64 - _BITS)] = True
-    return Index(owners, pieces, budgets, size - q + 1 - budgets * q, grams, np.append(first, len(flat)), owner[order], place[order], table, short, counts)
+    return Index(owners, pieces, budgets, size - q + 1 - budgets * q, grams, np.append(first, len(flat)), owner[order], place[order], table, short, counts, max(map(len, pieces), default=0))
 
 
 def _pieces_in(index: Index, text: str, q: int) -> Iterator[tuple[int, int, int]]:
@@ -149,7 +168,7 @@ def _pieces_in(index: Index, text: str, q: int) -> Iterator[tuple[int, int, int]
     real = index.grams[spot] == codes[at]
     at, spot = at[real], spot[real]
     # A band needs so many hits within the length of a piece and its budget; places without them are left at once.
-    reach = max(map(len, index.pieces)) + int(index.budgets.max()) + q
+    reach = index.longest + int(index.budgets.max()) + q
     near = np.searchsorted(at, at + reach, "right") - np.searchsorted(at, at - reach, "left")
     at, spot = at[near >= index.needs.min()], spot[near >= index.needs.min()]
     n = index.first[spot + 1] - index.first[spot]
@@ -165,20 +184,37 @@ def _pieces_in(index: Index, text: str, q: int) -> Iterator[tuple[int, int, int]
     edge = np.flatnonzero(np.any(seen[:2, 1:] != seen[:2, :-1], axis=0)) + 1
     starts = np.concatenate(([0], edge))
     count = np.diff(np.append(starts, seen.shape[1]))
-    for i in starts[count >= index.needs[seen[0, starts]]]:
-        p, b = int(seen[0, i]), int(seen[1, i])
-        w = int(index.budgets[p]) + 1
-        low = max(0, b * w)
-        part = text[low : (b + 2) * w + len(index.pieces[p])]
-        if (found := edits(index.pieces[p], part, w - 1, b * w - low, (b + 2) * w - 1 - low)) is not None:
-            yield p, found[0], low + found[1]
+    chosen = starts[count >= index.needs[seen[0, starts]]]
+    if not len(chosen):
+        return
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    size = np.array([len(index.pieces[p]) for p in seen[0, chosen].tolist()])
+    # Bands of pieces of one length are aligned side by side, so many at a time that their rows stay small.
+    for m in np.unique(size):
+        same = chosen[size == m]
+        for at in range(0, len(same), ALIGNED):
+            p, b = seen[0, same[at : at + ALIGNED]], seen[1, same[at : at + ALIGNED]]
+            w = index.budgets[p] + 1
+            low, ends = np.maximum(0, b * w), (b + 2) * w + m
+            regions = [letters[i:k] for i, k in zip(low.tolist(), ends.tolist())]
+            first = np.maximum(b * w - low, -m)
+            last = np.minimum((b + 2) * w - 1 - low, [len(r) for r in regions])
+            real = last >= first
+            if not real.all():
+                p, w, low, first, last, regions = p[real], w[real], low[real], first[real], last[real], [r for r, x in zip(regions, real) if x]
+            if not len(p):
+                continue
+            pieces = np.frombuffer("".join(index.pieces[k] for k in p.tolist()).encode("utf-32-le", "surrogatepass"), np.int32)
+            cost, end = edits_of_many(pieces.reshape(-1, m), regions, first, last)
+            for k in np.flatnonzero(cost < w):
+                yield int(p[k]), int(cost[k]), int(low[k] + end[k])
 
 
 def leaks_in(index: Index, text: str, q: int = Q) -> list[tuple[int, int, int, int, int]]:
     """(item, pieces found, pieces of the item, fewest edits of a piece, end of the first) of one document."""
     text = normalise(text)
     best: dict[int, tuple[int, int]] = {}
-    lap = max(map(len, index.pieces), default=0) * 2 + 4 * q
+    lap = index.longest * 2 + 4 * q
     for start in range(0, max(1, len(text)), SPAN):
         for p, cost, end in _pieces_in(index, text[start : start + SPAN + lap], q):
             best[p] = min(best.get(p, (cost, start + end)), (cost, start + end))

@@ -45,6 +45,36 @@ def test_alignment_matches_plain_table():
         assert (got[0] == want) if want <= 6 else got is None
 
 
+def test_bands_are_aligned_side_by_side():
+    """One alignment answers for many bands, each on its own diagonals and at the edges of its region."""
+    rng, cases = random.Random(5), []
+    for _ in range(300):
+        piece = [rng.choice("ab") for _ in range(9)]
+        region = [rng.choice("ab") for _ in range(rng.randint(1, 25))]
+        low = rng.randint(-9, len(region))
+        cases.append((piece, region, low, rng.randint(low, len(region))))
+    letters = [[leaks.np.array([ord(c) for c in x], "i4") for x in side] for side in zip(*[(p, r) for p, r, _, _ in cases])]
+    cost, end = leaks.edits_of_many(leaks.np.stack(letters[0]), letters[1], *[leaks.np.array(x) for x in zip(*[c[2:] for c in cases])])
+    for (p, r, low, high), c, e in zip(cases, cost.tolist(), end.tolist()):
+        best = leaks.edits("".join(p), "".join(r), 9, low, high)
+        assert best == ((c, e) if c <= 9 else None)
+        row = [0 if low <= j <= high else 99 for j in range(len(r) + 1)]  # the whole table, places off the diagonals left out
+        for i, x in enumerate(p, 1):
+            new = []
+            for j in range(len(r) + 1):
+                ways = [row[j] + 1, *([row[j - 1] + (x != r[j - 1]), new[j - 1] + 1] if j else [])]
+                new.append(min(ways) if low <= j - i <= high else 99)
+            row = new
+        assert (min(row), row.index(min(row))) == (c, e) if min(row) < 99 else c >= 1 << 30
+
+
+def test_a_text_is_aligned_once_for_all_its_bands(monkeypatch):
+    index, calls, real = leaks.build([(1, ITEM)]), [], leaks.edits_of_many
+    monkeypatch.setattr(leaks, "edits_of_many", lambda *a: calls.append(len(a[1])) or real(*a))
+    assert leaks.leaks_in(index, typo(ITEM * 3, 20))[0][:2] == (1, index.counts[1])
+    assert len(calls) == 1 and calls[0] > 5
+
+
 def test_gram_codes_are_those_of_their_characters():
     text = "abcabcabdéabcabcabdé"
     for q in (1, 2, 3, 7, 10):
