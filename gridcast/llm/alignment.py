@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,8 @@ class Pair:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.sizes_a, self.sizes_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
         self.widths_a, self.widths_b = (np.array(x, np.int64) for x in (self.sizes_a, self.sizes_b))
-        self.names = [b"%d%b" % (i, sign) for size, signs in ((len(self.bytes_a), (b",", b"|")), (len(self.bytes_b), (b",", b";"))) for i in range(size) for sign in signs]
+        names = [b"%d%b" % (i, sign) for size, signs in ((len(self.bytes_a), (b",", b"|")), (len(self.bytes_b), (b",", b";"))) for i in range(size) for sign in signs]
+        self.names = np.array(names, object)
         self.first_b = 2 * len(self.bytes_a)
 
     def _piece(self, i: int) -> bytes:
@@ -84,8 +86,10 @@ class Pair:
         """Where groups end: indexes after the last token of every group, in ``a`` and in ``b``."""
         ends_a = dict(zip(np.cumsum(self.widths_a[a]).tolist(), range(1, len(a) + 1)))
         ends_b = dict(zip(np.cumsum(self.widths_b[b]).tolist(), range(1, len(b) + 1)))
-        both = sorted(ends_a.keys() & ends_b.keys())
-        return tuple(np.fromiter(map(ends.__getitem__, both), np.int64, len(both)) for ends in (ends_a, ends_b))
+        # Ends were entered in rising order: the keys of one dictionary, looked up in the other, are sorted already.
+        to_b = np.fromiter(map(ends_b.get, ends_a, repeat(0)), np.int64, len(ends_a))
+        to_a = np.fromiter(ends_a.values(), np.int64, len(ends_a))
+        return to_a[to_b > 0], to_b[to_b > 0]
 
     def links(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> np.ndarray:
         """Linked ids of every slice, one packed number (a, b) per link."""
@@ -111,7 +115,7 @@ class Pair:
         out = np.empty(len(a) + len(b), np.int64)
         out[np.arange(len(a)) + np.repeat(to_b - m, n)] = 2 * a + sign_a
         out[np.arange(len(b)) + np.repeat(to_a, m)] = self.first_b + 2 * b + sign_b
-        return b"".join(map(self.names.__getitem__, out.tolist()))[:-1]
+        return b"".join(self.names[out].tolist())[:-1]
 
 
 _loaded: dict[tuple[str, str], Pair] = {}

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -149,3 +150,15 @@ def test_ids_of_every_code_point_are_the_librarys():
     texts = [" a" + "".join(f"b{chr(c)}{chr(c)}1 {chr(c)}  {chr(c)}\n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
     for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert two.a.encode_ordinary(text) == found.ids
+
+
+def test_cuts_are_the_ends_both_sides_have():
+    """Rising ends need no sorting; a token without bytes belongs to the group that ends where it stands."""
+    two = alignment.pair(A, PIECES)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, len(two.bytes_a), 4000), rng.integers(0, len(two.bytes_b), 4000)
+    ends = [dict(zip(np.cumsum(w[x]).tolist(), range(1, len(x) + 1))) for w, x in ((two.widths_a, a), (two.widths_b, b))]
+    both = sorted(ends[0].keys() & ends[1].keys())
+    assert [x.tolist() for x in two.align(a, b)] == [[e[k] for k in both] for e in ends] and len(both) > 100
+    cuts = two.align(a[:9], b[:0])
+    assert [len(x) for x in cuts] == [0, 0]
