@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridcast.functions.hashing import hash_bucket_of, key_hash
+from gridcast.functions.hashing import hash_slice, key_hash
 from gridcast.operators.metrics import ranking_metrics
 from gridcast.operators.ranking import digits_for
 from gridcast.operators.stats import repeat_summary
 from gridcast.session import snapshot
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Rows of a ring's bucket at most on average: what a window holds in memory without a spillable sorter
+RING_ROWS = 4096
+#: Hex digits of a hash that are one positive number
+HIGH_DIGITS = 15
 
 
 def permute_rows(
@@ -26,26 +30,28 @@ def permute_rows(
 
     In each repeat all rows form one random ring, in the order of a hash, and each takes the values of its successor: a
     true permutation (every value is used once) without joining the table to itself. Hash buckets only spread the
-    sort: the last row of a bucket is followed by the first of the next, one row per bucket. ``rows`` sizes the buckets
-    and does not affect the result.
+    sort: the last row of a bucket is followed by the first of the next, one row per bucket, which is the one with the
+    least ``HIGH_DIGITS`` digits of the hash. ``rows`` sizes the buckets and does not affect the result.
     """
-    digits = digits_for(rows)
+    digits = digits_for(rows, RING_ROWS)
     copies = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    hashed = copies.withColumn("_hash", key_hash([*keys, "repeat"], seed)).withColumn(
-        "_bucket", hash_bucket_of(F.col("_hash"), digits)
-    )
+    hashed = copies.withColumn("_hash", key_hash([*keys, "repeat"], seed)).withColumn("_high", hash_slice(F.col("_hash"), 1, HIGH_DIGITS))
+    # One number for repeat and bucket: sorts then compare rows of other buckets by it alone.
+    bucket = F.shiftright("_high", 4 * (HIGH_DIGITS - digits))
+    hashed = hashed.withColumn("_bucket", F.col("repeat").cast("long") * F.lit(16**digits) + bucket)
     if keep is not None:
-        hashed = hashed.select(*keep, *[c for c in columns if c not in keep], "repeat", "_hash", "_bucket")
+        hashed = hashed.select(*keep, *[c for c in columns if c not in keep], "repeat", "_hash", "_high", "_bucket")
     ties = [k for k in keys if k in hashed.columns]
     values = F.struct(*columns)
-    firsts = hashed.groupBy("repeat", "_bucket").agg(F.min_by(values, F.struct("_hash", *ties)).alias("_first"))
+    # Numbers by a number: aggregated where they are, where the least of structures would sort all rows.
+    firsts = hashed.groupBy("repeat", "_bucket").agg(F.struct(*[F.min_by(c, "_high").alias(c) for c in columns]).alias("_first"))
     around = W.partitionBy("repeat").orderBy("_bucket")
     whole = around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     following = F.coalesce(F.lead("_first").over(around), F.first("_first").over(whole))
-    firsts = firsts.select("repeat", "_bucket", following.alias("_next"))
-    ring = W.partitionBy("repeat", "_bucket").orderBy("_hash", *ties)
+    firsts = firsts.select("_bucket", following.alias("_next"))
+    ring = W.partitionBy("_bucket").orderBy("_high", "_hash", *ties)
     successor = F.coalesce(F.lead(values).over(ring), F.col("_next"))
-    return hashed.join(firsts, ["repeat", "_bucket"]).withColumn("_with", successor).drop("_hash", "_bucket", "_next")
+    return hashed.join(firsts, "_bucket").withColumn("_with", successor).drop("_hash", "_high", "_bucket", "_next")
 
 
 def permuted_scores(

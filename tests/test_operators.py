@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, and invariants."""
 
 import datetime as dt
+import hashlib
 import random
 import statistics
 
@@ -359,6 +360,17 @@ def test_permutation_uses_every_value_once(spark):
         assert sum(r["_with"]["x"] == r["x"] for r in rows) == 0
 
 
+def test_rings_of_many_buckets_sort_no_rows_to_find_the_first(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") * 2.0).alias("x"), F.lit(1).alias("y"))
+    ring = importance.permute_rows(df, ["k"], ["x", "y"], repeats=2, seed=1, rows=10**6)
+    assert "SortAggregate" not in ring._jdf.queryExecution().executedPlan().toString()
+    few = importance.permute_rows(df, ["k"], ["x", "y"], repeats=2, seed=1, rows=10)
+    got, want = ({(r["repeat"], r["k"]): r["_with"] for r in d.collect()} for d in (ring, few))
+    assert got == want and len(got) == 6000
+    order = sorted(range(3000), key=lambda k: hashlib.md5(f"{k}|1|1".encode()).hexdigest())
+    assert [got[1, k]["x"] for k in order] == [2.0 * k if k % 7 else None for k in [*order[1:], order[0]]]
+
+
 def test_bucket_digits_follow_the_row_count():
     assert [ranking.digits_for(n) for n in (0, 65_536, 65_537, 2**20, 2**20 + 1, 10**12)] == [0, 0, 1, 1, 2, 6]
 
