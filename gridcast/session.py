@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the tables behind a balanced snapshot for which it gets a part more than the session shuffles into
 PART_BYTES = 16 << 20
+#: Setting that deletes the shuffle files of a statement at its end
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "gridcast", cores: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -97,5 +99,11 @@ def snapshot(df: DataFrame, balanced: bool = False, parts: int = 0) -> DataFrame
     if balanced:
         parts = balanced_parts(df)
         df = df.repartition(parts)
-    df.write.parquet(path)
+    # What the write shuffled is deleted when it has ended, not when the driver happens to collect its plan.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return _read_parts(spark, path, df.schema, parts)

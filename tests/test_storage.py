@@ -1,12 +1,14 @@
 """Feature cache versions, CSV files of several headers, JSON arrays read in ranges, bucketed series, streams."""
 
 import datetime as dt
+import glob
 import gzip
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-
-
+from gridcast import session
 from gridcast.sinks.cache import FeatureCache
 from gridcast.sources import detections
 
@@ -248,3 +250,19 @@ def test_models_are_fitted_anew_for_every_draw_of_negatives(spark, tmp_path):
         again = experiments.refit_sensitivity(positives, prepare, ["a", "b"], family, seeds=(1, 2), ledger=ledger)
         assert key(again.select("model", "metric", F.round("value_mean", 9))) == key(got.select("model", "metric", F.round("value_mean", 9)))
     assert len(seen) == 4
+
+
+def test_snapshot_leaves_no_shuffle_files(spark):
+    """What a write shuffled goes when it ends; the session's own setting stays as it was."""
+    disks = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in disks for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    setting = spark.conf.get(session.CLEANUP)
+    grouped = spark.range(10_000).select((F.col("id") % 1000).alias("k")).groupBy("k").count()
+    before = files()
+    table = session.snapshot(grouped, balanced=True)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(session.CLEANUP) == setting
+    assert table.count() == 1000
