@@ -148,3 +148,26 @@ def test_parts_of_a_balanced_table_follow_its_size(spark, tmp_path, monkeypatch)
     assert len(large.inputFiles()) >= 19 and large.rdd.getNumPartitions() >= 19
     assert large.agg(F.count("*"), F.sum("id"), F.sum("same")).first() == small.agg(F.count("*"), F.sum("id"), F.sum("same")).first()
     assert session.snapshot(df.filter("false"), balanced=True).count() == 0
+
+
+def test_a_pass_sums_in_arrays_in_as_many_tasks_as_cores_take(spark, table):
+    """Sums of numbered nodes equal plain ones; rows in many parts are summed by few tasks, whose sums alone are shuffled."""
+    features, tree = ["a", "b", "c"], histogram.Node(3.0, 2.0, grown=True)
+    tree.split, tree.children = histogram.Split(1, 4, 1.0), [histogram.Node(-1.0, 2.0), histogram.Node(4.0, 3.0)]
+    root = histogram.Node(0.0, 0.0, split=histogram.Split(0, 5, 1.0))
+    root.children = [histogram.Node(0.0, 0.0, place=0), histogram.Node(0.0, 0.0, split=histogram.Split(2, 3, 1.0))]
+    root.children[1].children = [histogram.Node(0.0, 0.0), histogram.Node(0.0, 0.0, place=1)]
+    limits = histogram.bin_limits(table, features, 12)
+    plain = histogram.binned(table, features, limits, ["id", F.col("fire").alias("y")]).orderBy("id").collect()
+    packed = histogram.binned(table.repartition(50), features, limits, ["id", F.col("fire").alias("y")], packed=True)
+    sums = histogram.histogram_sums(packed.withColumn(histogram.RAW, F.lit(0.5)), [tree], root, 2, 16, 0.1, 1.0)
+    assert f"Coalesce {histogram.TASKS_PER_CORE * spark.sparkContext.defaultParallelism}" in sums._jdf.queryExecution().toString()
+    want = {}
+    for r in plain:
+        p = 1 / (1 + math.exp(-(0.5 - 0.1 * (-1.0 / 3.0 if r["bins"][1] < 4 else 4.0 / 4.0))))
+        node = 0 if r["bins"][0] < 5 else 1 if r["bins"][2] >= 3 else None
+        for f, b in enumerate(r["bins"]) if node is not None else ():
+            g, h, n = want.get((node, f, b), (0, 0, 0))
+            want[node, f, b] = g + p - r["y"], h + p * (1 - p), n + 1
+    got = {(r["node"], r["feature"], r["bin"]): (r["g"], r["h"], r["n"]) for r in sums.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
