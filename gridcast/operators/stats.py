@@ -2,54 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridcast.functions.coerce import missing, no_nan
-from gridcast.operators.ranking import quantile_limits, running_totals, value_bucket, value_parts
 
+#: Bits of a value that one pass of the medians looks at; a task counts in 2^16 numbers per column
+DIGIT_BITS = 16
 
-#: Rank error of the bracket around the median, as a share of the rows.
-BRACKET_ERROR = 2e-3
+
+def _digits(df: DataFrame, columns: Sequence[str], digits: int, wanted: Mapping[str, Sequence[int]]) -> DataFrame:
+    """column, prefix, digit, n, low, high: values counted by the digit after the first ``digits`` ones, which are a wanted prefix.
+
+    After the first digit also the lowest and highest value counted, as bits.
+    """
+    names, wanted = list(columns), {c: [int(p) for p in of] for c, of in wanted.items()}
+    shift = 64 - DIGIT_BITS * (digits + 1)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, ends = 1 << DIGIT_BITS, np.iinfo("int64")
+        found = {(c, p): [np.full(size, start, "int64") for start in (0, ends.max, ends.min)[: 3 if digits else 1]] for c in names for p in wanted[c]}
+        for batch in batches:
+            for i, c in enumerate(names):
+                value = batch.column(i).to_numpy(zero_copy_only=False)  # NULL becomes NaN
+                bits = (value[~np.isnan(value)] + 0.0).view("int64")  # one zero
+                order = bits ^ ((bits >> 63) & ends.max)
+                for p in wanted[c]:
+                    inside = order[order >> (shift + DIGIT_BITS) == p] if digits else order
+                    digit = (inside >> shift) & (size - 1) if digits else (inside >> shift) + size // 2
+                    n, *least_most = found[c, p]
+                    n += np.bincount(digit, minlength=size)
+                    for edge, nearer in zip(least_most, (np.minimum, np.maximum)):
+                        nearer.at(edge, digit, inside)
+        for (c, p), (n, *least_most) in found.items():
+            at = np.flatnonzero(n)
+            low, high = [pa.array(edge[at]) for edge in least_most] or [pa.nulls(len(at), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([names.index(c)] * len(at), pa.int32()), pa.array([p] * len(at), pa.int64()), pa.array(at), pa.array(n[at]), low, high], names=["column", "prefix", "digit", "n", "low", "high"])
+
+    each = df.mapInArrow(count, "column int, prefix bigint, digit bigint, n bigint, low bigint, high bigint")
+    return each.groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact median of each column (feature, n, median); missing values, NaN among them, are skipped.
 
-    A first pass (a job) brackets every median between approximate quantiles with a guaranteed rank error; the
-    values outside the bracket only need counting, the few inside are counted per distinct value and located by
-    running totals. No task holds a whole column, as the built-in ``median`` does when it merges its counts.
+    The bits of a number, taken as digits, sort like the number. Each of four passes (jobs) at most counts the values that
+    share the digits found so far by their next one, and running counts tell where the middle ranks are: no value is sorted,
+    and a task hands on counts, however many rows it reads. A rank is settled once all values left at it are equal.
     """
     columns = list(columns)
-    numeric = df.select(*[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
-    reach = 2 * BRACKET_ERROR
-    parts = value_parts(df)
-    probabilities = [0.5 - reach + 2 * reach * i / parts for i in range(parts + 1)]
-    # An all-NULL column has no quantiles and no rows below; any limit will do.
-    limits = {c: found or [0.0] for c, found in quantile_limits(numeric, columns, probabilities, BRACKET_ERROR).items()}
-
-    def clamped(c: str):
-        low, high = limits[c][0], limits[c][-1]
-        inner = F.when(F.col(c) < low, float("-inf")).when(F.col(c) > high, float("inf")).otherwise(F.col(c))
-        return inner.alias(c)
-
-    long = numeric.select(*[clamped(c) for c in columns]).unpivot([], columns, "feature", "value")
-    counted = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    of_feature = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(limits[c]).cast("array<double>"))])
-    bucketed = counted.withColumn("_bucket", value_bucket(F.col("value"), of_feature[F.col("feature")]))
-    ranked = running_totals(bucketed, ["feature"], "_bucket", "value", ["n"])
-    first = F.col("cum_n") - F.col("n") + 1
-
-    def value_at(rank):
-        return F.max(F.when((first <= rank) & (rank <= F.col("cum_n")), F.col("value")))
-
-    low = F.floor((F.col("all_n") + 1) / 2)
-    high = F.floor(F.col("all_n") / 2) + 1
-    return ranked.groupBy("feature").agg(
-        F.max("all_n").alias("n"), ((value_at(low) + value_at(high)) / F.lit(2.0)).alias("median")
-    )
+    numeric = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    names = numeric.columns
+    numeric = numeric.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    # For the middle ranks of a column: the digits known and the rank among values that share them; the bits once settled.
+    counts: dict[int, int] = {}
+    middle: dict[tuple[int, int], tuple[int, int]] = {}
+    settled: dict[tuple[int, int], int] = {}
+    for digits in range(64 // DIGIT_BITS):
+        if digits and not middle:
+            break
+        wanted = {c: sorted({p for (column, _), (p, _) in middle.items() if column == i}) if digits else [0] for i, c in enumerate(names)}
+        along, whole = W.partitionBy("column", "prefix").orderBy("digit"), W.partitionBy("column", "prefix")
+        table = _digits(numeric, names, digits, wanted).select("*", F.sum("n").over(along).alias("upto"), F.sum("n").over(whole).alias("all"))
+        if digits:
+            ranks = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), F.lit(p).cast("long").alias("p"), F.lit(r).cast("long").alias("r")) for (i, k), (p, r) in middle.items()])
+            own = F.filter(ranks, lambda x: (x["c"] == F.col("column")) & (x["p"] == F.col("prefix")))
+            hit = table.select("*", F.inline(F.transform(own, lambda x: F.struct(x["k"].alias("k"), x["r"].alias("r")))))
+        else:
+            low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+            hit = table.select("*", F.posexplode(F.array(low, high)).alias("k", "r"))
+        for row in hit.filter("upto - n < r and r <= upto").collect():
+            at = row["column"], row["k"]
+            if not digits:
+                counts[row["column"]] = row["all"]
+            known = (row["prefix"] << DIGIT_BITS) + row["digit"] if digits else row["digit"] - (1 << DIGIT_BITS - 1)
+            middle[at] = known, row["r"] - (row["upto"] - row["n"])
+            if digits and row["low"] == row["high"]:
+                settled[at] = row["low"]
+                del middle[at]
+    value = lambda bits: struct.unpack("<d", struct.pack("<q", bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)))[0]
+    rows = [(columns[i], n, (value(settled[i, 0]) + value(settled[i, 1])) / 2.0) for i, n in counts.items()]
+    kinds = pa.schema([("feature", pa.string()), ("n", pa.int64()), ("median", pa.float64())])
+    found = pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
+    return df.sparkSession.createDataFrame(found, "feature string, n bigint, median double")
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -437,3 +437,21 @@ def test_bootstrap_times_follow_the_limits(spark):
     for draw in (0, limits[0] - 1, limits[0], limits[1], limits[4] - 1, 16**12 - 1):
         got = spark.range(1).select(F.lit(f"{draw:012x}").alias("d")).select(sampling.bootstrap_times("d")).first()[0]
         assert got == sum(draw >= limit for limit in limits)
+
+
+def test_exact_medians_count_digits_without_a_sort(spark, monkeypatch):
+    """Middle ranks in different digits, numbers that differ in the last bit only, infinities, both zeros; equal values settle early."""
+    import numpy as np
+
+    passes, one = [], stats._digits
+    monkeypatch.setattr(stats, "_digits", lambda *given: passes.append(1) or one(*given))
+    rng = np.random.default_rng(3)
+    ends = [1e300, -1e300, float("inf"), float("-inf"), 1e-310, -0.0, 0.0]
+    rows = [(float(rng.normal()), 1.0 + 2.0**-52 * (i % 7), float(rng.choice(ends)), -5.0 if i % 2 else 7.0, float("nan") if i % 3 else -3.5, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    found = {r["feature"]: (r["n"], r["median"]) for r in stats.exact_medians(df, df.columns).collect()}
+    known = {c: [r[i] for r in rows if r[i] is not None and r[i] == r[i]] for i, c in enumerate("abcdef")}
+    assert found == {c: (len(v), float(np.median(v))) for c, v in known.items() if v} and len(passes) <= 4
+    passes.clear()
+    assert [r["median"] for r in stats.exact_medians(df, ["d", "e"]).orderBy("feature").collect()] == [1.0, -3.5] and len(passes) == 2
+    assert stats.exact_medians(df.filter("false"), ["a"]).count() == 0
