@@ -105,8 +105,8 @@ def _importance(v: Views):
 def _repeats(v: Views):
     """ROC-AUC with each feature shuffled, summarised over repeats."""
     table = importance.stored(_complete(v), OBSERVATION_KEYS, FEATURES)
-    scored = importance.permuted_scores(table, OBSERVATION_KEYS, FEATURES, SCORER, "fire", REPEATS, SEED, table.count())
-    return stats.repeat_summary(metrics.ranking_metrics(scored, ["feature", "repeat"]), ["feature"], "roc_auc")
+    shuffled = importance.shuffled_metrics(table, OBSERVATION_KEYS, FEATURES, SCORER, "fire", REPEATS, SEED, table.count())
+    return stats.repeat_summary(shuffled, ["feature"], "roc_auc")
 
 
 TEST = "select * replace (round(score, 2) as score) from observations"

@@ -29,7 +29,11 @@ def rank_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score",
     The per-score table is stored, so ``scored`` is read exactly once. A job over it finds bucket limits; they
     spread the work and do not affect the values.
     """
-    table = snapshot(per_score(scored, by, score, label))
+    return curve_of(snapshot(per_score(scored, by, score, label)), by)
+
+
+def curve_of(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The curve (see ``rank_curve``) of a stored table of counts per group and distinct score."""
     parts = value_parts(table)
     limits = quantile_limits(table, ["score"], [i / parts for i in range(1, parts)], 1.0 / (4 * parts))["score"]
     bucketed = table.withColumn("_bucket", value_bucket(F.col("score"), F.lit(limits).cast("array<double>")))
@@ -72,7 +76,11 @@ def _area_under_roc() -> Column:
 
 
 def ranking_metrics(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "fire") -> DataFrame:
-    return rank_curve(scored, by, score, label).groupBy(*by).agg(
+    return ranking_of(rank_curve(scored, by, score, label), by)
+
+
+def ranking_of(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return curve.groupBy(*by).agg(
         _area_under_roc().alias("roc_auc"),
         _average_precision().alias("pr_auc"),
         F.max("all_tp").alias("positives"),

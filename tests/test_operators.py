@@ -455,3 +455,23 @@ def test_exact_medians_count_digits_without_a_sort(spark, monkeypatch):
     passes.clear()
     assert [r["median"] for r in stats.exact_medians(df, ["d", "e"]).orderBy("feature").collect()] == [1.0, -3.5] and len(passes) == 2
     assert stats.exact_medians(df.filter("false"), ["a"]).count() == 0
+
+
+def test_shuffles_store_one_repeat_after_the_other(spark, monkeypatch):
+    """No statement makes the ring of more than one repeat, and the metrics are those of all repeats at once."""
+    df = spark.range(500).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (F.col("id") % 3 == 0).cast("int").alias("fire"))
+    scorer = lambda rows: rows.withColumn("score", (F.col("a") + F.col("b")) / 20)
+    own = importance.stored(df, ["id"], ["a", "b"])
+    seen, one = [], importance.snapshot
+
+    def snapshot(table, **options):
+        out = one(table, **options)
+        seen.append({r["repeat"] for r in out.select("repeat").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(importance, "snapshot", snapshot)
+    got = importance.shuffled_metrics(own, ["id"], ["a", "b"], scorer, "fire", 3, 42, 10**6)
+    assert seen == [{0}, {1}, {2}, {0, 1, 2}]
+    whole = metrics.ranking_metrics(importance.permuted_scores(own, ["id"], ["a", "b"], scorer, "fire", 3, 42, 500), ["feature", "repeat"])
+    key = lambda r: (r["feature"], r["repeat"])
+    assert sorted(got.collect(), key=key) == sorted(whole.collect(), key=key)
