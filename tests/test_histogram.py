@@ -171,3 +171,27 @@ def test_a_pass_sums_in_arrays_in_as_many_tasks_as_cores_take(spark, table):
             want[node, f, b] = g + p - r["y"], h + p * (1 - p), n + 1
     got = {(r["node"], r["feature"], r["bin"]): (r["g"], r["h"], r["n"]) for r in sums.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("patience", [None, 2])
+def test_rows_kept_by_one_task_give_the_trees_of_passes(spark, table, monkeypatch, patience):
+    features = ["a", "b", "c"]
+    scores = []
+    for kept in (histogram.KEPT_BYTES, 0):
+        monkeypatch.setattr(histogram, "KEPT_BYTES", kept)
+        model = histogram.fit(table, features, "fire", 5, 0.4, 5, 1.0, 12, 20, patience)
+        scores.append([r["score"] for r in models.score_with(model, table).orderBy("id").collect()])
+    assert np.allclose(*scores, atol=1e-9) and len(set(scores[0])) > 5
+
+
+def test_the_final_query_fits_all_published_rounds(monkeypatch):
+    from gridcast.catalog import learning
+
+    seen = []
+    monkeypatch.setattr(learning.models, "fit_final", lambda train, features, **settings: seen.append(settings))
+    monkeypatch.setattr(learning, "final_rows", lambda v: None)
+    for name in ("temporal_split", "snapshot", "evaluate"):
+        monkeypatch.setattr(learning, name, lambda *_, **__: type("Rows", (), {"filter": lambda self, _: self})())
+    monkeypatch.setattr(learning.models, "score_with", lambda *_: None)
+    learning._fit_final(None)
+    assert seen == [{}]
